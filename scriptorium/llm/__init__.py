@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("pieces",)
+MODULES = ("secrets", "pieces", "langid")
 
 
 def queries() -> dict:
