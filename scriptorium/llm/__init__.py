@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("secrets", "pieces", "langid")
+MODULES = ("minhash", "secrets", "pieces", "substrings", "langid")
 
 
 def queries() -> dict:
