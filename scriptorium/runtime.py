@@ -14,8 +14,18 @@ import scriptorium
 cloudpickle.register_pickle_by_value(scriptorium)
 
 
+#: Bytes of an Arrow batch between the JVM and Python, whatever its number of rows.
+BATCH_BYTES = 64 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` below ``sf_dir``; any path that Spark's readers open will do."""
+    """The parquet table ``name`` below ``sf_dir``; any path that Spark's readers open will do.
+
+    Long texts make Arrow batches large, so the session bounds their bytes, too.
+    """
+    if int(spark.conf.get(BATCH_SETTING, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
