@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("maxscore", "minhash", "secrets", "pieces", "suffixes", "substrings", "langid")
+MODULES = ("maxscore", "minhash", "secrets", "spotsigs", "pieces", "suffixes", "mixing", "lengths", "substrings", "langid")
 
 
 def queries() -> dict:

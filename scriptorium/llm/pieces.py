@@ -70,21 +70,30 @@ class ChunkTable:
             found = self.model.encode(some, num_threads=1) if some else []
             self.ids.update((c, array("i", ids[skip:]).tobytes()) for c, ids in zip(some, found, strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.exact:
-            return self.model.encode(texts, num_threads=1)
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
         cut = list(map(self._cut, texts))
         if len(self.ids) > self.size:
             self.ids = {"": self.ids[""]}
         new = set().union(*cut).difference(self.ids)
         self._learn(list(new))
         known = self.ids.__getitem__
-        out = [np.frombuffer(b"".join(map(known, cs)), np.int32).tolist() for cs in cut]
+        out = [b"".join(map(known, cs)) for cs in cut]
         for c in new:
             if len(c) > LONGEST_KEPT:
                 del self.ids[c]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.exact:
+            return self.model.encode(texts, num_threads=1)
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self._packed(texts)]
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        if not self.exact:
+            return list(map(len, self.model.encode(texts, num_threads=1)))
+        return [len(ids) // 4 for ids in self._packed(texts)]
+
     def joined(self, ids: list[int]) -> bytes:
         return ",".join(map(self.names.__getitem__, ids)).encode()
 
