@@ -1,19 +1,72 @@
-"""The corpus pipeline; its stages follow as the operators are built."""
+"""From raw documents to token ids: language, near-duplicates, secrets, mixture, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm.pieces import encode_decode
+from scriptorium.llm import langid, minhash, mixing, pieces, secrets
 from scriptorium.runtime import table
 
+#: Ids or spans that may be broadcast to the documents; beyond, the same join shuffles.
+FEW = 1_000_000
+#: Bits a byte that a text takes without any model; one that no language shortens is no language.
+UNIFORM_BITS = 8.0
+
+
+def _sent(rows: DataFrame, most: int = FEW) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language, with that language; texts without letters or of no learned language go."""
+    known = langid.identify(docs, langid.fit(docs))
+    kept = known.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("bits_per_byte") < UNIFORM_BITS))
+    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near-duplicates."""
+    found = minhash.cut(minhash.near_duplicates(docs))
+    kept = docs.join(_sent(found.filter("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
+    ids = found.filter("doc_id is not null")
+    if ids.count() > ids.select("doc_id").distinct().count():  # one row of each repeated id
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with base findings and owner-specific credentials masked; copied examples stay."""
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    found = secrets.scan(marked, keep=("doc_id", "_mark")).withColumn("_spans", F.filter("spans", lambda s: s["rank"] <= 3))
+    found = secrets.cut(found.filter(F.size("_spans") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_mark", "_spans").dropDuplicates(["_id", "_mark"]))
+    joined = marked.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(_sent(found, 100_000), ["_id", "_mark"], "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("_spans")))
+    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics meet their target weights."""
+    return mixing.mix(docs)
+
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left."""
-    return encode_decode(docs)
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that they decode to."""
+    return pieces.encode_decode(docs)
 
 
-STAGES = [("sentencepiece", tokens)]
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("mixing", mixture),
+    ("sentencepiece", encoding),
+]
+#: The stages' learned language model and near-duplicate groups are not expressible in SQL.
 ORACLE_SQL = None
 
 
