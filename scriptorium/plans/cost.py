@@ -90,7 +90,7 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = resolve_entry(_usage(spark, sf_dir), catalog(spark)).withColumn("tier", tier_of(F.col("tiers"), F.col("tokens_in")))
     cost = price(F.col("tier"), F.col("tokens_in"), F.col("tokens_out"), F.col("cache_hit"))
     out = usage.groupBy("job_id").agg(F.sum("tokens_in").alias("tokens_in"), F.sum(F.col("tokens_out") + F.col("cache_hit")).alias("billable_output"), F.sum(cost).alias("c"))
-    return out.select("job_id", "tokens_in", "billable_output", F.bround("c", 6).alias("cost"), (F.bround("c", 8) > GUARDRAIL).alias("over"))
+    return out.select("job_id", "tokens_in", "billable_output", F.bround("c", 8).alias("cost"), (F.bround("c", 8) > GUARDRAIL).alias("over"))
 
 
 def cost_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ _PRICED = f"""
 ORACLE_SQL = {
     "cost_price": _PRICED + " SELECT model, region, CAST(pos AS INTEGER) AS entry, pin AS rate, count(*) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, round(sum(cost), 4) AS cost FROM x GROUP BY ALL",
     "cost_rollup": _PRICED + """ SELECT job_id, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out + cache_hit) AS BIGINT) AS billable_output,
-        CAST(round_even(sum(cost), 6) AS DOUBLE) AS cost, round_even(sum(cost), 8) > 10 AS over FROM x GROUP BY job_id""",
+        CAST(round_even(sum(cost), 8) AS DOUBLE) AS cost, round_even(sum(cost), 8) > 10 AS over FROM x GROUP BY job_id""",
     "cost_allocation": """
         WITH q AS (SELECT l_orderkey, l_linenumber, CAST(sum(floor(l_quantity)) AS BIGINT) AS q FROM lineitem GROUP BY ALL),
         r AS (SELECT *, CASE WHEN sum(q) OVER w = 0 THEN 0 ELSE CAST(round_even(10007 * CAST(q / sum(q) OVER w AS DOUBLE), 0) AS BIGINT) END AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS n FROM q WINDOW w AS (PARTITION BY l_orderkey))
