@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLE_SQL (name -> SQL).
-MODULES = ("scriptorium.plans.language", "scriptorium.plans.text", "scriptorium.plans.quality", "scriptorium.plans.cost", "scriptorium.plans.jobs")
+MODULES = ("scriptorium.plans.language", "scriptorium.plans.text", "scriptorium.plans.quality", "scriptorium.plans.cost", "scriptorium.plans.jobs", "scriptorium.plans.layout")
 
 
 def queries() -> dict:
