@@ -12,14 +12,14 @@ from scriptorium.runtime import table
 PROGRESS = {"queued": 0.0, "processing": 0.5, "completed": 1.0, "failed": 1.0, "cancelled": 1.0, "human_review_required": 1.0}
 TERMINAL = ("completed", "failed", "cancelled", "human_review_required")
 DUPLICATE_SECONDS = 30
-IDENTIFIER = r"\A[A-Za-z0-9_.-]+\z"
+IDENTIFIER = r"[A-Za-z0-9_.-]+"
 
 
 def safe_name(name: str) -> str:
     """A table name that may go into SQL; anything else is refused."""
     import re
 
-    if not re.match(IDENTIFIER, name):
+    if not re.fullmatch(IDENTIFIER, name):
         raise ValueError(f"not a table name: {name!r}")
     return name
 

@@ -34,14 +34,14 @@ def local_session(cores: str = "8", partitions: str = "8", memory: str = "8g") -
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with checkpoint() in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "scriptorium-checkpoints")
+
 
-    The folder is spark.checkpoint.dir; only where neither that setting nor a
-    checkpoint directory exists (tests on one machine) is a local one made.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with checkpoint() in the shared folder."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "scriptorium-checkpoints"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

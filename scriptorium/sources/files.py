@@ -112,7 +112,8 @@ def tracking_pairs(json_text: Column) -> Column:
     for bucket in ("page", "cross_page", "cross_column"):
         flat = F.flatten(F.transform(F.coalesce(parsed[bucket], F.array().cast(para)), lambda p: F.coalesce(p["paragraph"], F.array().cast("array<struct<input:string,pdf_unicode:string,output:string>>"))))
         source = lambda x: F.coalesce(F.nullif(F.trim(x["input"]), F.lit("")), F.nullif(F.trim(x["pdf_unicode"]), F.lit("")))
-        out.append(F.transform(F.filter(flat, lambda x: source(x).isNotNull()), lambda x, b=bucket: F.struct(F.lit(b).alias("bucket"), source(x).alias("source"), F.coalesce(x["output"], F.lit("")).alias("target"))))
+        named = F.lit(bucket).alias("bucket")
+        out.append(F.transform(F.filter(flat, lambda x: source(x).isNotNull()), lambda x: F.struct(named, source(x).alias("source"), F.coalesce(x["output"], F.lit("")).alias("target"))))  # noqa: B023
     return F.concat(*out)
 
 
