@@ -190,7 +190,7 @@ def _finish(digests: bool):
         at = np.flatnonzero(gone)
         cover: dict[tuple[int, int], np.ndarray] = {}
         cuts = np.flatnonzero(changes(p.owner[at])).tolist()
-        for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        for i, j in zip(cuts, [*cuts[1:], len(at)] if cuts else [], strict=True):
             d = p.owner[at[i]]
             cover[int(p.key[d]), int(p.mark[d])] = p.start[at[i:j]]
         n_words, n_removed, kept = [], [], []
