@@ -1,0 +1,300 @@
+"""Operators against brute force on a small table of hard cases, and on the smallest corpus."""
+
+import random
+import zlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.llm import langid, lengths, maxscore, minhash, mixing, pieces, secrets, spotsigs, substrings, suffixes
+from scriptorium.runtime import table
+
+
+def corpus(spark, sf):
+    return [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+
+
+def test_maxscore(spark):
+    r = np.random.default_rng(5)
+    data = [(i, [float(x) for x in r.normal(size=8).astype("float32")]) for i in range(300)]
+    data += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, []), (304, [float("inf")] * 8), (306, data[0][1]), (350, data[0][1]), (350, data[1][1]), (400, [0.0] * 8), (450, [0.5])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    whole = {}
+    for i, v in data:
+        if v and all(x is not None and np.isfinite(x) for x in v):
+            whole.setdefault(i, []).append(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int))
+    vectors = df.select("vec_id", maxscore.quantized(F.col("embedding")).alias("vector"))
+    got = {}
+    for x in maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0 and vec_id <> 350"), 5, "vec_id").collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.id, x.score))
+    want = {}
+    for q in whole:
+        if q % 50 == 0 and q != 350:
+            every = [(-sum(int(a) * int(b) for a, b in zip(whole[q][0], v)), i) for i, vs in whole.items() for v in vs if i != q]
+            want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(every)[:5])]
+    assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_maxscore_few_rows(spark):
+    df = spark.createDataFrame([(50, [1, 2]), (51, [3])], "id long, vector array<long>")
+    assert [tuple(r) for r in maxscore.top_k(df, df.filter("id = 50"), 5).collect()] == [(50, 1, 51, 3)]
+    assert maxscore.top_k(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def check_minhash(docs, rows):
+    want = brute.near_duplicates(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
+
+
+def test_minhash(spark, docs, rows, sf):
+    check_minhash(docs, rows)
+    check_minhash(table(spark, sf, "documents"), corpus(spark, sf))
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_minhash_chains(spark, monkeypatch, tile):
+    """Texts that only link along a chain, and a passage that many share."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for c in range(4):
+        base = [r.choice(words) for _ in range(120)]
+        for _ in range(12):
+            texts.append(" ".join(base))
+            at = r.randrange(100)
+            base = base[:at] + [r.choice(words) for _ in range(6)] + base[at + 6 :]
+    shared = " ".join(r.choice(words) for _ in range(60))
+    texts += [shared + " " + " ".join(r.choice(words) for _ in range(r.randrange(5, 60))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    check_minhash(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_components(spark):
+    from scriptorium.llm.components import connected_components
+
+    r = random.Random(3)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_secrets(spark, docs, rows):
+    got = {r.doc_id: [(s.start, s.rank, s.end) for s in r.spans] for r in secrets.scan(docs).collect()}
+    for d, t in rows:
+        assert [s for s in got[d] if s[1] < 3] == brute.secrets(t), d
+    assert [s[1] for s in got[40]] == [4] and got[40] == [(0, 4, 21)]  # three owners hold it
+    alone = secrets.scan(docs.filter("doc_id <> 60")).filter("doc_id = 40").first().spans
+    assert [s.rank for s in alone] == [3]
+    text = dict(rows)[13]
+    out = docs.filter("doc_id = 13").withColumn("s", secrets.base_spans(F.col("text"))).select(secrets.redact(F.col("text"), F.sort_array("s")).alias("r")).first().r
+    assert "hunter" not in out and "AKIA" not in out and out.startswith("é😀 [REDACTED]") and out.endswith("token=abc") and len(out) < len(text)
+
+
+def test_spotsigs(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE", 3)
+    got = {r.id: r for r in spotsigs.with_next(docs, "doc_id", "text").collect()}
+    order = sorted(d for d, _ in rows)
+    texts = dict(rows)
+    assert sorted(got) == order
+    for d, n in zip(order, [*order[1:], order[0]]):
+        assert got[d].next_text == texts[n] and got[d].next_sigs == got[n].sigs
+    assert got[1].sigs == got[10].sigs and got[4].sigs == [] and got[7].sigs != got[12].sigs
+    member, pairs = spotsigs.near_duplicates(docs)
+    classes = {r.id: r.class_id for r in member.collect()}
+    assert classes[10] == 1
+    sets = {classes[d]: set(got[d].sigs) for d in classes}
+    want = {tuple(sorted((a, b))) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == want
+
+
+def test_pieces(docs, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    got = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode_decode(docs).collect()}
+    assert got == {d: (sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for d, t in rows}
+
+
+def test_piece_table_on_odd_texts():
+    r = random.Random(1)
+    table_ = pieces.ChunkTable(public_tokenizers.path(pieces.MODEL), size=500)
+    alphabet = " \n▁ab\t.é😀\x00\x01ﬁ　\xa0THE the"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(4000)]
+    assert table_.exact
+    for i in range(0, 4000, 500):
+        assert table_.encode(texts[i : i + 500]) == table_.model.encode(texts[i : i + 500])
+
+
+def check_suffixes(docs, rows):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept.decode()) for r in suffixes.remove_repeats(docs, digests=True).collect()}
+    assert got == brute.remove_bytes(rows)
+
+
+def test_suffixes(spark, docs, rows, sf):
+    check_suffixes(docs, rows)
+    check_suffixes(table(spark, sf, "documents"), corpus(spark, sf))
+
+
+def test_suffixes_at_odd_offsets(spark):
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    rows = []
+    for i in range(30):
+        a, n = r.randrange(2500), r.randrange(390, 900)
+        rows.append((i, "".join(r.choice("xyz") for _ in range(r.randrange(300))) + base[a : a + n] + ("" if i % 3 else "é" * r.randrange(200))))
+    check_suffixes(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_columns_against_plain_search():
+    r = random.Random(3)
+    for trial in range(150):
+        length, alphabet = r.randrange(2, 7), "ab" if trial % 2 else "abcd"
+        docs = []
+        for _ in range(r.randrange(1, 30)):
+            left = -r.randrange(6)
+            docs.append((r.randrange(3), left, left + r.randrange(1, 9) + length, None))
+        docs = [(g, a, b, bytes(r.choice(alphabet.encode()) for _ in range(b - a))) for g, a, b, _ in docs]
+        left, right = np.array([d[1] for d in docs]), np.array([d[2] for d in docs])
+        data = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
+        first, last = suffixes.Columns(np.array([d[0] for d in docs]), left, right, data, np.cumsum(right - left) - (right - left)).repeats(length)
+        at = lambda d, c: d[3][c - d[1] : c - d[1] + length]
+        for i, d in enumerate(docs):
+            hits = [c for c in range(d[1], d[2] - length + 1) if any(j != i and e[0] == d[0] and e[1] <= c and c + length <= e[2] and at(e, c) == at(d, c) for j, e in enumerate(docs))]
+            assert (min(hits), max(hits)) == (first[i], last[i]) if hits else first[i] > last[i]
+
+
+def test_mixing_meets_the_targets(spark):
+    data = [(i, "w " * (10 + i % 7), ("en", "de")[i % 2 if i % 5 else 0], f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    cells = mixing.cells_of(docs)
+    targets = {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}
+    raked = mixing.rake(cells, targets, 12)
+    for d in mixing.DIMENSIONS:
+        want = {r[0]: r[1] for r in targets[d].collect()}
+        for r in raked.groupBy(d).agg(F.sum("weight").alias("w")).collect():
+            assert abs(r.w - want[r[0]]) < 1e-3
+    kept = mixing.mix(docs)
+    assert kept.columns == docs.columns and 0.3 < kept.count() / 600 < 0.7
+
+
+def test_lengths(spark, docs, rows):
+    coder = pieces.ChunkTable(public_tokenizers.path(pieces.MODEL))
+    want = sorted(len(x) for x in coder.encode([t or "" for _, t in rows]))
+    at = lengths.limits(lengths.histogram(lengths.encoded_lengths(docs)))
+    for r in at.collect():
+        c = r.context_limit
+        assert r.n_docs == want.count(c) and r.docs_over == sum(w > c for w in want)
+        assert r.tokens_reaching == sum(w for w in want if w >= c)
+        assert r.truncated_tokens == sum(min(w, c) for w in want) and r.dropped_tokens == sum(max(w - c, 0) for w in want)
+    for c in (3, 50, 10_000):
+        assert lengths.truncated_total(at, c).first().tokens == sum(min(w, c) for w in want)
+
+
+def check_substrings(docs, rows):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, digests=True).collect()}
+    assert got == brute.remove_words(rows)
+
+
+def test_substrings(spark, docs, rows, sf):
+    check_substrings(docs, rows)
+    check_substrings(table(spark, sf, "documents"), corpus(spark, sf))
+
+
+def test_difference_cover():
+    cover = set(substrings.COVER)
+    for p in range(13):
+        for q in range(13):
+            assert any((p + t) % 13 in cover and (q + t) % 13 in cover for t in range(13))
+
+
+def test_language_on_held_out_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    found = langid.identify(docs, langid.fit(docs), keep=["doc_id"]).collect()
+    out = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(r.lang_pred == known[r.doc_id] for r in out) >= 0.97 * len(out) > 0
+    assert all(0 <= r.lang_score <= 1 for r in found)
+
+
+def test_code_lengths_against_plain_trees():
+    samples = {"a": [b"abracadabra", b"abba"], "b": [b"bbbbc", b"cab", b""]}
+    trees = langid.ContextTrees(samples, 2)
+    seen = sorted({x for ts in samples.values() for t in ts for x in t})
+
+    def bits(lang, text):
+        counts = {}
+        for t in samples[lang]:
+            for i, x in enumerate(t):
+                past = (None, None, *t[:i])
+                for k in range(3):
+                    ctx = past[len(past) - k :]
+                    counts.setdefault(ctx, {}).setdefault(x, 0)
+                    counts[ctx][x] += 1
+
+        def cost(ctx, x):
+            if ctx is None:
+                return 8.0
+            shorter = ctx[1:] if ctx else None
+            c = counts.get(ctx)
+            if not c:
+                return cost(shorter, x)
+            n, d = sum(c.values()), len(c)
+            return np.log2((n + d) / c[x]) if x in c else np.log2((n + d) / d) + cost(shorter, x)
+
+        total = 0.0
+        for i, x in enumerate(text):
+            past = tuple(y if y is None or y in seen else "?" for y in (None, None, *text[:i]))
+            total += cost(past[-2:], x)
+        return total
+
+    texts = [b"abra", b"cab", b"zab", b"", b"bbc?cc"]
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = trees.code_lengths(buf, offsets)
+    want = [[bits(lang, t) for lang in ("a", "b")] for t in texts]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_language_hard_cases(spark, docs, empty):
+    found = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs), keep=["doc_id"]).collect()}
+    assert all(found[d].lang_pred == "und" and found[d].lang_score == 0 for d in (3, 4, 5, 61))
+    none = langid.identify(docs, langid.fit(empty), keep=["doc_id"])
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+RUNS = {
+    "minhash": minhash.near_duplicates,
+    "secrets": secrets.scan,
+    "spotsigs": lambda d: spotsigs.with_next(d, "doc_id", "text"),
+    "pieces": pieces.encode_decode,
+    "suffixes": suffixes.remove_repeats,
+    "mixing": mixing.chances,
+    "lengths": lambda d: lengths.encoded_lengths(d, keep=("doc_id",)),
+    "substrings": substrings.remove_repeats,
+    "langid": lambda d: langid.identify(d, langid.fit(d)),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_empty_table(empty, name):
+    assert RUNS[name](empty).count() == 0
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_clashing_columns_null_ids_and_repeated_rows(clashing, name):
+    twice = clashing.union(clashing)
+    assert RUNS[name](twice).count() == 2 * clashing.count()
