@@ -233,9 +233,62 @@ def reviews_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")).alias("newest"), (1_048_576 - F.floor("value").cast("long")).alias("priority"))
 
 
-QUERIES = {f.__name__: f for f in (domain_verdicts, curve_assignment, figure_curves, table_cells, column_pairs, overlap_resolution, base_style, scanned_vote, line_number_merge, paragraph_split, line_text, unicode_forms, model_names, placeholder_scan, formula_split, layout_union, font_lookup, formula_anchors, fallback_lines, split_report, part_renumber, reviews_by_job)}
+def formula_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive characters that are formula ones or not, as runs; very small characters never break a run."""
+    a = F.col("a")
+    rows = chars(spark, sf_dir).select("page", "char_id", (F.col("char_id") % 7 < 3).alias("formula"), (S.area(a) < 45).alias("tiny"))
+    w = Window.partitionBy("page").orderBy("char_id")
+    # A small character takes the class of the last larger one; the first ones of a page have their own.
+    carried = F.last(F.when(~F.col("tiny"), F.col("formula")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("kind", F.coalesce(carried, F.col("formula")))
+    new = F.coalesce((F.lag("kind").over(w) != F.col("kind")).cast("int"), F.lit(1))
+    return rows.withColumn("new", new).groupBy("page").agg(F.sum("new").alias("runs"), F.count(F.when(F.col("kind"), 1)).alias("formula_chars"))
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page by a key that weighs columns against lines (flow 0.5)."""
+    b = F.col("b")
+    key = (1 - 0.5) * b["x"] - (1 + 0.5) * (b["y"] + b["y2"])
+    return layouts(spark, sf_dir).select("page", "layout_id", F.row_number().over(Window.partitionBy("page").orderBy(key, "layout_id")).alias("place"))
+
+
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a page: bands of boxes that overlap in height by more than half, cut where the next box is over 3.5 heights away."""
+    a = F.col("a")
+    rows = chars(spark, sf_dir).select("page", "char_id", a["x"].alias("x"), a["x2"].alias("x2"), a["y"].alias("y"), a["y2"].alias("y2"))
+
+    def cluster(page: pd.DataFrame) -> pd.DataFrame:
+        bands: list[list[tuple]] = []
+        for r in page.itertuples(index=False):
+            for band in reversed(bands):
+                y, y2 = band[0].y, band[0].y2
+                if min(y2, r.y2) - max(y, r.y) > 0.5 * min(y2 - y, r.y2 - r.y):
+                    band.append(r)
+                    break
+            else:
+                bands.append([r])
+        out, line = [], 0
+        for band in bands:
+            end = None
+            for r in sorted(band, key=lambda r: (r.x, r.char_id)):
+                if end is not None and r.x - end > 3.5 * (r.y2 - r.y):
+                    line += 1
+                out.append((r.page, r.char_id, line))
+                end = r.x2 if end is None else max(end, r.x2)
+            line += 1
+        return pd.DataFrame(out, columns=["page", "char_id", "line"])
+
+    return ordered_fold(rows, ["page"], ["y", "char_id"], cluster, "page long, char_id long, line int")
+
+
+QUERIES = {f.__name__: f for f in (formula_runs, reading_order, line_clusters, domain_verdicts, curve_assignment, figure_curves, table_cells, column_pairs, overlap_resolution, base_style, scanned_vote, line_number_merge, paragraph_split, line_text, unicode_forms, model_names, placeholder_scan, formula_split, layout_union, font_lookup, formula_anchors, fallback_lines, split_report, part_renumber, reviews_by_job)}
 _YOV = "greatest(least(a.y2, b.y2) - greatest(a.y, b.y), 0) / least(a.y2 - a.y, b.y2 - b.y)"
 ORACLE_SQL = {
+    "formula_runs": f"""WITH {_C}, t AS (SELECT page, char_id, char_id % 7 < 3 AS formula, (x2 - x) * (y2 - y) < 45 AS tiny FROM c),
+        k AS (SELECT page, char_id, coalesce(last_value(CASE WHEN NOT tiny THEN formula END IGNORE NULLS) OVER (PARTITION BY page ORDER BY char_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), formula) AS kind FROM t),
+        n AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY page ORDER BY char_id) IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM k)
+        SELECT page, CAST(sum(new) AS BIGINT) AS runs, count(*) FILTER (kind) AS formula_chars FROM n GROUP BY page""",
+    "reading_order": f"WITH {_L} SELECT page, layout_id, CAST(row_number() OVER (PARTITION BY page ORDER BY 0.5::DOUBLE * x - 1.5::DOUBLE * (y + y2), layout_id) AS INTEGER) AS place FROM l",
     "domain_verdicts": """WITH d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'legal' ELSE 'hr' END AS a, CASE WHEN doc_id % 3 = 0 THEN 'legal' ELSE 'hr' END AS b, (doc_id % 10) / 10 AS c FROM documents)
         SELECT CASE WHEN a = b THEN 'ok' WHEN c < 0.7 THEN 'unsure' ELSE 'mismatch' END AS verdict, count(*) AS n FROM d GROUP BY 1""",
     "curve_assignment": f"""WITH {_C}, {_L}, p AS (SELECT a.char_id, b.layout_id, {_OV} / {_AR} >= 0.95 AS exact, sqrt(pow((a.x + a.x2) / 2 - (b.x + b.x2) / 2, 2) + pow((a.y + a.y2) / 2 - (b.y + b.y2) / 2, 2)) AS d
