@@ -3,16 +3,18 @@
 A document's set holds its distinct shingles of ``WORDS`` words. Documents of
 equal sets form one class, pre-aggregated before anything else is shuffled; the
 class's least id stands for it. Bands of minima bring similar classes into
-buckets. In each bucket every class is first compared with the bucket's least
-one only. What these links leave in different components inside one bucket is
-then compared in tiles, pairs of one component excepted, behind a filter on
-signature agreement (six standard deviations below the threshold). Every link is
-confirmed on the full sets. No bucket is capped. With 36 bands of 4 minima a
+buckets; band keys travel packed, and only keys that two classes share come out
+as rows. In each bucket every class is first compared with the bucket's
+centre only. What these links leave in different components inside one bucket is
+then compared in tiles, pairs of one component excepted, behind a filter on finer
+signatures of these documents: 2048 minima of 2 bits, whose agreement at the
+threshold is taken six standard deviations low. Every link is
+confirmed on the full sets. No bucket is capped. With 71 bands of 6 minima a
 pair at the threshold shares a bucket with probability 1 - 1e-6.
 
 Defined results: no text or words: an empty set, linked with nothing; a null id
 takes no part in linking, has no component and is kept; rows that repeat an id
-are one node with all their links; very long texts are hashed whole; only the
+are each linked by their own text; very long texts are hashed whole; only the
 named columns are read; an empty table gives an empty result.
 """
 
@@ -27,11 +29,16 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import binary_of, blocks, cut, raw, table
 from scriptorium.llm.components import connected_components
+from scriptorium.llm.exchange import changes, gather, split
 from scriptorium.llm.words import LOWER, mixed, word_hashes
 
 WORDS = 5
 THRESHOLD = 75
-BANDS, ROWS = 36, 4
+BANDS, ROWS = 71, 6
+#: Minima of the finer signatures; two bits of each are kept.
+FINE = 2048
+#: Bytes of band keys of one exchange bucket, and of the least number of buckets.
+KEY_BYTES, LEAST_BUCKETS = 16 << 20, 12
 #: Members of a bucket that one task compares with one another.
 TILE = 2048
 #: Ids that may be broadcast; beyond, the same join shuffles.
@@ -40,6 +47,8 @@ BROADCAST_IDS = 2_000_000
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = (_seeds.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
 _ADD = _seeds.integers(0, 2**32, BANDS * ROWS, np.uint32)[:, None]
+_FINE_MULTIPLY = (_seeds.integers(0, 2**32, FINE, np.uint32) | np.uint32(1))[:, None]
+_FINE_ADD = _seeds.integers(0, 2**32, FINE, np.uint32)[:, None]
 _PLACE = _seeds.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _seeds.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -64,33 +73,87 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray, step: int = 2048) -> np.ndarray:
+def signature(shingles: np.ndarray, multiply: np.ndarray = _MULTIPLY, add: np.ndarray = _ADD, cells: int = 1 << 19) -> np.ndarray:
     """The minima of all universal hash functions over a set."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    least = np.full(len(multiply), 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
+    step = max(1, cells // len(multiply))
     for i in range(0, len(x), step):
-        np.minimum(least, (_MULTIPLY * x[i : i + step] + _ADD).min(1), out=least)
+        np.minimum(least, (multiply * x[i : i + step] + add).min(1), out=least)
     return least
 
 
+def _fine(batches):
+    """The finer signatures, four minima to a byte."""
+    for batch in batches:
+        buf, offsets = raw(batch.column(1))
+        out = []
+        for i, j in blocks(offsets, 500_000):
+            for found in shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                bits = (signature(found, _FINE_MULTIPLY, _FINE_ADD) & np.uint32(3)).astype(np.uint8).reshape(-1, 4)
+                out.append((bits << np.arange(0, 8, 2, dtype=np.uint8)).sum(1, dtype=np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), binary_of(out)], ["node", "fine"])
+
+
 def _sketch(batches):
+    """Size and hash of each set; band keys for the least id of each set in the batch."""
     for batch in batches:
         buf, offsets = raw(batch.column(1))
+        ids = batch.column(0).to_pylist()
+        sizes, hashes, first, sketched = [], [], {}, []
         for i, j in blocks(offsets, 500_000):
-            sets = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            minima = np.array([signature(s) for s in sets], np.uint32).reshape(-1, BANDS, ROWS)
-            keys = mixed((minima.astype(np.uint64) * _BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            low = (minima.reshape(len(sets), -1) & np.uint32(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, j - i),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    binary_of([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
-                    binary_of([x.tobytes() for x in low]),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()),
-                ],
-                ["doc_id", "n_shingles", "set_hash", "low", "keys"],
-            )
+            for k, found in enumerate(shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i):
+                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                sizes.append(len(found)), hashes.append(digest)
+                if len(found) and ids[k] is not None:
+                    if digest not in first:
+                        sketched.append(signature(found))
+                        first[digest] = [k, len(first)]
+                    elif ids[k] < ids[first[digest][0]]:
+                        first[digest][0] = k
+        minima = np.array(sketched, np.uint32).reshape(-1, BANDS, ROWS)
+        keys = mixed((minima.astype(np.uint64) * _BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        of = {k: n for k, n in first.values()}
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(sizes, pa.int64()),
+                binary_of(hashes),
+                binary_of([keys[of[k]].tobytes() if k in of else None for k in range(len(ids))]),
+            ],
+            ["doc_id", "n_shingles", "set_hash", "keys"],
+        )
+
+
+def _send(buckets: int):
+    """Band keys by bucket, packed with the ids and set hashes that they come from."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            sets = np.frombuffer(b"".join(h[:8] for h in batch.column(1).to_pylist()), np.int64)
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+            owner = np.repeat(np.arange(len(ids)), BANDS)
+            sent = list(split(keys % np.uint64(buckets), owner, [keys], [ids, sets]))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), binary_of([x for _, x in sent])], ["bucket", "body"])
+
+    return run
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """(key, node) of keys that two classes share, with the number of nodes."""
+    (keys,), (ids, sets), owner, _ = gather(rows.column("body").to_pylist(), 1, 2)
+    ids, sets = ids[owner], sets[owner]
+    order = np.lexsort((ids, sets, keys))
+    order = order[changes(keys[order], sets[order])]  # the least id of each class
+    keys, ids = keys[order], ids[order]
+    at = np.flatnonzero(changes(keys))
+    size = np.diff(np.append(at, len(keys)))
+    many = np.repeat(size > 1, size)
+    columns = (keys.view(np.int64), ids, np.repeat(size, size))
+    return pa.table(dict(zip(("key", "node", "members"), (pa.array(c[many], pa.int64()) for c in columns), strict=True)))
 
 
 def _full_sets(batches):
@@ -130,8 +193,10 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _across(_key: tuple, rows: pa.Table) -> pa.Table:
     """Pairs of a tile whose components differ and whose signatures agree."""
     nodes, parts, block = (rows.column(c).to_numpy() for c in ("node", "component", "block"))
-    low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(nodes), -1)
-    need = int(low.shape[1] * (THRESHOLD / 100 - 6 * (0.75 * 0.25 / low.shape[1]) ** 0.5)) if len(nodes) else 0
+    fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint64).reshape(len(nodes), -1)
+    chance = THRESHOLD / 100 + (1 - THRESHOLD / 100) / 4
+    most_apart = FINE - int(FINE * (chance - 6 * (chance * (1 - chance) / FINE) ** 0.5))
+    pairs_of_bits = np.uint64(0x5555555555555555)
     cross = len(set(block.tolist())) > 1
     kinds, counts = np.unique(parts, return_counts=True)
     rare = np.flatnonzero(parts != kinds[counts.argmax()]) if len(nodes) else []
@@ -143,7 +208,8 @@ def _across(_key: tuple, rows: pa.Table) -> pa.Table:
         if cross:
             fit &= block != block[i]
         at = np.flatnonzero(fit)
-        at = at[(low[at] == low[i]).sum(1) >= need]
+        apart = fine[at] ^ fine[i]
+        at = at[np.bitwise_count((apart | (apart >> np.uint64(1))) & pairs_of_bits).sum(1) <= most_apart]
         us.append(np.full(len(at), nodes[i]))
         vs.append(nodes[at])
     u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
@@ -153,25 +219,31 @@ def _across(_key: tuple, rows: pa.Table) -> pa.Table:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable over links) and kept (it is that id)."""
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_hash binary, low binary, keys array<long>"))
-    classes = cut(
-        sketches.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("node"), F.first("low").alias("low"), F.first("keys").alias("keys"))
-    )
-    bands = classes.select("node", F.explode("keys").alias("key"))
-    buckets = cut(bands.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).filter("members > 1"))
-    inside = cut(bands.join(buckets, "key"))
-    first = links(inside.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), docs)
+    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_hash binary, keys binary"))
+    classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+    heads = sketches.filter("keys is not null")
+    buckets = max(LEAST_BUCKETS, -(-heads.count() * BANDS * 8 // KEY_BYTES))
+    sent = heads.select("doc_id", "set_hash", "keys").mapInArrow(_send(buckets), "bucket int, body binary")
+    inside = cut(sent.groupBy("bucket").applyInArrow(_meet, "key long, node long, members long"))
+    # A bucket's centre is its member that meets most others over all buckets, as the text does that copies were made of.
+    degree = inside.groupBy("node").agg(F.sum("members").alias("degree"))
+    best = F.max_by("node", F.struct("degree", -F.col("node")))
+    centres = inside.join(degree, "node").groupBy("key").agg(best.alias("centre"))
+    inside = cut(inside.join(centres, "key"))
+    stars = inside.filter("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+    first = links(stars, docs)
     parts = connected_components(first)
 
     # Buckets that still hold several components: compare across them, in tiles.
     placed = inside.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    mixed_up = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
+    opened = cut(placed.join(mixed_up, "key", "left_semi"))
+    few = opened.count() <= BROADCAST_IDS // 4
+    nodes = opened.select(F.col("node").alias("id")).distinct()
+    fine = cut(docs.join(F.broadcast(nodes) if few else nodes, "id", "left_semi").select("id", "text").mapInArrow(_fine, "node long, fine binary"))
     open_ = (
-        placed.join(split, "key", "left_semi")
-        .join(classes.select("node", "low"), "node")
+        fine.join(F.broadcast(opened) if few else opened, "node")
         .withColumn("tiles", F.when(F.col("members") > 2 * TILE, tiles).otherwise(1))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -179,8 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("tile_b", F.greatest("block", "other"))
     )
     across = open_.groupBy("key", "tile_a", "tile_b").applyInArrow(_across, "u long, v long").distinct()
-    seen = inside.select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    rest = links(across.join(seen, ["u", "v"], "left_anti"), docs)
+    rest = links(across.join(stars, ["u", "v"], "left_anti"), docs)
     parts = connected_components(first.union(rest))
 
     # Classes of one id (repeated ids with other texts) are one node.
