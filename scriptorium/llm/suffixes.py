@@ -18,6 +18,10 @@ updates the common prefixes of neighbours. A window repeats where a neighbour's
 common prefix reaches its length. The columns come and go as sequential shuffle
 files; a bucket has a fixed number of bytes, so its state stays in memory.
 
+An anchor hash of more than ``HOT`` classes, as at the edge of a passage that
+very many texts share, would bring them all to one bucket. The windows of such
+fragments are compared by 96-bit hash instead, dealt out by that hash.
+
 Defined results: null and empty texts have no bytes; documents shorter than
 ``LENGTH`` bytes lose nothing; a repeated row is one more copy, so its strings
 stand elsewhere too; null ids are told apart by their text; only the named
@@ -42,7 +46,14 @@ GRAM = 32
 #: Windows that are hashed at a time; positions take the low bits of a hash.
 STRETCH, PLACE_BITS = 1 << 22, 24
 
-ASK, COVERED, SHIP = 0, 1, 3
+#: Classes of one anchor hash up to which they are ordered in one bucket.
+HOT = 2048
+#: Hot fragments whose windows are hashed at a time.
+HOT_STEP = 512
+
+ASK, COVERED, WINDOWS, SHIP = 0, 1, 2, 3
+#: Marks of a shipped fragment: it repeats as a whole; its anchor hash is hot.
+FULL, IS_HOT = 1, 2
 
 
 def _sums(buf: np.ndarray, base: int) -> np.ndarray:
@@ -231,35 +242,62 @@ def _classes(_key: tuple, rows: pa.Table) -> pa.Table:
         total = np.add.reduceat(many[order].astype(np.int64) + 1, at)
         full = np.zeros(len(h), bool)
         full[order] = np.repeat(total > 1, np.diff(np.append(at, len(h))))
-        several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(group)) > 1
-        several = np.repeat(several, np.diff(np.append(np.flatnonzero(group), len(h))))
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(group))
+        kinds = np.repeat(kinds, np.diff(np.append(np.flatnonzero(group), len(h))))
+        marks = full.astype(np.uint8)
+        marks[order[kinds > HOT]] |= IS_HOT
         hit = np.flatnonzero(full & (many == 0))
         out += [(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], [lo[hit], lo[hit] + more[hit] + np.uint32(LENGTH)], [key, mark])]
-        ship = np.sort(order[new & several])
-        out += [(to, SHIP, b) for to, b in split(part[owner[ship]], owner[ship], [h[ship], lo[ship], da[ship], more[ship], full[ship].astype(np.uint8)], [key, mark])]
+        ship = np.sort(order[new & (kinds > 1)])
+        out += [(to, SHIP, b) for to, b in split(part[owner[ship]], owner[ship], [h[ship], lo[ship], da[ship], more[ship], marks[ship]], [key, mark])]
     return _rows(out)
 
 
+def _windows(buf: np.ndarray, starts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragment, offset and two hashes of every window of some fragments."""
+    size = more + LENGTH
+    data = np.concatenate([buf[s : s + z] for s, z in zip(starts.tolist(), size.tolist(), strict=True)])
+    begin = np.cumsum(size) - size
+    which = np.repeat(np.arange(len(starts)), more + 1)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    at = begin[which] + offset
+    hashes = []
+    for base in BASES:
+        sums = _sums(data, base)
+        hashes.append(mixed((sums[at + LENGTH] - sums[at]) * powers(base, len(data) + 1)[1][at]))
+    return which, offset, *hashes
+
+
 def _ship(parts: int):
     def run(_key: tuple, docs: pa.Table, flags: pa.Table) -> pa.Table:
         key, mark = docs.column("key").to_numpy(), docs.column("mark").to_numpy()
         place = {x: i for i, x in enumerate(zip(key.tolist(), mark.tolist(), strict=True))}
-        (h, lo, da, more, full), (k, m), owner, _ = gather(flags.column("body").to_pylist(), 5, 2)
+        (h, lo, da, more, marks), (k, m), owner, _ = gather(flags.column("body").to_pylist(), 5, 2)
         if not len(h) or not place:
             return _rows([])
         part = docs.column("part")[0].as_py()
         row = np.array([place[x] for x in zip(k.tolist(), m.tolist(), strict=True)], np.int64)[owner]
         buf, offsets = raw(docs.column("text"))
+        names = [key, mark, np.full(len(key), part, np.int32)]
+        out, hot = [], np.flatnonzero(marks & IS_HOT)
+        for i in range(0, len(hot), HOT_STEP):
+            some = hot[i : i + HOT_STEP]
+            which, offset, h1, h2 = _windows(buf, offsets[row[some]] + lo[some], more[some].astype(np.int64))
+            columns = [h1, h2.astype(np.uint32), lo[some][which], offset.astype(np.uint16), marks[some][which] & np.uint8(FULL)]
+            out += [(b, WINDOWS, blob) for b, blob in split((h1 >> np.uint64(20)) % np.uint64(parts), row[some][which], columns, names)]
+        cold = np.flatnonzero(~marks & IS_HOT)
+        if not len(cold):
+            return _rows(out)
+        h, lo, da, more, full, row = h[cold], lo[cold], da[cold], more[cold], marks[cold], row[cold]
         bucket = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(changes(bucket[order]))
-        out = []
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
             at = order[i:j]
             start, size = offsets[row[at]] + lo[at], more[at].astype(np.int64) + LENGTH
             data = np.concatenate([buf[s : s + z] for s, z in zip(start.tolist(), size.tolist(), strict=True)])
             columns = [h[at], lo[at], da[at], more[at], full[at]]
-            (blob,) = (b for _, b in split(np.zeros(len(at), np.int64), row[at], columns, [key, mark, np.full(len(key), part, np.int32)]))
+            (blob,) = (b for _, b in split(np.zeros(len(at), np.int64), row[at], columns, names))
             # ``split`` keeps the order of rows here, so the bytes stay aligned with them.
             out.append((int(bucket[at[0]]), ASK, len(blob).to_bytes(8, "little") + blob + data.tobytes()))
         return _rows(out)
@@ -269,11 +307,36 @@ def _ship(parts: int):
 
 def _compare(rows: pa.Table) -> pa.Table:
     """What repeats of fragments that differ as a whole."""
-    bodies = [b.as_buffer() for b in rows.column("body")]
+    kinds, bodies = rows.column("kind").to_pylist(), [b.as_buffer() for b in rows.column("body")]
+    return _rows([*_hot([b for k, b in zip(kinds, bodies, strict=True) if k == WINDOWS]), *_ordered([b for k, b in zip(kinds, bodies, strict=True) if k == ASK])])
+
+
+def _hot(bodies: list) -> list[tuple[int, int, bytes]]:
+    """Windows that others equal, joined for each fragment; any two windows of one overlap."""
+    (h1, h2, lo, offset, full), (key, mark, part), owner, blob = gather(bodies, 5, 3)
+    if not len(h1):
+        return []
+    order = np.lexsort((h2, h1))
+    new = changes(h1[order], h2[order])
+    shared = np.zeros(len(h1), bool)
+    shared[order] = ~(new & np.append(new[1:], True))
+    hit = np.flatnonzero(shared & (full == 0))
+    if not len(hit):
+        return []
+    hit = hit[np.lexsort((offset[hit], lo[hit], owner[hit]))]
+    first = np.flatnonzero(changes(owner[hit], lo[hit]))
+    last = np.append(first[1:], len(hit)) - 1
+    who, begin = owner[hit[first]], lo[hit[first]].astype(np.int64)
+    ends = [(begin + offset[hit[first]]).astype(np.uint32), (begin + offset[hit[last]] + LENGTH).astype(np.uint32)]
+    return [(to, COVERED, b) for to, b in split(part[who], who, ends, [key, mark])]
+
+
+def _ordered(bodies: list) -> list[tuple[int, int, bytes]]:
+    """Repeats of aligned fragments by column-wise construction."""
     sizes = [int.from_bytes(b.slice(0, 8).to_pybytes(), "little") for b in bodies]
     (h, lo, da, more, full), (key, mark, part), owner, _ = gather([b.slice(8, s) for b, s in zip(bodies, sizes, strict=True)], 5, 3)
     if not len(h):
-        return _rows([])
+        return []
     data = np.concatenate([np.frombuffer(b, np.uint8, -1, 8 + s) for b, s in zip(bodies, sizes, strict=True)])
     size = more.astype(np.int64) + LENGTH
     starts = np.cumsum(size) - size
@@ -282,7 +345,7 @@ def _compare(rows: pa.Table) -> pa.Table:
     hit = np.flatnonzero((first <= last) & (full == 0))
     begin = lo[hit].astype(np.int64) + (first - left)[hit]
     end = lo[hit].astype(np.int64) + (last - left)[hit] + LENGTH
-    return _rows([(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], [begin.astype(np.uint32), end.astype(np.uint32)], [key, mark])])
+    return [(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], [begin.astype(np.uint32), end.astype(np.uint32)], [key, mark])]
 
 
 def _finish(digests: bool):

@@ -150,7 +150,9 @@ def test_suffixes(spark, docs, rows, sf):
     check_suffixes(table(spark, sf, "documents"), corpus(spark, sf))
 
 
-def test_suffixes_at_odd_offsets(spark):
+@pytest.mark.parametrize("hot", [2048, 1, 4])
+def test_suffixes_at_odd_offsets(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     r = random.Random(8)
     base = "".join(r.choice("abcdefgh ") for _ in range(3000))
     rows = []
