@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table
+from scriptorium.llm.common import cut, table
 from scriptorium.llm.pieces import MODEL, ChunkTable, _groups
 
 #: Lengths of a range; a range's window holds so many rows at most.
-RANGE = 4096
+RANGE = 256
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", model_file: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -55,6 +55,7 @@ def limits(hist: DataFrame) -> DataFrame:
     Between two lengths nothing changes but the truncated total, which grows by
     ``docs_over`` with each token of the limit; so these rows answer every limit.
     """
+    hist = cut(hist)  # it's used three times, and texts are encoded once
     hist = hist.withColumn("range", F.floor(F.col("length") / RANGE)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     ranges = hist.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     behind = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
