@@ -59,7 +59,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return segment_hashes(words, at, at + ANCHOR, BASES[1]), text, pos
 
 
-def _ask(parts: int):
+def _ask(buckets: int):
     def run(batches):
         for batch in batches:
             key, mark, part = (batch.column(i).to_numpy() for i in range(3))
@@ -80,12 +80,12 @@ def _ask(parts: int):
             out = []
             # Repeated in this batch: flagged at once, and sent as a witness for others.
             for to, blob in split(part[t[~once]], t[~once], [p[~once]], [key, mark]):
-                out.append((to % parts, FLAG, to, blob))
+                out.append((to % buckets, FLAG, to, blob))
             witnesses = sorted_h[new & ~alone]
             h, t, p = h[once], t[once], p[once]
-            bucket = (h >> np.uint64(40)) % np.uint64(parts)
+            bucket = (h >> np.uint64(40)) % np.uint64(buckets)
             asked = dict(split(bucket, t, [h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8), p], [key, mark, part]))
-            bucket = (witnesses >> np.uint64(40)) % np.uint64(parts)
+            bucket = (witnesses >> np.uint64(40)) % np.uint64(buckets)
             seen = dict(split(bucket, np.zeros(len(bucket), np.int64), [witnesses & np.uint64((1 << 40) - 1)], [np.zeros(1, np.uint8)]))
             nothing = pack(np.empty(0, np.uint64))
             for b in asked.keys() | seen.keys():
@@ -157,36 +157,45 @@ class _Part:
         self.firsts = np.flatnonzero(new)
 
 
-def _offer(parts: int):
+def _dealt(p: _Part, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part's first windows in order of bucket, and each one's bucket; inside a bucket the order stays."""
+    bucket = ((p.h1[p.firsts] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return p.firsts[order], bucket[order]
+
+
+def _offer(buckets: int):
     def run(_key: tuple, docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows([])
         p, source = _Part(docs, flags), docs.column("part")[0].as_py()
-        at = p.firsts
-        bucket = (p.h1[at] >> np.uint64(40)) % np.uint64(parts)
-        columns = [p.h1[at], p.h2[at], np.arange(len(at), dtype=np.uint32)]
-        return _rows([(b, LATER, source, blob) for b, blob in split(bucket, p.owner[at], columns, [p.key, p.mark])])
+        at, bucket = _dealt(p, buckets)
+        return _rows([(b, LATER, source, blob) for b, blob in split(bucket, p.owner[at], [p.h1[at], p.h2[at]], [p.key, p.mark])])
 
     return run
 
 
-def _later(rows: pa.Table) -> pa.Table:
-    """For each part, those of its first windows that start earlier elsewhere."""
-    (h1, h2, nth), (key, mark), owner, blob = gather(rows.column("body").to_pylist(), 3, 2)
-    order = np.lexsort((nth, mark[owner], key[owner], h2, h1))
-    later = order[~changes(h1[order], h2[order])]
+def _later(bucket: tuple, rows: pa.Table) -> pa.Table:
+    """For each part, the places in its value of those windows that start earlier elsewhere."""
+    (h1, h2), (key, mark), owner, blob = gather(rows.column("body").to_pylist(), 2, 2)
+    size = np.bincount(blob, minlength=rows.num_rows) if len(blob) else np.zeros(rows.num_rows, np.int64)
+    place = np.arange(len(h1)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((place, mark[owner], key[owner], h2, h1))
+    later = np.sort(order[~changes(h1[order], h2[order])])
     source = np.array(rows.column("source").to_pylist(), np.int64)
-    return _rows([(to, LATER, 0, b) for to, b in split(source[blob[later]], np.zeros(len(later), np.int64), [nth[later]], [np.zeros(1, np.uint8)])])
+    return _rows([(to, LATER, bucket[0].as_py(), b) for to, b in split(source[blob[later]], np.zeros(len(later), np.int64), [narrow(place[later])], [np.zeros(1, np.uint8)])])
 
 
-def _finish(digests: bool):
+def _finish(digests: bool, buckets: int):
     def run(_key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         p = _Part(docs, answers)
         gone = np.ones(len(p.start), bool)
         gone[p.firsts] = False
-        for kind, b in zip(answers.column("kind").to_pylist(), answers.column("body").to_pylist(), strict=True):
+        dealt, bucket = _dealt(p, buckets)
+        starts = np.searchsorted(bucket, np.arange(buckets))
+        for kind, source, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "source", "body")), strict=True):
             if kind == LATER:
-                gone[p.firsts[unpack(b)[0]]] = True
+                gone[dealt[starts[source] + unpack(b)[0].astype(np.int64)]] = True
         at = np.flatnonzero(gone)
         cover: dict[tuple[int, int], np.ndarray] = {}
         cuts = np.flatnonzero(changes(p.owner[at])).tolist()
@@ -215,12 +224,14 @@ def _finish(digests: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the kept words joined by a space (``digests``: their SHA-256)."""
     docs, parts = keyed(docs, id_col, text_col)
-    asked = docs.select("key", "mark", "part", "text").mapInArrow(_ask(parts), ROWS)
+    # Buckets of hashes are larger than parts, so that names of documents take little of their values.
+    buckets = max(12, parts // 4)
+    asked = docs.select("key", "mark", "part", "text").mapInArrow(_ask(buckets), ROWS)
     flags = cut(asked.groupBy("bucket").applyInArrow(_answer, ROWS))
     groups = docs.groupBy("part")
-    offered = groups.cogroup(flags.groupBy("bucket")).applyInArrow(_offer(parts), ROWS)
+    offered = groups.cogroup(flags.groupBy("bucket")).applyInArrow(_offer(buckets), ROWS)
     later = offered.groupBy("bucket").applyInArrow(_later, ROWS)
-    done = groups.cogroup(flags.union(later).groupBy("bucket")).applyInArrow(_finish(digests), "doc_id long, n_words long, n_removed long, kept string")
+    done = groups.cogroup(flags.union(later).groupBy("bucket")).applyInArrow(_finish(digests, buckets), "doc_id long, n_words long, n_removed long, kept string")
     return done.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept")
 
 
