@@ -41,8 +41,8 @@ FINE = 2048
 KEY_BYTES, LEAST_BUCKETS = 16 << 20, 12
 #: Members of a bucket that one task compares with one another.
 TILE = 2048
-#: Ids that may be broadcast; beyond, the same join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Ids, and bytes of full sets, that may be broadcast; beyond, the same joins shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 2_000_000, 16 << 20
 
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = (_seeds.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
@@ -186,6 +186,8 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = cut(texts.select("id", "text").mapInArrow(_full_sets, "id long, shingles binary"))
+    if (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) <= BROADCAST_BYTES:
+        sets = F.broadcast(sets)  # few texts in many pairs: then no set travels with each pair
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     return cut(both.select("u", "v", "a", "b").mapInArrow(_confirmed, "u long, v long").distinct())
 
@@ -234,12 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = links(stars, docs)
     parts = connected_components(first)
 
-    # Buckets that still hold several components: compare across them, in tiles.
-    placed = inside.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    opened = cut(placed.join(mixed_up, "key", "left_semi"))
+    # Centres whose buckets still hold several components: compare across these, in tiles, each pair once a centre.
+    met = inside.select("centre", "node").distinct()
+    placed = met.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed_up = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("centre", "members")
+    opened = cut(placed.join(mixed_up, "centre"))
     few = opened.count() <= BROADCAST_IDS // 4
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
     nodes = opened.select(F.col("node").alias("id")).distinct()
     fine = cut(docs.join(F.broadcast(nodes) if few else nodes, "id", "left_semi").select("id", "text").mapInArrow(_fine, "node long, fine binary"))
     open_ = (
@@ -250,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("tile_a", F.least("block", "other"))
         .withColumn("tile_b", F.greatest("block", "other"))
     )
-    across = open_.groupBy("key", "tile_a", "tile_b").applyInArrow(_across, "u long, v long").distinct()
+    across = open_.groupBy("centre", "tile_a", "tile_b").applyInArrow(_across, "u long, v long").distinct()
     rest = links(across.join(stars, ["u", "v"], "left_anti"), docs)
     parts = connected_components(first.union(rest))
 
