@@ -60,7 +60,6 @@ def normalized_key(term):
 
 
 def first_by_key(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:
-    """The first row of each key, in order."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key, in order; aggregated before the shuffle, so a frequent key is one row of each task."""
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(*keys, *[f"_first.{c}" for c in (*order, *rest)])

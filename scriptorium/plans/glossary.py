@@ -19,9 +19,9 @@ def _terms(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each document as term candidates: (doc_id, pos, src, tgt, src_lang)."""
+    """The words of each document as term candidates: (doc_id, pos, src, tgt, src_lang)."""
     docs = table(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.col("lang").alias("src_lang"), F.posexplode(F.slice(F.split("text", "[ \n\t]+"), 1, 8)).alias("pos", "src"))
+    words = docs.select("doc_id", F.col("lang").alias("src_lang"), F.posexplode(F.split("text", "[ \n\t]+")).alias("pos", "src"))
     return words.filter("src <> ''").withColumn("tgt", F.concat(F.substring("src", 1, 2), F.lit("-"), (F.col("doc_id") % 3).cast("string")))
 
 
@@ -46,7 +46,7 @@ def term_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir).withColumn("key", normalized_key(F.col("src")))
-    return first_by_key(rows, ["key"], ["doc_id", "pos"]).select("key", "src", "doc_id")
+    return first_by_key(rows.select("key", "src", "doc_id", "pos"), ["key"], ["doc_id", "pos"]).select("key", "src", "doc_id")
 
 
 def term_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,8 @@ def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms not yet in the store (the even documents' terms), the first writer of each winning."""
     rows = _candidates(spark, sf_dir).withColumn("key", F.lower(F.trim("src")))
     store = rows.filter("doc_id % 2 = 0").select("src_lang", "key").distinct()
-    fresh = rows.filter("doc_id % 2 = 1").join(store, ["src_lang", "key"], "left_anti")
-    return first_by_key(fresh, ["src_lang", "key"], ["doc_id", "pos"]).groupBy("src_lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    fresh = rows.filter("doc_id % 2 = 1").groupBy("src_lang", "key").agg(F.min("doc_id").alias("doc_id")).join(store, ["src_lang", "key"], "left_anti")
+    return fresh.groupBy("src_lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 def bucket_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
