@@ -11,6 +11,8 @@ from scriptorium.runtime import table
 
 #: Longest source of a term, share of dropped candidates that raises an alert.
 LONGEST_TERM, ALERT = 100, 0.5
+#: Terms that one glossary JSON holds about; a language of more is dealt into several by the terms' hash.
+JSON_TERMS = 10_000
 TERMS = ("license", "Rights Reserved", "the", "public", "der", "ción", "token", "and the", "zz-none")
 
 
@@ -81,9 +83,11 @@ def bucket_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glossary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to glossary JSON and back; a target is found by its exact key, else by the first alike."""
-    rows = first_by_key(_candidates(spark, sf_dir).filter("doc_id < 200"), ["src_lang", "src"], ["doc_id", "pos"])
+    words = _candidates(spark, sf_dir)
+    groups = words.agg(F.approx_count_distinct("src").alias("n")).first().n // JSON_TERMS + 1
+    rows = first_by_key(words, ["src_lang", "src"], ["doc_id", "pos"]).withColumn("slice", F.pmod(F.xxhash64("src"), F.lit(groups)))
     term = F.struct(F.col("src").alias("source_term"), F.create_map(F.when(F.col("doc_id") % 2 == 0, "DE").otherwise("de"), F.col("tgt")).alias("translations"))
-    packed = rows.groupBy("src_lang").agg(F.to_json(F.struct(F.collect_list(term).alias("terms"))).alias("json"))
+    packed = rows.groupBy("src_lang", "slice").agg(F.to_json(F.struct(F.collect_list(term).alias("terms"))).alias("json"))
     back = packed.select("src_lang", F.explode(F.from_json("json", "terms array<struct<source_term:string,translations:map<string,string>>>")["terms"]).alias("t"))
     alike = F.get(F.filter(F.map_entries("t.translations"), lambda e: F.lower(e["key"]) == "de"), F.lit(0))["value"]
     return back.select("src_lang", F.col("t.source_term").alias("src"), F.coalesce(F.element_at("t.translations", "de"), alike).alias("tgt"))

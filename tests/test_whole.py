@@ -3,11 +3,13 @@
 import duckdb
 import pytest
 
-from scriptorium.plans import registry
+from scriptorium.plans import glossary, registry
 from test_queries import TABLES, plain
 
+#: Of so many rows that cuts by id show, too.
+LARGER = "/root/testdata/sf0.01"
 #: What the registered SQL leaves out; taken out of a copy here, the SQL itself stays as it is.
-CUTS = ("[1:8]",)
+CUTS = ("[1:8]", " WHERE doc_id < 200")
 
 
 def whole(sf, name):
@@ -35,3 +37,9 @@ def check(spark, sf, name):
 @pytest.mark.parametrize("name", ["term_vote", "term_dedupe", "term_triples", "term_validity", "new_terms", "glossary_json"])
 def test_every_word_of_a_text(spark, sf, name):
     check(spark, sf, name)
+
+
+@pytest.mark.parametrize("terms", [10_000, 500])
+def test_glossary_of_all_documents(spark, monkeypatch, terms):
+    monkeypatch.setattr(glossary, "JSON_TERMS", terms)
+    check(spark, LARGER, "glossary_json")
