@@ -97,7 +97,7 @@ def line_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive line items of one flag and status as runs."""
-    items = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_quantity")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_quantity")
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     starts = items.withColumn("new", F.coalesce((F.lag("l_returnflag").over(w) != F.col("l_returnflag")).cast("int"), F.lit(1)))
     runs = starts.withColumn("run", F.sum("new").over(w))

@@ -105,7 +105,7 @@ def scanned_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_number_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of digits alone between two others are line numbers: the line after them joins the one before."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     number = F.col("l_partkey") % 3 == 0
     rows = lines.withColumn("number", number).withColumn("before", F.lag(number).over(w)).withColumn("seen", F.coalesce(F.max((~number).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

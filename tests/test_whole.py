@@ -9,7 +9,7 @@ from test_queries import TABLES, plain
 #: Of so many rows that cuts by id show, too.
 LARGER = "/root/testdata/sf0.01"
 #: What the registered SQL leaves out; taken out of a copy here, the SQL itself stays as it is.
-CUTS = ("[1:8]", " WHERE doc_id < 200")
+CUTS = ("[1:8]", " WHERE doc_id < 200", " WHERE l_orderkey % 4 = 0", " WHERE l_orderkey % 10 = 0")
 
 
 def whole(sf, name):
@@ -43,3 +43,8 @@ def test_every_word_of_a_text(spark, sf, name):
 def test_glossary_of_all_documents(spark, monkeypatch, terms):
     monkeypatch.setattr(glossary, "JSON_TERMS", terms)
     check(spark, LARGER, "glossary_json")
+
+
+@pytest.mark.parametrize("name", ["paragraph_runs", "line_number_merge"])
+def test_every_order(spark, sf, name):
+    check(spark, sf, name)
