@@ -21,7 +21,7 @@ def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large boxes with a class."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).union(table(spark, sf_dir, "customer").filter("c_custkey <= 300").select(F.col("c_custkey") + 1000))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).union(table(spark, sf_dir, "customer").select(F.col("c_custkey") + 1000))
     x, y = (F.col("k") * 31 % 400).cast("double"), (F.col("k") * 17 % 600).cast("double")
     kind = F.when(F.col("k") % 5 == 0, "title").when(F.col("k") % 5 == 1, "formula").when(F.col("k") % 5 == 2, "figure").otherwise("text")
     return s.select((F.col("k") % 20).alias("page"), F.col("k").alias("layout_id"), kind.alias("class"), S.box(x, y, x + 60 + F.col("k") % 50, y + 40 + F.col("k") % 30).alias("b"))

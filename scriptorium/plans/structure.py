@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,17 +74,18 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layouts(spark, sf_dir).select("page", "layout_id", b["x"].alias("x"), b["x2"].alias("x2"), b["y"].alias("y"), b["y2"].alias("y2"))
 
     def push(page: pd.DataFrame) -> pd.DataFrame:
-        placed: list[list[float]] = []
-        for _, r in page.iterrows():
-            y, height = r["y"], r["y2"] - r["y"]
-            moved = True
-            while moved:
-                moved = False
-                for x, x2, top, bottom in placed:
-                    if x < r["x2"] and r["x"] < x2 and top < y + height and y < bottom:
-                        y, moved = bottom, True
-            placed.append([r["x"], r["x2"], y, y + height])
-        return pd.DataFrame({"page": page["page"], "layout_id": page["layout_id"], "shift": [p[2] for p in placed] - page["y"]})
+        placed: list[tuple[float, ...]] = []  # by their tops, so one pass finds the first free place
+        shifts = []
+        for r in page.itertuples(index=False):
+            y, height = r.y, r.y2 - r.y
+            for top, bottom, x, x2 in placed:
+                if top >= y + height:
+                    break
+                if y < bottom and x < r.x2 and r.x < x2:
+                    y = bottom
+            insort(placed, (y, y + height, r.x, r.x2))
+            shifts.append(y - r.y)
+        return pd.DataFrame({"page": page["page"], "layout_id": page["layout_id"], "shift": shifts})
 
     return ordered_fold(rows, ["page"], ["y", "layout_id"], push, "page long, layout_id long, shift double")
 
