@@ -1,12 +1,12 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
-Base findings come from three patterns per text. Beside them, every long run of
-credential characters is a candidate. Candidate values are hashed and counted
-over the corpus by distinct repositories and distinct owners: a value that many
-owners hold is a copied example (kind ``copied``); a value of few owners that
-looks live, with letters, digits and enough different characters, is a
+Base findings come from three patterns per text. Their values are candidates,
+and beside them every long run of credential characters that looks live, with
+letters, digits and enough different characters. Candidate values are hashed and
+counted over the corpus by distinct repositories and distinct owners: a value
+that many owners hold is a copied example (kind ``copied``), any other one a
 credential of its owner (kind ``owned``). Both kinds are added to the base
-spans; nothing is taken away.
+spans, at the value itself; nothing is taken away.
 
 Defined results: null and empty text have no spans; a null owner or repository
 counts as one unknown value; repeated rows each get their spans and count once
@@ -66,10 +66,12 @@ def _live(value: Column) -> Column:
     return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (different >= DIFFERENT_CHARS)
 
 
-def candidate_spans(text: Column) -> Column:
-    """Runs of credential characters that look live."""
+def candidate_spans(text: Column, base: Column) -> Column:
+    """The values of base findings, and runs of credential characters that look live; each place once."""
     text = F.coalesce(text, F.lit(""))
-    return F.filter(_matches(text, RUN, 3), lambda s: _live(s["value"]))
+    # A finding ends with its value.
+    values = F.transform(base, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), F.lit(3).alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.array_union(values, F.filter(_matches(text, RUN, 3), lambda s: _live(s["value"])))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -84,9 +86,9 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owne
             F.struct(*[F.col(c) for c in keep]).alias("keep"),
             docs[repo_col].cast("string").alias("repo"),
             docs[owner_col].cast("string").alias("owner"),
+            docs[text_col].cast("string").alias("text"),
             base_spans(docs[text_col].cast("string")).alias("base"),
-            candidate_spans(docs[text_col].cast("string")).alias("cands"),
-        )
+        ).select("keep", "repo", "owner", "base", candidate_spans(F.col("text"), F.col("base")).alias("cands"))
     ).withColumn("rid", F.monotonically_increasing_id())
     each = found.filter(F.size("cands") > 0).select("rid", "repo", "owner", F.explode("cands").alias("span")).withColumn("hash", F.sha2("span.value", 256))
     rank = F.when(F.col("n_owners") >= copied_owners, 4).otherwise(3)
