@@ -6,7 +6,8 @@ letters, digits and enough different characters. Candidate values are hashed and
 counted over the corpus by distinct repositories and distinct owners: a value
 that many owners hold is a copied example (kind ``copied``), any other one a
 credential of its owner (kind ``owned``). Both kinds are added to the base
-spans, at the value itself; nothing is taken away.
+spans, at the value itself and with both counts; nothing is taken away. The
+owners alone decide: repositories of one owner are no sign of an example.
 
 Defined results: null and empty text have no spans; a null owner or repository
 counts as one unknown value; repeated rows each get their spans and count once
@@ -34,6 +35,7 @@ COPIED_OWNERS = 3
 DIFFERENT_CHARS = 8
 
 SPAN = "struct<start:bigint,rank:int,end:bigint,value:string>"
+COUNTED = SPAN[:-1] + ",n_repos:bigint,n_owners:bigint>"
 
 
 def _matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
@@ -80,7 +82,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """The ``keep`` columns and ``spans``: array of (start, rank, end, value), sorted, rank counting KINDS."""
+    """The ``keep`` columns and ``spans``: array of (start, rank, end, value, n_repos, n_owners), sorted, rank counting KINDS; base spans have no counts."""
     found = cut(
         docs.select(
             F.struct(*[F.col(c) for c in keep]).alias("keep"),
@@ -91,14 +93,15 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owne
         ).select("keep", "repo", "owner", "base", candidate_spans(F.col("text"), F.col("base")).alias("cands"))
     ).withColumn("rid", F.monotonically_increasing_id())
     each = found.filter(F.size("cands") > 0).select("rid", "repo", "owner", F.explode("cands").alias("span")).withColumn("hash", F.sha2("span.value", 256))
+    uncounted = lambda s: F.struct(*[s[x].alias(x) for x in ("start", "rank", "end", "value")], *[F.lit(None).cast("long").alias(x) for x in ("n_repos", "n_owners")])
     rank = F.when(F.col("n_owners") >= copied_owners, 4).otherwise(3)
     added = (
         each.join(ownership(each), "hash")
         .groupBy("rid")
-        .agg(F.collect_list(F.struct(F.col("span.start").alias("start"), rank.alias("rank"), F.col("span.end").alias("end"), F.col("span.value").alias("value"))).alias("added"))
+        .agg(F.collect_list(F.struct(F.col("span.start").alias("start"), rank.alias("rank"), F.col("span.end").alias("end"), F.col("span.value").alias("value"), "n_repos", "n_owners")).alias("added"))
     )
-    none = F.array().cast(f"array<{SPAN}>")
-    return found.join(added, "rid", "left").select("keep.*", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    none = F.array().cast(f"array<{COUNTED}>")
+    return found.join(added, "rid", "left").select("keep.*", F.sort_array(F.concat(F.transform("base", uncounted), F.coalesce("added", none))).alias("spans"))
 
 
 def rendered(spans: Column) -> Column:
@@ -134,6 +137,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         rendered(F.col("spans")).alias("spans"),
         count(3).alias("n_owned"),
         count(4).alias("n_copied"),
+        F.transform(F.filter("spans", lambda s: s["rank"] >= 3), lambda s: F.struct(s["n_repos"].alias("n_repos"), s["n_owners"].alias("n_owners"))).alias("counts"),
     )
 
 

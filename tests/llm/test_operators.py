@@ -114,6 +114,12 @@ def test_ownership_of_base_findings(spark):
     assert got[99] == [(0, 0, 17), (8, 3, 17)]
 
 
+def test_ownership_counts_with_spans(spark):
+    rows = [(i, "password = changeme", "s0" if i else "s1") for i in range(5)]
+    for r in secrets.scan(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string")).collect():
+        assert [(s.rank, s.n_repos, s.n_owners) for s in r.spans] == [(0, None, None), (3, 5, 2)]
+
+
 def test_spotsigs(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(spotsigs, "RANGE", 3)
     got = {r.id: r for r in spotsigs.with_next(docs, "doc_id", "text").collect()}
