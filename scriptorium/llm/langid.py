@@ -8,10 +8,10 @@ the next shorter context, down to 1/256 for each byte. The statistics are frozen
 after fitting, so a text's code length under a language is an exact sum of
 looked-up costs; the shortest wins.
 
-The fit takes a bounded sample of labelled rows: per language at most
+The fit takes a bounded sample of labelled rows of every language: at most
 ``sample_rows`` documents of at most ``sample_chars`` characters, chosen by a
-hash of the id, for at most ``max_languages`` languages, the most frequent ones.
-Every document is scored over its whole text.
+hash of the id; where a language has too few of these, stretches of so many
+characters of its longer ones. Every document is scored over its whole text.
 
 Defined results: a null or letterless text is ``und`` with score 0; ties go to
 the language that sorts first; with no labelled row everything is ``und``; a
@@ -31,9 +31,10 @@ from scriptorium.llm.common import blocks, raw, table
 MAX_ORDER = 3
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 64
 #: Evidence beyond so many bytes doesn't sharpen the score.
 SCORE_BYTES = 64
+#: Costs looked up at once: bytes of a block times languages.
+BLOCK = 32_000_000
 UNDETERMINED = "und"
 
 
@@ -133,22 +134,41 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 4 == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_order: int = MAX_ORDER, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> ContextTrees:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_order: int = MAX_ORDER, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ContextTrees:
     """Trees of each language from a bounded sample of labelled rows that aren't held out."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return ContextTrees({}, max_order)
-    draw = (F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("ppm")).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    rows = rows.filter(F.length("text") > 0).withColumn("long", F.length("text") > sample_chars)
+    samples = _drawn(rows.filter("not long"), counts, sample_rows, sample_chars)
+    few = [x for x, n in counts.items() if len(samples.get(x, [])) < min(n, sample_rows)]
+    if few:  # whose rows are long, or are empty
+        rows = rows.filter(F.col("lang").isin(few))
+        sizes = {(r.lang, r.long): r.n for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
+        for long in (False, True):
+            part = {x: n for (x, kind), n in sizes.items() if kind == long and not (long and sizes.get((x, False), 0) >= sample_rows)}
+            found = _drawn(rows.filter(F.col("long") == long), part, sample_rows, sample_chars) if part else {}
+            for x, texts in found.items():
+                samples[x] = [*samples.get(x, []), *texts][:sample_rows] if long else texts
+    return ContextTrees(samples, max_order)
+
+
+def _drawn(rows: DataFrame, counts: dict[str, int], sample_rows: int, sample_chars: int) -> dict[str, list[bytes]]:
+    """About ``sample_rows`` texts, or stretches of them, of each of the counted languages, by a hash of the id."""
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    draw = (F.xxhash64(key, F.lit("ppm")).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * sample_rows / n))])
-    some = rows.withColumn("draw", draw).filter(F.col("draw") < F.coalesce(rate[F.col("lang")], F.lit(0.0))).filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    drawn = sorted((r.draw, r.text, r.lang) for r in some.select("draw", "text", "lang").collect())
+    some = rows.withColumn("draw", draw).filter(F.col("draw") < F.coalesce(rate[F.col("lang")], F.lit(0.0)))
+    start = F.pmod(F.xxhash64(key, F.lit("stretch")), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1)
+    stretch = F.substr("text", (start + 1).cast("int"), F.lit(sample_chars))
+    drawn = sorted((r.draw, r.text, r.lang) for r in some.select("draw", stretch.alias("text"), "lang").collect())
     samples: dict[str, list[bytes]] = {}
     for _, text, lang in drawn:
-        if text and len(samples.setdefault(lang, [])) < sample_rows:
+        if len(samples.setdefault(lang, [])) < sample_rows:
             samples[lang].append(text.encode("utf-8", "surrogatepass"))
-    return ContextTrees({k: v for k, v in samples.items() if v}, max_order)
+    return samples
 
 
 ADDED = ("lang_pred", "lang_score", "bits_per_byte")
@@ -170,7 +190,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text", keep:
         names = np.array([*trees.languages, UNDETERMINED], object)
         for batch in batches:
             buf, offsets = raw(batch.column(len(columns)))
-            bits = np.concatenate([trees.code_lengths(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets, 500_000)] or [np.zeros((0, len(trees.languages)))])
+            bits = np.concatenate([trees.code_lengths(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets, BLOCK // max(len(trees.languages), 64))] or [np.zeros((0, len(trees.languages)))])
             sizes = np.diff(offsets)
             known = np.array(batch.column(len(columns) + 1).to_pylist(), bool) & (len(trees.languages) > 0) & (sizes > 0)
             best = np.where(known, bits.argmin(1) if trees.languages else 0, len(trees.languages))

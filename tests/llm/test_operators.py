@@ -248,6 +248,24 @@ def test_language_on_held_out_rows(spark, sf):
     assert all(0 <= r.lang_score <= 1 for r in found)
 
 
+def test_every_language_is_learned(spark):
+    kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(70)]
+    rows = [(k, f"{words[i]} " * 9, f"l{i:02}") for i, k in zip(range(70), kept, strict=False)]
+    known = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert known.languages == sorted(x for _, _, x in rows)
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(kept[0], "short words here", "a"), (kept[1], "long " * 50_000, "a"), (kept[2], "viel länger " * 20_000, "b"), (kept[3], None, "b"), (kept[4], "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = langid.fit(docs)
+    assert known.languages == ["a", "b"]
+    assert [r.lang_pred for r in langid.identify(docs, known).orderBy("doc_id").collect()] == ["a", "a", "b", "und", "und"]
+    assert langid.fit(docs, sample_rows=1).languages == ["a", "b"]
+
+
 def test_code_lengths_against_plain_trees():
     samples = {"a": [b"abracadabra", b"abba"], "b": [b"bbbbc", b"cab", b""]}
     trees = langid.ContextTrees(samples, 2)
