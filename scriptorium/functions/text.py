@@ -19,14 +19,8 @@ PROTECTED = {
     "digits": r"(?<![\d.])\d{2,}(?:\.\d+)?(?![\d.])",
 }
 
-#: Phrases that only an instruction text holds.
-LEAK_MARKERS = (
-    "## security notice",
-    "## domain-specific guidance",
-    "follow all rules strictly",
-    "you are an expert document translator: accurate, idiomatic",
-    "native translator who specializes",
-)
+#: Phrases that only an instruction text holds, in lower case; a service passes those of its own prompts.
+LEAK_MARKERS = ("## security notice", "follow all rules strictly", "<<begin content>>", "<<end content>>")
 
 #: Units that are not translatable text (whole-text patterns).
 NUMERIC_ONLY = r"[-+]?[\d\s.,:%/()\[\]-]+"
@@ -84,22 +78,23 @@ def missing(source: Column, target: Column, category: str) -> Column:
     return F.when((F.coalesce(source, F.lit("")) == "") | (F.coalesce(target, F.lit("")) == ""), F.array().cast("array<string>")).otherwise(found)
 
 
-def leaks_prompt(text: Column) -> Column:
+def leaks_prompt(text: Column, markers: tuple[str, ...] = LEAK_MARKERS) -> Column:
+    """The text holds one of the markers, in any case."""
     low = F.lower(F.coalesce(text, F.lit("")))
     out = F.lit(False)
-    for marker in LEAK_MARKERS:
-        out = out | low.contains(marker)
+    for marker in markers:
+        out = out | low.contains(marker.lower())
     return out
 
 
-def output_fault(source: Column, target: Column) -> Column:
+def output_fault(source: Column, target: Column, markers: tuple[str, ...] = LEAK_MARKERS) -> Column:
     """Why an output is not taken, by the first rule that holds; null if it is."""
     trimmed = F.regexp_replace(source, REPEATED_FILL, ".")
     tokens, given = token_estimate(trimmed), token_estimate(target)
     ratio = given / tokens
     return (
         F.when(F.coalesce(F.trim(target), F.lit("")) == "", "empty")
-        .when(leaks_prompt(target), "prompt_leak")
+        .when(leaks_prompt(target, markers), "prompt_leak")
         .when((trimmed == target) & (tokens > 10), "same_text")
         .when(~((ratio > 0.3) & (ratio < 3)), "length_ratio")
         .when((tokens > 20) & F.levenshtein(source, target, 4).between(0, 4), "edit_distance")

@@ -95,7 +95,7 @@ def glossary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (glossary_hits, contamination_join, term_vote, term_dedupe, term_triples, term_validity, new_terms, bucket_scope, glossary_json)}
 _W = r"""w AS (SELECT doc_id, src_lang, pos, src, src[1:2] || '-' || (doc_id % 3) AS tgt FROM (
-        SELECT doc_id, lang AS src_lang, unnest(s) AS src, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[ \n\t]+')[1:8] AS s FROM documents)) WHERE src <> '')"""
+        SELECT doc_id, lang AS src_lang, unnest(s) AS src, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[ \n\t]+') AS s FROM documents)) WHERE src <> '')"""
 _FLAT = r"regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f\v]+', ' ', 'g')"
 ORACLE_SQL = {
     "glossary_hits": f"""WITH t(term) AS (VALUES {', '.join(f"('{t}')" for t in TERMS)}), d AS MATERIALIZED (SELECT doc_id, {_FLAT} AS x FROM documents)
@@ -112,5 +112,5 @@ ORACLE_SQL = {
     "new_terms": f"""WITH {_W}, k AS (SELECT *, lower(trim(src)) AS key FROM w), o AS (SELECT * FROM k WHERE doc_id % 2 = 1 AND (src_lang, key) NOT IN (SELECT (src_lang, key) FROM k WHERE doc_id % 2 = 0)),
         f AS (SELECT src_lang, key, min(doc_id) AS d FROM o GROUP BY ALL) SELECT src_lang, count(*) AS n, min(d) AS first_doc FROM f GROUP BY src_lang""",
     "bucket_scope": "SELECT lang AS code, count(*) AS n FROM documents WHERE doc_id % 7 <> 0 AND lang IN ('en', 'fr') GROUP BY lang",
-    "glossary_json": f"WITH {_W} SELECT src_lang, src, tgt FROM (SELECT *, row_number() OVER (PARTITION BY src_lang, src ORDER BY doc_id, pos) AS r FROM w WHERE doc_id < 200) WHERE r = 1",
+    "glossary_json": f"WITH {_W} SELECT src_lang, src, tgt FROM (SELECT *, row_number() OVER (PARTITION BY src_lang, src ORDER BY doc_id, pos) AS r FROM w) WHERE r = 1",
 }

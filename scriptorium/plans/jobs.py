@@ -163,7 +163,7 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS owner, count(*) OVER w AS copies, CASE WHEN doc_id = min(doc_id) OVER w THEN n_chars ELSE 0 END AS paid FROM h WINDOW w AS (PARTITION BY h)""",
     "job_upsert": "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "review_upsert": """SELECT coalesce(s_suppkey, c_custkey) AS id, coalesce(s_name, c_name) AS name, CASE WHEN c_custkey IS NOT NULL THEN c_acctbal ELSE s_acctbal END AS balance
-        FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey <= 50) c ON s_suppkey = c_custkey""",
+        FROM supplier FULL JOIN customer c ON s_suppkey = c_custkey""",
     "job_patch": """WITH r AS (SELECT user_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind, round(value, 3) AS value, event_id % 2 = 1 AS sets,
             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS m FROM events)
         SELECT user_id, max(CASE WHEN n = 1 THEN kind END) AS kind, max(CASE WHEN sets AND m = 1 THEN value END) AS value FROM r GROUP BY user_id""",

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 from scriptorium.operators import spatial as S
 from scriptorium.runtime import table
 
+#: Parts of a page.
+PAGE = 100
+
 
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small boxes: pages of 40 lines of 25 characters."""
+    """Small boxes, ``PAGE`` to a page."""
     p = table(spark, sf_dir, "part")
     x, y = (F.col("p_partkey") * 7 % 500).cast("double"), (F.col("p_partkey") * 13 % 700).cast("double")
-    return p.select((F.col("p_partkey") % 20).alias("page"), F.col("p_partkey").alias("char_id"), "p_size", S.box(x, y, x + 5 + F.col("p_size") % 6, y + 8 + F.col("p_size") % 5).alias("a"))
+    return p.select(F.expr(f"p_partkey div {PAGE}").alias("page"), F.col("p_partkey").alias("char_id"), "p_size", S.box(x, y, x + 5 + F.col("p_size") % 6, y + 8 + F.col("p_size") % 5).alias("a"))
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large boxes with a class."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).union(table(spark, sf_dir, "customer").select(F.col("c_custkey") + 1000))
+    """Large boxes with a class, at most 2 * ``PAGE`` to a page, so pages grow in number and not in size."""
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("k")).union(table(spark, sf_dir, "customer").select(F.col("c_custkey") * 2 + 1))
     x, y = (F.col("k") * 31 % 400).cast("double"), (F.col("k") * 17 % 600).cast("double")
     kind = F.when(F.col("k") % 5 == 0, "title").when(F.col("k") % 5 == 1, "formula").when(F.col("k") % 5 == 2, "figure").otherwise("text")
-    return s.select((F.col("k") % 20).alias("page"), F.col("k").alias("layout_id"), kind.alias("class"), S.box(x, y, x + 60 + F.col("k") % 50, y + 40 + F.col("k") % 30).alias("b"))
+    return s.select(F.expr(f"k div {2 * PAGE}").alias("page"), F.col("k").alias("layout_id"), kind.alias("class"), S.box(x, y, x + 60 + F.col("k") % 50, y + 40 + F.col("k") % 30).alias("b"))
 
 
 PRIORITY = {"title": 0, "text": 1, "figure": 2}
@@ -158,10 +161,10 @@ def line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (bbox_join, formula_chars, lonely_formulas, overlap_pairs, nearest_blocker, char_medians, line_gaps, line_spacing, paragraph_runs, title_context, page_pairs, scale_mode, descent_shift, space_threshold, line_neighbours)}
 
-_C = """c AS (SELECT p_partkey % 20 AS page, p_partkey AS char_id, p_size, (p_partkey * 7 % 500)::DOUBLE AS x, (p_partkey * 13 % 700)::DOUBLE AS y,
+_C = f"""c AS (SELECT p_partkey // {PAGE} AS page, p_partkey AS char_id, p_size, (p_partkey * 7 % 500)::DOUBLE AS x, (p_partkey * 13 % 700)::DOUBLE AS y,
         (p_partkey * 7 % 500 + 5 + p_size % 6)::DOUBLE AS x2, (p_partkey * 13 % 700 + 8 + p_size % 5)::DOUBLE AS y2 FROM part)"""
-_L = """k AS (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey + 1000 FROM customer WHERE c_custkey <= 300),
-        l AS (SELECT k % 20 AS page, k AS layout_id, CASE k % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'formula' WHEN 2 THEN 'figure' ELSE 'text' END AS class, (k * 31 % 400)::DOUBLE AS x, (k * 17 % 600)::DOUBLE AS y,
+_L = f"""k AS (SELECT s_suppkey * 2 AS k FROM supplier UNION ALL SELECT c_custkey * 2 + 1 FROM customer),
+        l AS (SELECT k // {2 * PAGE} AS page, k AS layout_id, CASE k % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'formula' WHEN 2 THEN 'figure' ELSE 'text' END AS class, (k * 31 % 400)::DOUBLE AS x, (k * 17 % 600)::DOUBLE AS y,
         (k * 31 % 400 + 60 + k % 50)::DOUBLE AS x2, (k * 17 % 600 + 40 + k % 30)::DOUBLE AS y2 FROM k)"""
 _OV = "greatest(least(a.x2, b.x2) - greatest(a.x, b.x), 0) * greatest(least(a.y2, b.y2) - greatest(a.y, b.y), 0)"
 _AR = "((a.x2 - a.x) * (a.y2 - a.y))"
@@ -180,7 +183,7 @@ ORACLE_SQL = {
         SELECT page, seen AS lo, y AS hi FROM o WHERE y > seen""",
     "line_spacing": f"""WITH {_L}, d AS (SELECT page, abs(y - lag(y) OVER (PARTITION BY page ORDER BY layout_id)) AS d FROM l), s AS (SELECT page, list_sort(list(d) FILTER (d > 0)) AS ds FROM d GROUP BY page)
         SELECT page, coalesce(ds[len(ds) // 2 + 1], 10.0::DOUBLE) AS spacing FROM s""",
-    "paragraph_runs": """WITH i AS (SELECT l_suppkey, CASE WHEN lag(l_returnflag) OVER w IS DISTINCT FROM l_returnflag THEN 1 ELSE 0 END AS new FROM lineitem WHERE l_orderkey % 4 = 0
+    "paragraph_runs": """WITH i AS (SELECT l_suppkey, CASE WHEN lag(l_returnflag) OVER w IS DISTINCT FROM l_returnflag THEN 1 ELSE 0 END AS new FROM lineitem
         WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity)) SELECT l_suppkey, CAST(sum(new) AS BIGINT) AS n_runs, count(*) AS n FROM i GROUP BY l_suppkey""",
     "title_context": f"""WITH {_L}, t AS (SELECT layout_id, class, last_value(CASE WHEN class = 'title' THEN layout_id END IGNORE NULLS) OVER (PARTITION BY page ORDER BY layout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title FROM l)
         SELECT layout_id, title, (SELECT layout_id FROM l WHERE class = 'title' ORDER BY page, layout_id LIMIT 1) AS first_title FROM t WHERE class = 'text'""",

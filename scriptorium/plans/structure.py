@@ -12,7 +12,7 @@ from scriptorium.operators import spatial as S
 from scriptorium.operators.folds import ordered_fold
 from scriptorium.plans.chunks import PAGE_TOKENS, page_chunks
 from scriptorium.plans.language import domain_gate
-from scriptorium.plans.layout import _AR, _C, _L, _OV, chars, layouts
+from scriptorium.plans.layout import _AR, _C, _L, _OV, PAGE, chars, layouts
 from scriptorium.runtime import table
 
 #: Share of pages that makes a document scanned; slack and share of exact containment.
@@ -189,7 +189,7 @@ def layout_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def font_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The font of each part: its object's own one, else its page's, else a default."""
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 20).alias("page"), F.col("p_brand").alias("object"), "p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(f"p_partkey div {PAGE}").alias("page"), F.col("p_brand").alias("object"), "p_size")
     page_fonts = p.groupBy("page").agg(F.min("p_size").alias("page_font")).filter("page % 4 <> 0")
     own = p.groupBy("page", "object").agg(F.max("p_size").alias("own_font")).filter("page % 3 = 0")
     return p.join(own, ["page", "object"], "left").join(page_fonts, "page", "left").select("p_partkey", F.coalesce("own_font", "page_font", F.lit(-1)).alias("font"))
@@ -309,7 +309,7 @@ ORACLE_SQL = {
     "scanned_vote": r"""WITH d AS (SELECT string_split(text, chr(10)) AS ls FROM documents)
         SELECT len(list_filter(ls, lambda x: NOT regexp_matches(x, '\p{L}'))) / len(ls) > 0.8 AS scanned, count(*) AS n FROM d GROUP BY 1""",
     "line_number_merge": """WITH i AS (SELECT l_orderkey, l_partkey % 3 = 0 AS number, lag(l_partkey % 3 = 0) OVER w AS before, coalesce(max(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
-            FROM lineitem WHERE l_orderkey % 10 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)),
+            FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)),
         j AS (SELECT *, NOT number AND coalesce(before, false) AND seen = 1 AS joins FROM i)
         SELECT l_orderkey, count(*) FILTER (NOT number AND NOT joins) AS paragraphs, count(*) FILTER (joins) AS joined FROM j GROUP BY l_orderkey""",
     "paragraph_split": r"""WITH l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
@@ -324,7 +324,7 @@ ORACLE_SQL = {
     "formula_split": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS pieces, p_partkey % 3 <> 0 AS numeric FROM part",
     "layout_union": f"""WITH {_C}, {_L} SELECT b.layout_id, least(min(a.x), min(b.x)) AS x, least(min(a.y), min(b.y)) AS y, greatest(max(a.x2), max(b.x2)) AS x2, greatest(max(a.y2), max(b.y2)) AS y2
         FROM c a JOIN l b ON a.page = b.page AND {_OV} / {_AR} > 0.5 GROUP BY b.layout_id""",
-    "font_lookup": """SELECT p_partkey, coalesce(CASE WHEN p_partkey % 20 % 3 = 0 THEN max(p_size) OVER (PARTITION BY p_partkey % 20, p_brand) END, CASE WHEN p_partkey % 20 % 4 <> 0 THEN min(p_size) OVER (PARTITION BY p_partkey % 20) END, -1) AS font FROM part""",
+    "font_lookup": f"SELECT p_partkey, coalesce(CASE WHEN page % 3 = 0 THEN max(p_size) OVER (PARTITION BY page, p_brand) END, CASE WHEN page % 4 <> 0 THEN min(p_size) OVER (PARTITION BY page) END, -1) AS font FROM (SELECT *, p_partkey // {PAGE} AS page FROM part)",
     "formula_anchors": f"""WITH {_C}, {_L}, p AS (SELECT b.layout_id, a.char_id, a.x - b.x2 AS dx FROM l b JOIN c a ON a.page = b.page AND b.class = 'formula' AND {_YOV} > 0.6),
         r AS (SELECT *, row_number() OVER (PARTITION BY layout_id ORDER BY abs(dx), char_id) AS n FROM p)
         SELECT layout_id, char_id, CASE WHEN abs(dx) < 0.1 OR NOT dx BETWEEN -5 AND 10 THEN 0.0::DOUBLE ELSE dx END AS "offset" FROM r WHERE n = 1""",

