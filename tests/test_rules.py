@@ -78,8 +78,9 @@ def test_allocation_keeps_the_total(spark):
 
 
 def test_index_percentile(spark):
-    df = rows(spark, [(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
-    assert df.agg(logs.index_percentile(F.col("v"), 0.5)).first()[0] == 3.0
+    df = rows(spark, [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 4.0), ("a", None), ("b", 7.0), ("b", 7.0)], "k string, v double")
+    got = {r.k: (r.half, r.most) for r in logs.index_percentiles(df, ["k"], "v", half=0.5, most=0.99).collect()}
+    assert got == {"a": (3.0, 4.0), "b": (7.0, 7.0)}
 
 
 def test_language_gate(spark):
