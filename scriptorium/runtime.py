@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +37,24 @@ def local_session(cores: str = "8", partitions: str = "8", memory: str = "8g") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "scriptorium-checkpoints")
+    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "scriptorium-checkpoints")
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with checkpoint() in the shared folder."""
+    """``df`` as a table written below the shared folder, in a folder of the application's, and read again.
+
+    It survives lost executors, and the plan behind it is gone, with its
+    constraints and size estimates; these would else grow with the square of
+    themselves in every round of an iteration. Whoever cleans the shared folder
+    can drop the application's folder once it has ended.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/scriptorium-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
