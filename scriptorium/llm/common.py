@@ -5,9 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from scriptorium.runtime import cut, table
 
-__all__ = ["binary_of", "blocks", "cut", "pack", "raw", "table", "unpack"]
+__all__ = ["binary_of", "blocks", "cut", "pack", "raw", "spread_join", "table", "unpack"]
+
+#: Keys with more than this share of all rows are hot; so there are at most so many of them.
+HOT_SHARE, LEAST_HOT = 1 / 1000, 500
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,3 +60,22 @@ def unpack(blob) -> list[np.ndarray]:
 
 def binary_of(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", counted: str = "n") -> DataFrame:
+    """``rows`` joined to ``keyed`` on ``key``, without a task that holds all rows of a hot key.
+
+    ``keyed`` has one row a key, materialised, and ``counted``, the number of
+    ``rows`` of it, which isn't returned. Hot keys, at most 1 / HOT_SHARE by
+    their definition, are broadcast, and only the rows of all others shuffle.
+    Null keys match nothing.
+    """
+    total = keyed.agg(F.sum(counted)).first()[0] or 0
+    at_least = max(int(total * HOT_SHARE), LEAST_HOT)
+    hot = keyed.filter(F.col(counted) > at_least)
+    if not hot.limit(1).count():
+        return rows.join(keyed.drop(counted), key, how)
+    few = keyed.filter(F.col(counted) <= at_least).drop(counted)
+    names = F.broadcast(hot.select(key))
+    one = rows.join(F.broadcast(hot.drop(counted)), key)
+    return one.unionByName(rows.join(names, key, "left_anti").join(few, key, how))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut
+from scriptorium.llm.common import cut, spread_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each node's larger neighbours to the least of it and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    return spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect each node and its smaller neighbours to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    moved = spread_join(down, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (u, v); component is the least node reachable.
 
     Edges with a null end and loops are left out; an empty table gives an empty result.
-    Every round is cut with checkpoint(); only a count and a checksum reach the driver.
+    Every round is cut; only a count and a checksum reach the
+    driver. A node of very many edges is joined by broadcast, its edges stay dealt out.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))

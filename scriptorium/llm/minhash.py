@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import binary_of, blocks, cut, raw, table
+from scriptorium.llm.common import binary_of, blocks, cut, pack, raw, spread_join, table, unpack
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.exchange import changes, gather, split
 from scriptorium.llm.words import LOWER, mixed, word_hashes
@@ -39,6 +39,8 @@ BANDS, ROWS = 71, 6
 FINE = 2048
 #: Bytes of band keys of one exchange bucket, and of the least number of buckets.
 KEY_BYTES, LEAST_BUCKETS = 16 << 20, 12
+#: Kinds of exchanged rows.
+KEYS, MET = 0, 1
 #: Members of a bucket that one task compares with one another.
 TILE = 2048
 #: Ids, and bytes of full sets, that may be broadcast; beyond, the same joins shuffle.
@@ -126,7 +128,13 @@ def _sketch(batches):
 
 
 def _send(buckets: int):
-    """Band keys by bucket, packed with the ids and set hashes that they come from."""
+    """Band keys by bucket, packed with the ids and set hashes that they come from.
+
+    Of a key that several classes of a batch share, the class that meets most
+    others is sent to the key's bucket, with their number; the others have met
+    already, and go to any bucket as they are. So a key that a third of all
+    classes hold brings one entry of each batch to its bucket.
+    """
 
     def run(batches):
         for batch in batches:
@@ -136,24 +144,48 @@ def _send(buckets: int):
             sets = np.frombuffer(b"".join(h[:8] for h in batch.column(1).to_pylist()), np.int64)
             keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
             owner = np.repeat(np.arange(len(ids)), BANDS)
-            sent = list(split(keys % np.uint64(buckets), owner, [keys], [ids, sets]))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), binary_of([x for _, x in sent])], ["bucket", "body"])
+            order = np.lexsort((ids[owner], sets[owner], keys))
+            order = order[changes(keys[order], sets[owner[order]])]  # the least id of each class
+            keys, owner = keys[order], owner[order]
+            at = np.flatnonzero(changes(keys))
+            size = np.diff(np.append(at, len(keys)))
+            run_of = np.repeat(np.arange(len(at)), size)
+            degree = np.bincount(owner, size[run_of], len(ids))
+            sent_on = np.lexsort((ids[owner], -degree[owner], run_of))[at]
+            met = np.ones(len(keys), bool)
+            met[sent_on] = False
+            met = np.flatnonzero(met)
+            sent_on = np.sort(sent_on)
+            counts = size[run_of[sent_on]].astype(np.uint32)
+            by_owner = np.argsort(owner[sent_on], kind="stable")
+            sent_on, counts = sent_on[by_owner], counts[by_owner]
+            sent = [(b, KEYS, blob) for b, blob in split(keys[sent_on] % np.uint64(buckets), owner[sent_on], [keys[sent_on], counts], [ids, sets])]
+            if len(met):
+                any_bucket = int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(buckets))
+                sent.append((any_bucket, MET, pack(keys[met].view(np.int64), ids[owner[met]], size[run_of[met]])))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in sent], pa.int32()), pa.array([k for _, k, _ in sent], pa.int32()), binary_of([x for _, _, x in sent])], ["bucket", "kind", "body"])
 
     return run
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """(key, node) of keys that two classes share, with the number of nodes."""
-    (keys,), (ids, sets), owner, _ = gather(rows.column("body").to_pylist(), 1, 2)
+    """(key, node) of keys that two classes share, with the number of nodes that it is known to meet."""
+    kinds, bodies = rows.column("kind").to_pylist(), rows.column("body").to_pylist()
+    (keys, counts), (ids, sets), owner, _ = gather([b for k, b in zip(kinds, bodies, strict=True) if k == KEYS], 2, 2)
     ids, sets = ids[owner], sets[owner]
     order = np.lexsort((ids, sets, keys))
-    order = order[changes(keys[order], sets[order])]  # the least id of each class
-    keys, ids = keys[order], ids[order]
+    within = counts[order] > 1
+    keys, ids, counts = keys[order], ids[order], counts[order].astype(np.int64)
+    # The least id of each class stands for it; one that has met others in its batch stays.
+    good = changes(keys, sets[order]) | within
+    keys, ids, counts, within = keys[good], ids[good], counts[good], within[good]
     at = np.flatnonzero(changes(keys))
     size = np.diff(np.append(at, len(keys)))
-    many = np.repeat(size > 1, size)
-    columns = (keys.view(np.int64), ids, np.repeat(size, size))
-    return pa.table(dict(zip(("key", "node", "members"), (pa.array(c[many], pa.int64()) for c in columns), strict=True)))
+    total = np.repeat(np.add.reduceat(counts, at), size) if len(at) else counts
+    many = np.repeat(size > 1, size) | within
+    columns = [[keys.view(np.int64)[many], ids[many], total[many]]]
+    columns += [unpack(b) for k, b in zip(kinds, bodies, strict=True) if k == MET]
+    return pa.table({name: pa.array(np.concatenate([c[i] for c in columns]), pa.int64()) for i, name in enumerate(("key", "node", "members"))})
 
 
 def _full_sets(batches):
@@ -222,10 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (the least id reachable over links) and kept (it is that id)."""
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_hash binary, keys binary"))
-    classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+    classes = cut(sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     heads = sketches.filter("keys is not null")
     buckets = max(LEAST_BUCKETS, -(-heads.count() * BANDS * 8 // KEY_BYTES))
-    sent = heads.select("doc_id", "set_hash", "keys").mapInArrow(_send(buckets), "bucket int, body binary")
+    sent = heads.select("doc_id", "set_hash", "keys").mapInArrow(_send(buckets), "bucket int, kind int, body binary")
     inside = cut(sent.groupBy("bucket").applyInArrow(_meet, "key long, node long, members long"))
     # A bucket's centre is its member that meets most others over all buckets, as the text does that copies were made of.
     degree = inside.groupBy("node").agg(F.sum("members").alias("degree"))
@@ -239,8 +271,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Centres whose buckets still hold several components: compare across these, in tiles, each pair once a centre.
     met = inside.select("centre", "node").distinct()
     placed = met.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("centre", "members")
-    opened = cut(placed.join(mixed_up, "centre"))
+    mixed_up = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+    mixed_up = cut(mixed_up.select("centre", "members", F.col("members").alias("n")))
+    opened = cut(spread_join(placed, mixed_up, "centre"))
     few = opened.count() <= BROADCAST_IDS // 4
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     nodes = opened.select(F.col("node").alias("id")).distinct()
@@ -257,14 +290,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = links(across.join(stars, ["u", "v"], "left_anti"), docs)
     parts = connected_components(first.union(rest))
 
-    # Classes of one id (repeated ids with other texts) are one node.
-    by_class = classes.join(parts, "node", "left").select("set_hash", F.coalesce("component", "node").alias("class_component"))
-    return (
-        sketches.join(by_class, "set_hash", "left")
-        .join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .withColumn("component_id", F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))))
-        .select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    )
+    # What is alone in its class and has no link is its own component and needs no join.
+    by_class = classes.join(parts, "node", "left").filter("n > 1 or component is not null")
+    by_class = cut(by_class.select("set_hash", "n", F.coalesce("component", "node").alias("component")))
+    rows = sketches.select("doc_id", "n_shingles", "set_hash")
+    linked = F.col("n_shingles") > 0
+    joined = spread_join(rows.filter(linked & F.col("doc_id").isNotNull()), by_class, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    alone = rows.filter(~linked | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ at 1 can't give goes to the others in further rounds. A document is drawn when a
 uniform number made of its id's digest is below its cell's probability.
 
 Only the cell table is iterated over; it has as many rows as there are
-combinations, is kept as a DataFrame and cut with checkpoint().
+combinations, is kept as a DataFrame and cut.
 
 Defined results: null source or language is a value of its own; null and empty
 texts have no tokens and topic ``none``, and are drawn as their cell is; rows of

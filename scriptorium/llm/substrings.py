@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import binary_of, blocks, cut, pack, raw, table, unpack
 from scriptorium.llm.exchange import ROWS, changes, gather, keyed, narrow, split
-from scriptorium.llm.words import BASES, segment_hashes, word_hashes
+from scriptorium.llm.words import SEEDS, window_hashes, word_hashes
 
 WINDOW = 20
 PERIOD = 13
@@ -55,8 +55,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pos = np.arange(len(text)) - np.repeat(np.cumsum(fit) - fit, fit)
     good = _COVERED[pos % PERIOD]
     text, pos = text[good], pos[good]
-    at = before[text] + pos
-    return segment_hashes(words, at, at + ANCHOR, BASES[1]), text, pos
+    return window_hashes(words, ANCHOR, SEEDS[1])[before[text] + pos], text, pos
 
 
 def _ask(buckets: int):
@@ -146,8 +145,8 @@ class _Part:
             text = np.searchsorted(before, s, "right") - 1
             starts.append(s - before[text])
             owners.append(with_flags[text + i])
-            first.append(segment_hashes(words, s, s + WINDOW, BASES[0]))
-            second.append(segment_hashes(word_hashes(some, bounds, BASES[1])[0], s, s + WINDOW, BASES[1]).astype(np.uint32))
+            first.append(window_hashes(words, WINDOW)[s])
+            second.append(window_hashes(word_hashes(some, bounds, SEEDS[1])[0], WINDOW, SEEDS[1])[s].astype(np.uint32))
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
         self.start, self.owner, self.h1, self.h2 = cat(starts, np.int64), cat(owners, np.int64), cat(first, np.uint64), cat(second, np.uint32)
         order = np.lexsort((self.h2, self.h1))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import binary_of, blocks, cut, raw, table, unpack
 from scriptorium.llm.exchange import ROWS, changes, gather, keyed, split
-from scriptorium.llm.words import BASES, mixed, powers
+from scriptorium.llm.words import SEEDS as BASES, mixed
 
 LENGTH = 400
 GRAM = 32
@@ -56,6 +56,22 @@ ASK, COVERED, WINDOWS, SHIP = 0, 1, 2, 3
 FULL, IS_HOT = 1, 2
 
 
+_powers: dict = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
+    size = 1 << max(16, n.bit_length())
+    if (base, size) not in _powers:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _powers[base, size] = tuple(out)
+    return _powers[base, size]
+
+
 def _sums(buf: np.ndarray, base: int) -> np.ndarray:
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(base, len(buf) + 1)[0][: len(buf)], out=sums[1:])

@@ -155,6 +155,27 @@ def test_piece_table_on_odd_texts():
         assert table_.encode(texts[i : i + 500]) == table_.model.encode(texts[i : i + 500])
 
 
+def thue_morse(n=1024):
+    """A word of two letters and its complement: equal under any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse()
+    w = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([*w[:10], x, *w[10:]])) for i, x in enumerate((a, b))]
+    rows += [(i, " ".join(f"v{i}" if x == "a" else "u" for x in t)) for i, t in ((2, a), (3, b))]  # as sequences of words
+    rows += [(i, f"one two {x} three four") for i, x in ((4, a), (5, b))]
+    rows += [(i, "p" * 300 + x + "q" * 300) for i, x in ((6, a), (7, b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_minhash(docs, rows)
+    check_substrings(docs, rows)
+    check_suffixes(docs, rows)
+    assert len({r.component_id for r in minhash.near_duplicates(docs.filter("doc_id in (4, 5)")).collect()}) == 2
+    assert {r.n_removed for r in substrings.remove_repeats(docs.filter("doc_id < 2")).collect()} == {0}
+
+
 def check_suffixes(docs, rows):
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept.decode()) for r in suffixes.remove_repeats(docs, digests=True).collect()}
     assert got == brute.remove_bytes(rows)
