@@ -3,8 +3,9 @@
 A signature is a common word (an antecedent) with the next ``CHAIN`` content
 words behind it, looked for among the next ``REACH`` words; other antecedents in
 between are passed over. A text's fingerprint is the set of its signatures'
-32-bit hashes, in rising order; a text without a signature takes one hash of all
-its words instead. Likeness is the Jaccard similarity of two sets.
+32-bit hashes, in rising order; in a text without one, as of a language without
+listed common words, every word starts a chain, and a text of fewer words takes
+one hash of them all. Likeness is the Jaccard similarity of two sets.
 
 ``near_duplicates`` joins fingerprints: classes of equal sets are formed first;
 sets are partitioned by length so that similar ones lie in the same or the next
@@ -13,9 +14,10 @@ ones (the prefix that the threshold demands) are compared, lengths first.
 
 Defined results: null and empty text have the empty fingerprint, which is like
 another empty one (1) and unlike any other (0); the neighbour of the last
-document is the first, of an only document itself; null ids come last; rows of
-one id are ordered by a hash of the text; only the named columns are read; an
-empty table gives an empty result.
+document is the first, of an only document itself; ids are any 64-bit numbers;
+null ids come last; rows of one id, or of none, are ordered by a hash of the
+text, and equal rows are dealt out like any others; only the named columns are
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +35,11 @@ ANTECEDENTS = (
     "el los las del y en se con por su"
 ).split()
 CHAIN, REACH = 2, 8
-#: Documents of a range of ids; a window holds one range.
-RANGE = 2000
-#: Rows of borders (of about 60 bytes) that may be broadcast; beyond, the same join shuffles.
-BORDERS = 500_000
+#: Documents of a range in order of id; a window holds one range. Beyond so many ranges, these grow.
+RANGE, RANGES = 2000, 65_536
+#: Rows that are drawn to find a border between ranges; borders decide who works, never the result.
+DRAWN = 8
+_SIGN = -(1 << 63)
 
 
 def _bound(value: Column, use) -> Column:
@@ -59,7 +62,9 @@ def signatures(text: Column) -> Column:
             return F.when(word.isin(ANTECEDENTS), _bound(chain, lambda c: F.when(F.size(c) >= CHAIN, _short(F.xxhash64(word, *[F.get(c, F.lit(k)) for k in range(CHAIN)])))))
 
         found = F.array_distinct(F.filter(F.transform(words, spot), lambda h: h.isNotNull()))
-        return _bound(found, lambda f: F.when(F.size(f) > 0, F.sort_array(f)).when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array(_short(F.xxhash64(words)))))
+        chains = lambda: F.transform(F.sequence(F.lit(0), F.size(words) - CHAIN - 1), lambda i: _short(F.xxhash64(F.lit(""), *[F.get(words, i + k) for k in range(CHAIN + 1)])))
+        rest = F.when(F.size(words) > CHAIN, F.sort_array(F.array_distinct(chains()))).otherwise(F.array(_short(F.xxhash64(words))))
+        return _bound(found, lambda f: F.when(F.size(f) > 0, F.sort_array(f)).when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(rest))
 
     return _bound(words, hashes)
 
@@ -74,28 +79,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(F.least(F.size(a), F.size(b)) == 0, F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
+def _sortable(*longs: Column) -> Column:
+    """Text that sorts as the numbers do, one after the other."""
+    return F.concat(*[F.lpad(F.hex(x.bitwiseXOR(F.lit(_SIGN))), 16, "0") for x in longs])
+
+
+def _range_of(place: Column, borders: list[str]) -> Column:
+    """The number of borders at or before the place, by binary search."""
+    if not borders:
+        return F.lit(0)
+    among = F.split(F.lit(",".join(borders)), ",")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(among, at + step - 1) <= place, at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, sigs and those of the next document in order of id (next_text, next_sigs); the last one's next is the first.
 
-    Ranges of ids are ordered apart from each other; each takes the first
-    document of the next range as its border.
+    Ranges of documents are ordered apart from each other; each takes the first
+    document of the next range as its border. Ranges lie between places drawn
+    from the documents, so they hold about as many each, whatever the ids.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // max(1, n // RANGE) + 1
+    docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     keys = ["none", "key", "mark"]
-    docs = docs.withColumn("none", F.col("id").isNull()).withColumn("key", F.coalesce("id", F.lit(high)))
-    docs = docs.withColumn("range", F.when(F.col("none"), F.lit((high - low) // width + 1)).otherwise(F.expr(f"(key - ({low}L)) div {width}L")))
+    docs = docs.withColumn("none", F.col("id").isNull()).withColumn("key", F.coalesce("id", F.lit(0))).withColumn("mark", F.xxhash64("text"))
+    place = F.concat(F.col("none").cast("int").cast("string"), _sortable(F.col("key"), F.col("mark"), F.monotonically_increasing_id()))
+    n = docs.count()
+    ranges = max(1, min(RANGES, n // RANGE))
+    borders: list[str] = []
+    if ranges > 1:
+        drawn = sorted(r.place for r in docs.select(place.alias("place")).sample(min(1.0, DRAWN * ranges / n), 7).collect())
+        borders = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
+    docs = docs.withColumn("place", place).withColumn("range", _range_of(F.col("place"), borders))
     firsts = cut(docs.groupBy("range").agg(F.min(F.struct(*keys)).alias("first")).select("range", "first.*"))
-    # One row a range: its first document borders the range before, the very first one the last range.
+    # One row a range, RANGES at most: its first document borders the range before, the very first one the last range.
     top = firsts.agg(F.max("range").alias("top"))
-    borders = firsts.crossJoin(F.broadcast(top)).withColumn("to", F.coalesce(F.lag("range").over(Window.orderBy("range")), "top")).drop("top")
-    few = borders.count() <= BORDERS
-    border = docs.join(F.broadcast(borders) if few else borders, ["range", *keys]).dropDuplicates(["to"]).select(F.col("to").alias("range"), F.lit(1).alias("edge"), *keys, "id", "text")
-    rows = docs.select("range", F.lit(0).alias("edge"), *keys, "id", "text").union(border)
+    edges = firsts.crossJoin(F.broadcast(top)).withColumn("to", F.coalesce(F.lag("range").over(Window.orderBy("range")), "top")).drop("top")
+    border = docs.join(F.broadcast(edges), ["range", *keys]).dropDuplicates(["to"]).select(F.col("to").alias("range"), F.lit(1).alias("edge"), "place", "id", "text")
+    rows = docs.select("range", F.lit(0).alias("edge"), "place", "id", "text").union(border)
     rows = rows.repartition("range").withColumn("sigs", signatures(F.col("text")))
-    behind = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("range").orderBy("edge", *keys))
+    behind = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("range").orderBy("edge", "place"))
     return rows.withColumn("next", behind).filter("edge = 0").select("id", "text", "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
 
 

@@ -137,6 +137,45 @@ def test_spotsigs(spark, docs, rows, monkeypatch):
     assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == want
 
 
+def test_spotsigs_of_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE", 4)
+    ids = [-(2**63), 2**63 - 1, -(2**62) - 5, 2**62 + 9, *range(20), *[77] * 12, *[None] * 15]
+    rows = [(d, f"text {k if d != 77 else 0} of the small world") for k, d in enumerate(ids)]
+    got = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(((r.id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
+    known = sorted((d, t) for d, t in rows if d is not None)
+    steps = sorted((r.id, r.text, r.next_text) for r in got if r.id is not None)
+    nulls = {t for d, t in rows if d is None}
+    assert [s[2] for s in steps[:-1]] == [t for _, t in known[1:]] and steps[-1][2] in nulls
+    after = [r.next_text for r in got if r.id is None]
+    assert len(set(after)) == 15 and len(nulls.difference(after)) == 1 and known[0][1] in after
+
+
+def test_spotsigs_contract(spark, monkeypatch, tmp_path):
+    """Every column of the query against a plain version of the contract."""
+    monkeypatch.setattr(spotsigs, "RANGE", 3)
+    texts = ["the cat sat on the mat and the dog ran to the old barn", "the cat sat on the mat and the dog ran to a new barn", None, "", "ab", "α😀β of the world", "мир труд май июнь июль дом сад лес", "мир труд май июнь июль дом сад лес", "x" * 50]
+    ids = [5, 9, 10, 11, 30, 31, 40, 41, 77]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in spotsigs.op4_spotsigs(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ids
+    texts = [t or "" for t in texts]
+    prints = {}
+    for i, (d, t) in enumerate(zip(ids, texts)):
+        after, half = texts[(i + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[d]
+        assert r.n_chars == len(t) and r.edited_sha256 == brute.sha(edited.encode())
+        for text, print_ in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
+            assert prints.setdefault(text, print_) == print_
+            assert print_.split(",") == sorted(set(print_.split(",")))
+        jaccard = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+        sets = [set(x.split(",")) - {""} for x in (r.fingerprint, r.edited_fingerprint, got[ids[(i + 1) % len(ids)]].fingerprint)]
+        assert abs(r.near_edited - jaccard(*sets[:2])) < 1e-12 and abs(r.near_next - jaccard(sets[0], sets[2])) < 1e-12
+    assert got[40].near_next == 1.0 and 0 < got[5].near_next < 1
+    assert 0 < got[41].near_edited < 1  # no common words are listed for its language
+
+
 def test_pieces(docs, rows):
     import sentencepiece
 
