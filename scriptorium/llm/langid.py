@@ -39,7 +39,14 @@ UNDETERMINED = "und"
 
 
 class ContextTrees:
-    """Costs in bits of every (context, byte) of the languages' trees, as flat tables."""
+    """The languages' trees as one trie of contexts, with costs in bits of every (context, byte) that any language has seen.
+
+    A pair that none has seen costs its escapes on the way to a shorter context
+    that has it, so tables grow with what was seen, not with all bytes of all
+    contexts.
+    """
+
+    PARTS = ("languages", "order", "symbol", "width", "parent", "child", "row", "cost", "escape")
 
     def __init__(self, samples: dict[str, list[bytes]], max_order: int = MAX_ORDER):
         self.languages = sorted(samples)
@@ -50,49 +57,61 @@ class ContextTrees:
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = width = len(seen) + 2  # 0: a byte never seen; the last: before the start
         n_lang = len(self.languages)
-        # One trie over all languages, from the latest byte to older ones. Node 0 is the root.
-        parents, keys, depth_nodes = [np.array([-1])], [np.array([0])], []
+        # From the latest byte to older ones; node 0 is the root.
+        parents, keys = [np.array([-1])], [np.array([0])]
         reached = [np.zeros(sum(map(len, samples[x])), np.int64) for x in self.languages]
         streams = []
         for x in self.languages:
             buf = np.frombuffer(b"".join(samples[x]), np.uint8)
             starts = np.cumsum([0, *map(len, samples[x])])
             streams.append((self.symbol[buf], self._shifted(self.symbol[buf], starts)))
-        n_nodes, costs_at = 1, [0]
-        tables: list[tuple[np.ndarray, np.ndarray]] = []
+        bounds = [0, 1]
+        counted = []
         for k in range(max_order + 1):
-            counted = [np.unique(node * width + sym, return_counts=True) for node, (sym, _) in zip(reached, streams, strict=True)]
-            tables.append((k, counted))
+            counted.append([np.unique(node * width + sym, return_counts=True) for node, (sym, _) in zip(reached, streams, strict=True)])
             if k == max_order:
                 break
             edges = [node * width + past[k] for node, (_, past) in zip(reached, streams, strict=True)]
             new = np.unique(np.concatenate(edges)) if edges else np.empty(0, np.int64)
             parents.append(new // width)
             keys.append(new % width)
-            reached = [n_nodes + np.searchsorted(new, e) for e in edges]
-            costs_at.append(n_nodes)
-            n_nodes += len(new)
-        self.parent, self.key = np.concatenate(parents), np.concatenate(keys)
-        self.child = np.full((n_nodes + 1, width), n_nodes, np.int32)  # the last node is nowhere
-        self.child[self.parent[1:], self.key[1:]] = np.arange(1, n_nodes)
-        bounds = [*costs_at, n_nodes]
-        self.cost = np.empty((n_nodes + 1, width, n_lang), np.float32)
-        for lang in range(n_lang):
-            below = np.full((1, width), 8.0)
-            lower = np.empty((n_nodes, width))
-            for k, counted in tables:
-                lo, hi = bounds[k], bounds[k + 1]
-                at, count = counted[lang]
-                counts = np.zeros((hi - lo) * width)
-                counts[at - lo * width] = count
-                counts = counts.reshape(-1, width)
-                n, d = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-                shorter = lower[self.parent[lo:hi]] if k else below
+            reached = [bounds[-1] + np.searchsorted(new, e) for e in edges]
+            bounds.append(bounds[-1] + len(new))
+        self.parent, key = np.concatenate(parents), np.concatenate(keys)
+        n_nodes = len(self.parent)
+        self.child = np.full((n_nodes + 1) * width, n_nodes, np.int32)  # the last node is nowhere
+        self.child[self.parent[1:] * width + key[1:]] = np.arange(1, n_nodes)
+        self.row = np.full((n_nodes + 1) * width, -1, np.int32)
+        self.escape = np.zeros((n_nodes, n_lang), np.float32)
+        costs = []
+        for k, by_lang in enumerate(counted):
+            lo, hi = bounds[k], bounds[k + 1]
+            pairs = np.unique(np.concatenate([at for at, _ in by_lang])) if n_lang else np.empty(0, np.int64)
+            node, symbol = pairs // width, pairs % width
+            # A pair's shorter context has seen the same byte.
+            shorter = np.concatenate(costs)[self.row[self.parent[node] * width + symbol]] if k else np.full((len(pairs), n_lang), 8.0)
+            self.row[pairs] = sum(map(len, costs)) + np.arange(len(pairs))
+            cost = np.empty((len(pairs), n_lang))
+            for lang, (at, count) in enumerate(by_lang):
+                counts = np.zeros(len(pairs))
+                counts[np.searchsorted(pairs, at)] = count
+                n, d = (np.bincount(at // width - lo, w, hi - lo) for w in (count, None))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    cost = np.where(counts > 0, np.log2(n + d) - np.log2(counts), np.log2(n + d) - np.log2(d) + shorter)
-                lower[lo:hi] = np.where(n > 0, cost, shorter)
-            self.cost[:n_nodes, :, lang] = lower
-        self.cost[n_nodes] = 0
+                    escape = np.where(n > 0, np.log2(n + d) - np.log2(d), 0.0)
+                    cost[:, lang] = np.where(counts > 0, np.log2((n + d)[node - lo]) - np.log2(counts), escape[node - lo] + shorter[:, lang])
+                self.escape[lo:hi, lang] = escape
+            costs.append(cost)
+        self.cost = np.concatenate(costs).astype(np.float32)
+
+    def parts(self) -> tuple:
+        """Plain values that any process can read, with or without this package."""
+        return tuple(getattr(self, x) for x in self.PARTS)
+
+    @classmethod
+    def of(cls, parts: tuple) -> ContextTrees:
+        trees = cls.__new__(cls)
+        trees.__dict__.update(zip(cls.PARTS, parts, strict=True))
+        return trees
 
     def _shifted(self, sym: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """For k = 1..order, the symbol k bytes earlier in the same text."""
@@ -112,13 +131,27 @@ class ContextTrees:
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(buf) or not self.languages:
             return out
-        sym = self.symbol.astype(np.int32)[buf]
-        nowhere, flat, width = len(self.child) - 1, self.child.ravel(), np.int32(self.width)
-        best = node = np.zeros(len(buf), np.int32)
+        sym = self.symbol[buf]
+        nowhere, width = len(self.parent), self.width
+        best = node = np.zeros(len(buf), np.int64)
         for past in self._shifted(sym, offsets):
-            node = flat[node * width + past]
+            node = self.child[node * width + past]
             best = np.where(node != nowhere, node, best)
-        bits = self.cost.reshape(-1, len(self.languages))[best * width + sym]
+            node = node.astype(np.int64)
+        at = self.row[best * width + sym]
+        bits = self.cost[at] if len(self.cost) else np.zeros((len(buf), len(self.languages)), np.float32)
+        left = np.flatnonzero(at < 0)  # not seen in this context: on to shorter ones
+        bits[left] = 0
+        here = best[left]
+        while len(left):
+            bits[left] += self.escape[here]
+            root = here == 0
+            bits[left[root]] += 8.0
+            left, here = left[~root], self.parent[here[~root]]
+            at = self.row[here * width + sym[left]]
+            found = at >= 0
+            bits[left[found]] += self.cost[at[found]]
+            left, here = left[~found], here[~found]
         full = np.flatnonzero(np.diff(offsets))
         out[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
         return out
@@ -179,14 +212,14 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text", keep:
 
     Columns of these three names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees.parts())
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     letter = F.coalesce(docs[text_col].cast("string").rlike(r"\p{L}"), F.lit(False))
     inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)], docs[text_col].cast("string").alias("text"), letter.alias("letter"))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
 
     def run(batches):
-        trees = shared.value
+        trees = ContextTrees.of(shared.value)
         names = np.array([*trees.languages, UNDETERMINED], object)
         for batch in batches:
             buf, offsets = raw(batch.column(len(columns)))
