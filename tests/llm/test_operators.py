@@ -255,20 +255,64 @@ def test_columns_against_plain_search():
             assert (min(hits), max(hits)) == (first[i], last[i]) if hits else first[i] > last[i]
 
 
+def shares(spark, docs):
+    """(dimension, value) -> target, reachable and drawn share."""
+    marks = docs.select(*mixing.placed(docs))
+    cells = mixing.cells_of(marks).cache()
+    targets = {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}
+    raked = mixing.rake(cells, targets).cache()
+    assert all(0 <= r.p <= 1 for r in raked.collect())
+    drawn = raked.agg(F.sum(F.col("p") * F.col("tokens")) / F.sum("tokens")).first()[0]
+    return {(r.dimension, r.value): r for r in mixing.marginals(raked, targets).collect()}, drawn
+
+
 def test_mixing_meets_the_targets(spark):
     data = [(i, "w " * (10 + i % 7), ("en", "de")[i % 2 if i % 5 else 0], f"s{i % 3}") for i in range(600)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
-    cells = mixing.cells_of(docs)
-    targets = {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}
-    raked = mixing.rake(cells, targets, 12)
-    for d in mixing.DIMENSIONS:
-        want = {r[0]: r[1] for r in targets[d].collect()}
-        for r in raked.groupBy(d).agg(F.sum("weight").alias("w")).collect():
-            assert abs(r.w - want[r[0]]) < 1e-3
+    found, drawn = shares(spark, docs)
+    assert abs(drawn - mixing.BUDGET) < 1e-5
+    for r in found.values():
+        assert abs(r.drawn - r.target) < 1e-5 and abs(r.reachable - r.target) < 1e-9
     kept = mixing.mix(docs)
     assert kept.columns == docs.columns and 0.3 < kept.count() / 600 < 0.7
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.1"])
+def test_mixture_of_the_corpus(spark, size):
+    """Shares are those of the targets; where a value has too little for its own, all of it, and the others' in proportion."""
+    found, drawn = shares(spark, table(spark, f"/root/testdata/sf{size}", "documents"))
+    assert abs(drawn - mixing.BUDGET) < 1e-4
+    for d in mixing.DIMENSIONS:
+        rows = [r for (k, _), r in found.items() if k == d and r.target]
+        open_ = [r.drawn / r.target for r in rows if r.drawn >= r.target * (1 - 1e-4)]
+        assert open_ and max(open_) - min(open_) < 1e-3
+        for r in rows:
+            assert abs(r.drawn - r.reachable) < 1e-4
+            assert r.drawn > r.target * 0.99 or r.drawn == pytest.approx(r.reachable, rel=1e-3)
+
+
+def test_mixture_of_a_topic_column(spark):
+    data = [(i, "w " * 9, "en", "s", f"t{i % 4 if i % 3 else 0}") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, subject string")
+    assert {r.topic for r in mixing.chances(docs, topic_col="subject").collect()} == {"t0", "t1", "t2", "t3"}
+
+
+@pytest.mark.parametrize("name", ["op1_maxscore", "op7_mixing"])
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    from scriptorium import llm
+
+    with duckdb.connect() as con:
+        for t in ("documents", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        result = con.execute(llm.oracle_sql()[name])
+        names = [d[0] for d in result.description]
+        want = sorted(result.fetchall(), key=repr)
+    df = llm.queries()[name](spark, sf)
+    assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == want
+
+
 def test_lengths(spark, docs, rows):
     coder = pieces.ChunkTable(public_tokenizers.path(pieces.MODEL))
     want = sorted(len(x) for x in coder.encode([t or "" for _, t in rows]))
