@@ -42,7 +42,7 @@ KEY_BYTES, LEAST_BUCKETS = 16 << 20, 12
 #: Kinds of exchanged rows.
 KEYS, MET = 0, 1
 #: Members of a bucket that one task compares with one another.
-TILE = 2048
+TILE = 1024
 #: Ids, and bytes of full sets, that may be broadcast; beyond, the same joins shuffle.
 BROADCAST_IDS, BROADCAST_BYTES = 2_000_000, 16 << 20
 
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fine = cut(docs.join(F.broadcast(nodes) if few else nodes, "id", "left_semi").select("id", "text").mapInArrow(_fine, "node long, fine binary"))
     open_ = (
         fine.join(F.broadcast(opened) if few else opened, "node")
-        .withColumn("tiles", F.when(F.col("members") > 2 * TILE, tiles).otherwise(1))
+        .withColumn("tiles", F.when(F.col("members") > TILE, tiles).otherwise(1))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("tile_a", F.least("block", "other"))

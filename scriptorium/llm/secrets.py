@@ -3,11 +3,12 @@
 Base findings come from three patterns per text. Their values are candidates,
 and beside them every long run of credential characters that looks live, with
 letters, digits and enough different characters. Candidate values are hashed and
-counted over the corpus by distinct repositories and distinct owners: a value
-that many owners hold is a copied example (kind ``copied``), any other one a
-credential of its owner (kind ``owned``). Both kinds are added to the base
-spans, at the value itself and with both counts; nothing is taken away. The
-owners alone decide: repositories of one owner are no sign of an example.
+counted over the corpus by distinct repositories and distinct owners. A value is
+a copied example (kind ``copied``) if ``COPIED_OWNERS`` owners hold it, or if
+two do and it stands in ``COPIED_REPOS`` repositories; any other one is a
+credential of its owner (kind ``owned``): what one owner alone holds never
+counts as an example, in however many repositories. Both kinds are added to the
+base spans, at the value itself and with both counts; nothing is taken away.
 
 Defined results: null and empty text have no spans; a null owner or repository
 counts as one unknown value; repeated rows each get their spans and count once
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, table
+from scriptorium.llm.common import cut, spread_join, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so asking for their length at once finds what dropping short runs leaves.
@@ -29,8 +30,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned", "copied")
-#: A value of so many owners is a copied example.
-COPIED_OWNERS = 3
+#: A value of so many owners is a copied example, and so is one of two owners in so many repositories.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
+#: Matches whose spans are put together at a time, so a text of very many matches isn't copied for each.
+STEP = 64
 #: A live-looking value has so many different characters.
 DIFFERENT_CHARS = 8
 
@@ -44,15 +47,23 @@ def _matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     # What stands between matches, and the matches, give the starts.
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), values.alias("value"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    state_of = lambda at, spans, kind: F.struct(at.cast("long").alias("at"), spans.cast(kind).alias("spans"))
 
-    def step(state: Column, part: Column) -> Column:
+    def one(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["gap"])
         end = start + F.length(part["whole"])
         span = F.struct(start.cast("long").alias("start"), F.lit(rank).alias("rank"), end.cast("long").alias("end"), part["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return state_of(end, F.concat(state["spans"], F.array(span)), f"array<{SPAN}>")
 
-    spans = F.aggregate(parts, empty, step, lambda state: state["spans"])
+    def all_of(parts: Column) -> Column:
+        def some(state: Column, i: Column) -> Column:
+            found = F.aggregate(F.slice(parts, i * STEP + 1, F.lit(STEP)), state_of(state["at"], F.array(), f"array<{SPAN}>"), one)
+            return F.transform(F.array(found), lambda x: state_of(x["at"], F.concat(state["spans"], F.array(x["spans"])), f"array<array<{SPAN}>>"))[0]
+
+        steps = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int"))
+        return F.aggregate(steps, state_of(F.lit(0), F.array(), f"array<array<{SPAN}>>"), some, lambda state: F.flatten(state["spans"]))
+
+    spans = F.transform(F.array(parts), all_of)[0]  # so the parts are found once
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -77,11 +88,11 @@ def candidate_spans(text: Column, base: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each value hash (columns hash, repo, owner)."""
-    return candidates.groupBy("hash").agg(F.countDistinct(F.coalesce("repo", F.lit(""))).alias("n_repos"), F.countDistinct(F.coalesce("owner", F.lit(""))).alias("n_owners"))
+    """Distinct repositories and owners of each value hash (columns hash, repo, owner), and ``n``, its places."""
+    return candidates.groupBy("hash").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("repo", F.lit(""))).alias("n_repos"), F.countDistinct(F.coalesce("owner", F.lit(""))).alias("n_owners"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """The ``keep`` columns and ``spans``: array of (start, rank, end, value, n_repos, n_owners), sorted, rank counting KINDS; base spans have no counts."""
     found = cut(
         docs.select(
@@ -94,9 +105,10 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owne
     ).withColumn("rid", F.monotonically_increasing_id())
     each = found.filter(F.size("cands") > 0).select("rid", "repo", "owner", F.explode("cands").alias("span")).withColumn("hash", F.sha2("span.value", 256))
     uncounted = lambda s: F.struct(*[s[x].alias(x) for x in ("start", "rank", "end", "value")], *[F.lit(None).cast("long").alias(x) for x in ("n_repos", "n_owners")])
-    rank = F.when(F.col("n_owners") >= copied_owners, 4).otherwise(3)
+    copied = (F.col("n_owners") >= copied_owners) | ((F.col("n_owners") >= 2) & (F.col("n_repos") >= copied_repos))
+    rank = F.when(copied, 4).otherwise(3)
     added = (
-        each.join(ownership(each), "hash")
+        spread_join(each, cut(ownership(each)), "hash")
         .groupBy("rid")
         .agg(F.collect_list(F.struct(F.col("span.start").alias("start"), rank.alias("rank"), F.col("span.end").alias("end"), F.col("span.value").alias("value"), "n_repos", "n_owners")).alias("added"))
     )
@@ -112,16 +124,18 @@ def rendered(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with every maximal stretch under sorted spans replaced by a mark."""
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        first = fresh & ((s["start"] > state["at"]) | (state["at"] == 0))
-        out = F.when(first, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, empty, step, lambda state: F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int"))))
+    # Gaps between the spans: from the end of all spans before to the start of the next one that lies beyond.
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("gaps"))
+    state_of = lambda at, gaps: F.struct(at.cast("long").alias("at"), gaps.alias("gaps"))
+
+    def one(state: Column, s: Column) -> Column:
+        first = (s["start"] > state["at"]) | ((state["at"] == 0) & (F.size(state["gaps"]) == 0))
+        gap = F.array(F.struct(state["at"].alias("lo"), s["start"].alias("hi")))
+        return state_of(F.greatest(state["at"], s["end"]), F.when(first, F.concat(state["gaps"], gap)).otherwise(state["gaps"]))
+
+    gaps = F.aggregate(spans, empty, one)
+    pieces = lambda g: F.concat(F.transform(g["gaps"], lambda x: F.substr(text, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))), F.array(F.substr(text, (g["at"] + 1).cast("int"))))
+    done = F.transform(F.array(gaps), lambda g: F.array_join(pieces(g), mark))[0]
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 

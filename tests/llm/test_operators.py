@@ -55,7 +55,7 @@ def test_minhash(spark, docs, rows, sf):
     check_minhash(table(spark, sf, "documents"), corpus(spark, sf))
 
 
-@pytest.mark.parametrize("tile", [2048, 4])
+@pytest.mark.parametrize("tile", [1024, 4])
 def test_minhash_chains(spark, monkeypatch, tile):
     """Texts that only link along a chain, and a passage that many share."""
     monkeypatch.setattr(minhash, "TILE", tile)
@@ -114,6 +114,39 @@ def test_ownership_of_base_findings(spark):
     assert got[99] == [(0, 0, 17), (8, 3, 17)]
 
 
+def test_repositories_decide_between_two_owners(spark):
+    held = lambda value, repos, owners: [(f"token = {value}", f"r{value}{i}", f"o{i % owners}") for i in range(repos)]
+    rows = held("widelycopied", 20, 2) + held("oftwoowners", 19, 2) + held("ofoneowner", 60, 1) + held("ofthreeowners", 3, 3)
+    found = secrets.scan(spark.createDataFrame(rows, "text string, repo string, who string"), repo_col="repo", owner_col="who", keep=("text",))
+    got = {r.text[8:]: r.spans[1].rank for r in found.collect()}
+    assert got == {"widelycopied": 4, "oftwoowners": 3, "ofoneowner": 3, "ofthreeowners": 4}
+
+
+def test_text_of_very_many_secrets(spark):
+    text = "".join(f"token={'a' * (6 + i % 3)} AKIA{'B' * 16} " for i in range(3000))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    spans = df.select(F.sort_array(secrets.base_spans(F.col("text"))).alias("s")).first().s
+    assert [(s.start, s.rank, s.end) for s in spans] == brute.secrets(text)
+    out = df.select(secrets.redact(F.col("text"), F.sort_array(secrets.base_spans(F.col("text"))))).first()[0]
+    assert out == "[REDACTED] [REDACTED] " * 3000
+
+
+def test_secrets_contract(spark, docs, rows, tmp_path):
+    """Every column of the query against a plain version."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kinds = ("assign", "access", "hex", "owned", "copied")
+    for r in secrets.op3_secret_scans(spark, str(tmp_path)).collect():
+        base = brute.secrets(dict(rows)[r.doc_id])
+        joined = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert r.base_sha256 == brute.sha(joined(base).encode())
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if s.split(":")[0] in kinds[:3]] == [s for s in joined(base).split(",") if s]
+        assert len(r.counts) == r.n_owned + r.n_copied == len(spans) - len(base)
+        place = [(int(s.split(":")[1]), kinds.index(s.split(":")[0])) for s in spans]
+        assert place == sorted(place)
+
+
 def test_ownership_counts_with_spans(spark):
     rows = [(i, "password = changeme", "s0" if i else "s1") for i in range(5)]
     for r in secrets.scan(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string")).collect():
