@@ -1,26 +1,31 @@
 """Exact removal of repeated byte strings by column-wise construction over a collection.
 
 The collection is cut into fragments that can be ordered apart from each other.
-Each window of ``LENGTH`` bytes has an anchor: the leftmost place of the least
+Each window of ``PASSAGE`` bytes has an anchor: the leftmost place of the least
 hash of ``GRAM`` bytes inside it. Windows of a text that share an anchor form a
-fragment, from the first one's first byte to the last one's last. Equal windows
-have equal anchors at equal offsets, so they meet in the fragments of one anchor
-hash, aligned at the anchor, and fragments of other hashes can't hold them.
-Equal fragments are counted first; one of each class goes on, and only where an
-anchor hash has several classes.
+fragment, from the first one's first byte to what a string of ``LENGTH`` bytes
+takes that starts with the last one. Equal strings start with equal windows, and
+these have equal anchors at equal offsets, so they meet in the fragments of one
+anchor hash, aligned at the anchor; fragments of other hashes can't hold them.
+Equal fragments are counted first, by a cryptographic hash; one of each class
+goes on, and only where an anchor hash has several classes.
 
 A bucket's fragments are then a collection of aligned documents, which is built
 column by column from the right (the way of BCR and its extension to common
 prefixes): each round reads one symbol of every document, in the order of the
 round before (that stretch of symbols is the collection's Burrows-Wheeler
 transform), puts the suffixes into their new order by one stable sort, and
-updates the common prefixes of neighbours. A window repeats where a neighbour's
-common prefix reaches its length. The columns come and go as sequential shuffle
-files; a bucket has a fixed number of bytes, so its state stays in memory.
+updates the common prefixes of neighbours. A string repeats where a neighbour's
+common prefix reaches its length, and one construction tells this for both
+lengths: strings of ``LENGTH`` bytes are removed, and what strings of
+``PASSAGE`` bytes cover, as a passage of fifty words does, is counted only.
+The columns come and go as sequential shuffle files; a bucket has a fixed number
+of bytes, so its state stays in memory.
 
 An anchor hash of more than ``HOT`` classes, as at the edge of a passage that
-very many texts share, would bring them all to one bucket. The windows of such
-fragments are compared by 96-bit hash instead, dealt out by that hash.
+very many texts share, would bring them all to one bucket. Its fragments are cut
+further, down to single strings, which are dealt out by a 96-bit hash of all of
+their bytes and are equal where they meet.
 
 Defined results: null and empty texts have no bytes; documents shorter than
 ``LENGTH`` bytes lose nothing; a repeated row is one more copy, so its strings
@@ -39,16 +44,17 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import binary_of, blocks, cut, raw, table, unpack
 from scriptorium.llm.exchange import ROWS, changes, gather, keyed, split
-from scriptorium.llm.words import SEEDS as BASES, mixed
+from scriptorium.llm.words import SEEDS, mixed, window_hashes
 
-LENGTH = 400
+#: Bytes of strings that are removed, and of those that are counted.
+LENGTH, PASSAGE = 400, 240
 GRAM = 32
-#: Windows that are hashed at a time; positions take the low bits of a hash.
+#: Windows whose anchors are found at a time; positions take the low bits of a hash.
 STRETCH, PLACE_BITS = 1 << 22, 24
 
 #: Classes of one anchor hash up to which they are ordered in one bucket.
 HOT = 2048
-#: Hot fragments whose windows are hashed at a time.
+#: Hot fragments whose strings are hashed at a time.
 HOT_STEP = 512
 
 ASK, COVERED, WINDOWS, SHIP = 0, 1, 2, 3
@@ -56,48 +62,24 @@ ASK, COVERED, WINDOWS, SHIP = 0, 1, 2, 3
 FULL, IS_HOT = 1, 2
 
 
-_powers: dict = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    size = 1 << max(16, n.bit_length())
-    if (base, size) not in _powers:
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[base, size] = tuple(out)
-    return _powers[base, size]
-
-
-def _sums(buf: np.ndarray, base: int) -> np.ndarray:
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(base, len(buf) + 1)[0][: len(buf)], out=sums[1:])
-    return sums
-
-
-def fragments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Text, first window, anchor's distance, windows less one, anchor hash and two fragment hashes of every fragment."""
-    if len(buf) > STRETCH + LENGTH:  # one long text: windows of one stretch at a time
+def anchored(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """First and last window, anchor and anchor hash of every fragment; places in buf."""
+    if len(buf) > STRETCH + PASSAGE:  # one long text: windows of one stretch at a time
         parts = []
-        for i in range(0, len(buf) - LENGTH + 1, STRETCH):
-            some = buf[i : i + STRETCH + LENGTH - 1]
-            found = fragments(some, np.array([0, len(some)]))
-            found[1] = found[1] + i
-            parts.append(found)
+        for i in range(0, len(buf) - PASSAGE + 1, STRETCH):
+            some = buf[i : i + STRETCH + PASSAGE - 1]
+            lo, hi, at, h = anchored(some, np.array([0, len(some)]))
+            parts.append([lo + i, hi + i, at + i, h])
         return [np.concatenate(x) for x in zip(*parts, strict=True)]
     n = len(buf)
     sizes = np.diff(offsets)
-    if n < LENGTH or not (sizes >= LENGTH).any():
-        return [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 3
-    down = [powers(b, n + 1)[1] for b in BASES]
-    sums = [_sums(buf, b) for b in BASES]
-    grams = mixed((sums[0][GRAM:] - sums[0][: n - GRAM + 1]) * down[0][: n - GRAM + 1])
+    if n < PASSAGE or not (sizes >= PASSAGE).any():
+        return [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
+    # What hashes alike only shares a bucket, so any hash will do here.
+    grams = window_hashes(buf.astype(np.uint64), GRAM)
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    span, width = 1, LENGTH - GRAM + 1
+    span, width = 1, PASSAGE - GRAM + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -105,29 +87,46 @@ def fragments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         least = np.minimum(least[: span - width], least[width - span :])
     anchor = (least & low).astype(np.int64)
     steps = np.zeros(n + 1, np.int8)
-    long = sizes >= LENGTH
+    long = sizes >= PASSAGE
     steps[offsets[:-1][long]] += 1
-    steps[offsets[1:][long] - LENGTH + 1] -= 1
+    steps[offsets[1:][long] - PASSAGE + 1] -= 1
     fit = np.cumsum(steps, dtype=np.int8)[: len(anchor)] > 0
     new, last = fit.copy(), fit.copy()
     same = fit[1:] & fit[:-1] & (anchor[1:] == anchor[:-1])
     new[1:] &= ~same
     last[:-1] &= ~same
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
-    at = anchor[lo]
-    whole = [mixed((s[hi + LENGTH] - s[lo]) * d[lo]) for s, d in zip(sums, down, strict=True)]
+    return [lo, hi, anchor[lo], grams[anchor[lo]]]
+
+
+def fragments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Text, first window, anchor's distance, windows less one, size, anchor hash and two halves of the hash of every fragment."""
+    lo, hi, at, h = anchored(buf, offsets)
     text = np.searchsorted(offsets, lo, "right") - 1
-    return [text, lo - offsets[text], at - lo, hi - lo, grams[at], *whole]
+    end = np.minimum(hi + LENGTH, offsets[text + 1])
+    data = memoryview(np.ascontiguousarray(buf))
+    whole = np.frombuffer(b"".join([hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(lo.tolist(), end.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return [text, lo - offsets[text], at - lo, hi - lo, end - lo, h, whole[:, 0], whole[:, 1]]
+
+
+def whole_cover(lo: np.ndarray, more: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """What strings of a fragment cover that repeats as a whole: begin, end, and whether strings of LENGTH bytes do."""
+    long = size >= LENGTH
+    end = lo.astype(np.int64) + np.where(long, size, more.astype(np.int64) + PASSAGE)
+    return [lo.astype(np.uint32), end.astype(np.uint32), long.astype(np.uint8)]
 
 
 class Columns:
     """Aligned documents, ordered column by column from the right.
 
     ``group``: documents of different groups never compare. ``left``, ``right``:
-    the columns of each document's first byte and behind its last one.
+    the columns of each document's first byte and behind its last one. With
+    ``keep``, each round's stretch of the transform stays in ``transform``: the
+    documents in order of their suffixes behind the column, and their symbols.
     """
 
-    def __init__(self, group: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, starts: np.ndarray):
+    def __init__(self, group: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, starts: np.ndarray, keep: bool = False):
+        self.transform: dict[int, tuple[np.ndarray, np.ndarray]] | None = {} if keep else None
         self.group = np.unique(group, return_inverse=True)[1].astype(np.int64)
         self.left, self.right, self.data, self.base = left, right, data, starts - left
         self.order = np.empty(0, np.int64)
@@ -152,7 +151,10 @@ class Columns:
 
     def _insert(self, column: int) -> None:
         """Put each document's symbol of this column before its suffix."""
-        key = self.group[self.order] * 256 + self.data[self.base[self.order] + column]
+        symbols = self.data[self.base[self.order] + column]
+        if self.transform is not None:
+            self.transform[column] = (self.order, symbols)
+        key = self.group[self.order] * 256 + symbols
         n = len(key)
         if n < 2:
             self.common[:] = 0
@@ -175,12 +177,13 @@ class Columns:
         common[same] = value + 1
         self.order, self.common = self.order[at], common
 
-    def repeats(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last column of each document at which a string of ``length`` bytes repeats; first > last if none."""
+    def repeats(self, lengths: tuple[int, ...], last_start: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, the first and last column of each document, up to ``last_start``, at which a string of so many bytes repeats; first > last if none."""
         n = len(self.left)
-        first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        found = [(np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)) for _ in lengths]
         if not n:
-            return first, last
+            return found
+        last_start = self.right if last_start is None else last_start
         enter = np.argsort(-self.right, kind="stable")
         leave = np.argsort(-self.left, kind="stable")
         e = x = 0
@@ -194,18 +197,20 @@ class Columns:
             if not len(self.order):
                 continue
             self._insert(column)
-            hit = self.common >= length
-            if hit.any():
-                hit[:-1] |= hit[1:]
-                docs = self.order[hit]
-                first[docs] = column
-                last[docs] = np.maximum(last[docs], column)
+            for length, (first, last) in zip(lengths, found, strict=True):
+                hit = self.common >= length
+                if hit.any():
+                    hit[:-1] |= hit[1:]
+                    docs = self.order[hit]
+                    docs = docs[column <= last_start[docs]]
+                    first[docs] = column
+                    last[docs] = np.maximum(last[docs], column)
             i = x
             while x < n and lefts[x] == column:
                 x += 1
             if x > i:
                 self._leave(self.left[self.order] == column)
-        return first, last
+        return found
 
 
 def _rows(found: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -225,20 +230,19 @@ def _ask(parts: int):
                 found.append(some)
             if not found:
                 continue
-            text, lo, da, more, h, f1, f2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            text, lo, da, more, size, h, f1, f2 = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((f2, f1, h))
             new = changes(h[order], f1[order], f2[order])
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            times = np.diff(np.append(np.flatnonzero(new), len(order)))
             many = np.zeros(len(order), bool)
-            many[order] = np.repeat(size > 1, size)
+            many[order] = np.repeat(times > 1, times)
             head = np.zeros(len(order), bool)
             head[order] = new
             out = []
             # Repeated in this batch: settled for all; the first of each class asks on for the others.
-            lo32 = lo.astype(np.uint32)
-            for to, blob in split(part[text[many]], text[many], [lo32[many], (lo + more + LENGTH)[many].astype(np.uint32)], [key, mark]):
+            for to, blob in split(part[text[many]], text[many], whole_cover(lo[many], more[many], size[many]), [key, mark]):
                 out.append((to, COVERED, blob))
-            columns = [h, f1, f2.astype(np.uint32), lo32, da.astype(np.uint16), more.astype(np.uint16), many.astype(np.uint8)]
+            columns = [h, f1, f2.astype(np.uint32), lo.astype(np.uint32), da.astype(np.uint8), more.astype(np.uint8), size.astype(np.uint16), many.astype(np.uint8)]
             for b, blob in split((h[head] >> np.uint64(20)) % np.uint64(parts), text[head], [c[head] for c in columns], [key, mark, part]):
                 out.append((b, ASK, blob))
             yield from _rows(out).to_batches()
@@ -250,7 +254,7 @@ def _classes(_key: tuple, rows: pa.Table) -> pa.Table:
     """Classes of equal fragments: what is covered, and one of each class that has to be compared."""
     kind, body = rows.column("kind").to_pylist(), rows.column("body").to_pylist()
     out = [(_key[0].as_py(), COVERED, b) for k, b in zip(kind, body, strict=True) if k == COVERED]
-    (h, f1, f2, lo, da, more, many), (key, mark, part), owner, _ = gather([b for k, b in zip(kind, body, strict=True) if k == ASK], 7, 3)
+    (h, f1, f2, lo, da, more, size, many), (key, mark, part), owner, _ = gather([b for k, b in zip(kind, body, strict=True) if k == ASK], 8, 3)
     if len(h):
         order = np.lexsort((f2, f1, h))
         new, group = changes(h[order], f1[order], f2[order]), changes(h[order])
@@ -263,32 +267,28 @@ def _classes(_key: tuple, rows: pa.Table) -> pa.Table:
         marks = full.astype(np.uint8)
         marks[order[kinds > HOT]] |= IS_HOT
         hit = np.flatnonzero(full & (many == 0))
-        out += [(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], [lo[hit], lo[hit] + more[hit] + np.uint32(LENGTH)], [key, mark])]
+        out += [(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], whole_cover(lo[hit], more[hit], size[hit]), [key, mark])]
         ship = np.sort(order[new & (kinds > 1)])
-        out += [(to, SHIP, b) for to, b in split(part[owner[ship]], owner[ship], [h[ship], lo[ship], da[ship], more[ship], marks[ship]], [key, mark])]
+        out += [(to, SHIP, b) for to, b in split(part[owner[ship]], owner[ship], [h[ship], lo[ship], da[ship], more[ship], size[ship], marks[ship]], [key, mark])]
     return _rows(out)
 
 
-def _windows(buf: np.ndarray, starts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fragment, offset and two hashes of every window of some fragments."""
-    size = more + LENGTH
-    data = np.concatenate([buf[s : s + z] for s, z in zip(starts.tolist(), size.tolist(), strict=True)])
+def _strings(buf: np.ndarray, starts: np.ndarray, more: np.ndarray, size: np.ndarray, length: int) -> list[np.ndarray]:
+    """Fragment, offset and two hashes of every string of ``length`` bytes that starts in a window of some fragments."""
+    data = np.concatenate([buf[s : s + z] for s, z in zip(starts.tolist(), size.tolist(), strict=True)]).astype(np.uint64)
     begin = np.cumsum(size) - size
-    which = np.repeat(np.arange(len(starts)), more + 1)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    n = np.maximum(np.minimum(more + 1, size - length + 1), 0)
+    which = np.repeat(np.arange(len(starts)), n)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[which] + offset
-    hashes = []
-    for base in BASES:
-        sums = _sums(data, base)
-        hashes.append(mixed((sums[at + LENGTH] - sums[at]) * powers(base, len(data) + 1)[1][at]))
-    return which, offset, *hashes
+    return [which, offset, *(window_hashes(data, length, seed)[at] if len(at) else np.empty(0, np.uint64) for seed in SEEDS)]
 
 
 def _ship(parts: int):
     def run(_key: tuple, docs: pa.Table, flags: pa.Table) -> pa.Table:
         key, mark = docs.column("key").to_numpy(), docs.column("mark").to_numpy()
         place = {x: i for i, x in enumerate(zip(key.tolist(), mark.tolist(), strict=True))}
-        (h, lo, da, more, marks), (k, m), owner, _ = gather(flags.column("body").to_pylist(), 5, 2)
+        (h, lo, da, more, size, marks), (k, m), owner, _ = gather(flags.column("body").to_pylist(), 6, 2)
         if not len(h) or not place:
             return _rows([])
         part = docs.column("part")[0].as_py()
@@ -298,21 +298,23 @@ def _ship(parts: int):
         out, hot = [], np.flatnonzero(marks & IS_HOT)
         for i in range(0, len(hot), HOT_STEP):
             some = hot[i : i + HOT_STEP]
-            which, offset, h1, h2 = _windows(buf, offsets[row[some]] + lo[some], more[some].astype(np.int64))
-            columns = [h1, h2.astype(np.uint32), lo[some][which], offset.astype(np.uint16), marks[some][which] & np.uint8(FULL)]
-            out += [(b, WINDOWS, blob) for b, blob in split((h1 >> np.uint64(20)) % np.uint64(parts), row[some][which], columns, names)]
+            for long, length in enumerate((PASSAGE, LENGTH)):
+                which, offset, h1, h2 = _strings(buf, offsets[row[some]] + lo[some], more[some].astype(np.int64), size[some].astype(np.int64), length)
+                kind = (marks[some][which] & np.uint8(FULL)) | np.uint8(2 * long)
+                columns = [h1, h2.astype(np.uint32), lo[some][which], offset.astype(np.uint16), kind]
+                out += [(b, WINDOWS, blob) for b, blob in split((h1 >> np.uint64(20)) % np.uint64(parts), row[some][which], columns, names)]
         cold = np.flatnonzero(~marks & IS_HOT)
         if not len(cold):
             return _rows(out)
-        h, lo, da, more, full, row = h[cold], lo[cold], da[cold], more[cold], marks[cold], row[cold]
+        h, lo, da, more, size, full, row = h[cold], lo[cold], da[cold], more[cold], size[cold], marks[cold], row[cold]
         bucket = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(changes(bucket[order]))
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
             at = order[i:j]
-            start, size = offsets[row[at]] + lo[at], more[at].astype(np.int64) + LENGTH
-            data = np.concatenate([buf[s : s + z] for s, z in zip(start.tolist(), size.tolist(), strict=True)])
-            columns = [h[at], lo[at], da[at], more[at], full[at]]
+            start = offsets[row[at]] + lo[at]
+            data = np.concatenate([buf[s : s + z] for s, z in zip(start.tolist(), size[at].tolist(), strict=True)])
+            columns = [h[at], lo[at], da[at], more[at], size[at], full[at]]
             (blob,) = (b for _, b in split(np.zeros(len(at), np.int64), row[at], columns, names))
             # ``split`` keeps the order of rows here, so the bytes stay aligned with them.
             out.append((int(bucket[at[0]]), ASK, len(blob).to_bytes(8, "little") + blob + data.tobytes()))
@@ -328,62 +330,73 @@ def _compare(rows: pa.Table) -> pa.Table:
 
 
 def _hot(bodies: list) -> list[tuple[int, int, bytes]]:
-    """Windows that others equal, joined for each fragment; any two windows of one overlap."""
-    (h1, h2, lo, offset, full), (key, mark, part), owner, blob = gather(bodies, 5, 3)
+    """Strings that others equal, joined for each fragment; any two of one fragment overlap."""
+    (h1, h2, lo, offset, kind), (key, mark, part), owner, blob = gather(bodies, 5, 3)
     if not len(h1):
         return []
-    order = np.lexsort((h2, h1))
-    new = changes(h1[order], h2[order])
+    long = kind >> 1
+    order = np.lexsort((h2, h1, long))
+    new = changes(h1[order], h2[order], long[order])
     shared = np.zeros(len(h1), bool)
     shared[order] = ~(new & np.append(new[1:], True))
-    hit = np.flatnonzero(shared & (full == 0))
+    hit = np.flatnonzero(shared & (kind & FULL == 0))
     if not len(hit):
         return []
-    hit = hit[np.lexsort((offset[hit], lo[hit], owner[hit]))]
-    first = np.flatnonzero(changes(owner[hit], lo[hit]))
+    hit = hit[np.lexsort((offset[hit], long[hit], lo[hit], owner[hit]))]
+    first = np.flatnonzero(changes(owner[hit], lo[hit], long[hit]))
     last = np.append(first[1:], len(hit)) - 1
-    who, begin = owner[hit[first]], lo[hit[first]].astype(np.int64)
-    ends = [(begin + offset[hit[first]]).astype(np.uint32), (begin + offset[hit[last]] + LENGTH).astype(np.uint32)]
+    who, begin, kind = owner[hit[first]], lo[hit[first]].astype(np.int64), long[hit[first]]
+    ends = [(begin + offset[hit[first]]).astype(np.uint32), (begin + offset[hit[last]] + np.where(kind > 0, LENGTH, PASSAGE)).astype(np.uint32), kind.astype(np.uint8)]
     return [(to, COVERED, b) for to, b in split(part[who], who, ends, [key, mark])]
 
 
 def _ordered(bodies: list) -> list[tuple[int, int, bytes]]:
     """Repeats of aligned fragments by column-wise construction."""
     sizes = [int.from_bytes(b.slice(0, 8).to_pybytes(), "little") for b in bodies]
-    (h, lo, da, more, full), (key, mark, part), owner, _ = gather([b.slice(8, s) for b, s in zip(bodies, sizes, strict=True)], 5, 3)
+    (h, lo, da, more, size, full), (key, mark, part), owner, _ = gather([b.slice(8, s) for b, s in zip(bodies, sizes, strict=True)], 6, 3)
     if not len(h):
         return []
     data = np.concatenate([np.frombuffer(b, np.uint8, -1, 8 + s) for b, s in zip(bodies, sizes, strict=True)])
-    size = more.astype(np.int64) + LENGTH
-    starts = np.cumsum(size) - size
+    size = size.astype(np.int64)
     left = -da.astype(np.int64)
-    first, last = Columns(h, left, left + size, data, starts).repeats(LENGTH)
-    hit = np.flatnonzero((first <= last) & (full == 0))
-    begin = lo[hit].astype(np.int64) + (first - left)[hit]
-    end = lo[hit].astype(np.int64) + (last - left)[hit] + LENGTH
-    return [(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], [begin.astype(np.uint32), end.astype(np.uint32)], [key, mark])]
+    found = Columns(h, left, left + size, data, np.cumsum(size) - size).repeats((PASSAGE, LENGTH), left + more)
+    out = []
+    for long, (length, (first, last)) in enumerate(zip((PASSAGE, LENGTH), found, strict=True)):
+        hit = np.flatnonzero((first <= last) & (full == 0))
+        begin = lo[hit].astype(np.int64) + (first - left)[hit]
+        end = lo[hit].astype(np.int64) + (last - left)[hit] + length
+        out += [(to, COVERED, b) for to, b in split(part[owner[hit]], owner[hit], [begin.astype(np.uint32), end.astype(np.uint32), np.full(len(hit), long, np.uint8)], [key, mark])]
+    return out
+
+
+def _joined(begin: list[int], end: list[int]) -> list[list[int]]:
+    """Maximal runs of ranges that are sorted by their begin."""
+    out: list[list[int]] = []
+    for b, e in zip(begin, end, strict=True):
+        if out and b <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([b, e])
+    return out
 
 
 def _finish(digests: bool):
     def run(_key: tuple, docs: pa.Table, flags: pa.Table) -> pa.Table:
-        (begin, end), (k, m), owner, _ = gather([b for kind, b in zip(flags.column("kind").to_pylist(), flags.column("body").to_pylist(), strict=True) if kind == COVERED], 2, 2)
+        (begin, end, long), (k, m), owner, _ = gather([b for kind, b in zip(flags.column("kind").to_pylist(), flags.column("body").to_pylist(), strict=True) if kind == COVERED], 3, 2)
         names: dict[tuple[int, int], int] = {}
         who = np.array([names.setdefault(x, len(names)) for x in zip(k.tolist(), m.tolist(), strict=True)], np.int64)
         who = who[owner] if len(who) else owner
         order = np.lexsort((begin, who))
-        begin, end, who = begin[order], end[order], who[order]
+        begin, end, long, who = begin[order], end[order], long[order], who[order]
         bounds = np.searchsorted(who, np.arange(len(names) + 1))
-        n_bytes, n_removed, kept, spans = [], [], [], []
+        n_bytes, n_removed, n_repeated, kept, spans = [], [], [], [], []
         for key, mark, text in zip(docs.column("key").to_pylist(), docs.column("mark").to_pylist(), docs.column("text"), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             d = names.get((key, mark))
-            gone, stays, at = [], [], 0
-            for i in range(bounds[d], bounds[d + 1]) if d is not None else ():
-                b, e = int(begin[i]), int(end[i])
-                if gone and b <= gone[-1][1]:
-                    gone[-1][1] = max(gone[-1][1], e)
-                else:
-                    gone.append([b, e])
+            here = slice(bounds[d], bounds[d + 1]) if d is not None else slice(0)
+            removed = long[here] > 0
+            gone, stays, at = _joined(begin[here][removed].tolist(), end[here][removed].tolist()), [], 0
+            n_repeated.append(sum(e - b for b, e in _joined(begin[here].tolist(), end[here].tolist())))
             for b, e in gone:
                 stays.append(data[at:b])
                 at = e
@@ -393,13 +406,13 @@ def _finish(digests: bool):
             n_removed.append(len(data) - len(rest))
             spans.append([{"start": b, "end": e} for b, e in gone])
             kept.append(hashlib.sha256(rest).hexdigest().encode() if digests else rest)
-        return pa.table({"doc_id": docs.column("id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": binary_of(kept)})
+        return pa.table({"doc_id": docs.column("id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_repeated": pa.array(n_repeated, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": binary_of(kept)})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (removed runs, byte offsets) and kept (remaining bytes; ``digests``: their SHA-256)."""
+    """doc_id, n_bytes, n_removed, n_repeated (bytes that strings of PASSAGE bytes cover which stand elsewhere too), spans (removed runs, byte offsets) and kept (remaining bytes; ``digests``: their SHA-256)."""
     docs, parts = keyed(docs, id_col, text_col)
     asked = docs.select("key", "mark", "part", "text").mapInArrow(_ask(parts), ROWS)
     flags = cut(asked.groupBy("bucket").applyInArrow(_classes, ROWS))
@@ -407,13 +420,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shipped = groups.cogroup(flags.filter(F.col("kind") == SHIP).groupBy("bucket")).applyInArrow(_ship(parts), ROWS)
     compared = shipped.groupBy("bucket").applyInArrow(_compare, ROWS)
     covered = flags.filter(F.col("kind") == COVERED).union(compared)
-    done = groups.cogroup(covered.groupBy("bucket")).applyInArrow(_finish(digests), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    done = groups.cogroup(covered.groupBy("bucket")).applyInArrow(_finish(digests), "doc_id long, n_bytes long, n_removed long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")
     return done.withColumnRenamed("doc_id", id_col)
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"), digests=True)
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256"), "n_repeated")
 
 
 QUERIES = {"op6_suffix_array": op6_suffix_array}

@@ -249,8 +249,9 @@ def test_words_that_polynomial_hashes_confuse(spark):
 
 
 def check_suffixes(docs, rows):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept.decode()) for r in suffixes.remove_repeats(docs, digests=True).collect()}
-    assert got == brute.remove_bytes(rows)
+    found = suffixes.remove_repeats(docs, digests=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept.decode()) for r in found} == brute.remove_bytes(rows)
+    assert {r.doc_id: r.n_repeated for r in found} == {d: x[1] for d, x in brute.remove_bytes(rows, suffixes.PASSAGE).items()}
 
 
 def test_suffixes(spark, docs, rows, sf):
@@ -265,11 +266,24 @@ def test_suffixes_at_odd_offsets(spark, monkeypatch, hot):
     base = "".join(r.choice("abcdefgh ") for _ in range(3000))
     rows = []
     for i in range(30):
-        a, n = r.randrange(2500), r.randrange(390, 900)
+        a, n = r.randrange(2500), r.randrange(230, 900)
         rows.append((i, "".join(r.choice("xyz") for _ in range(r.randrange(300))) + base[a : a + n] + ("" if i % 3 else "é" * r.randrange(200))))
     check_suffixes(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_construction_decides(spark, monkeypatch):
+    """Strings inside fragments that differ are found by the construction alone."""
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = text(700)
+    rows = [(i, text(300) + shared + text(300)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_suffixes(docs, rows)
+    monkeypatch.setattr(suffixes, "_ordered", lambda bodies: [])
+    want = {d: x[1] for d, x in brute.remove_bytes(rows).items()}
+    assert all(r.n_removed < want[r.doc_id] for r in suffixes.remove_repeats(docs).collect())
+
+
 def test_columns_against_plain_search():
     r = random.Random(3)
     for trial in range(150):
@@ -281,7 +295,16 @@ def test_columns_against_plain_search():
         docs = [(g, a, b, bytes(r.choice(alphabet.encode()) for _ in range(b - a))) for g, a, b, _ in docs]
         left, right = np.array([d[1] for d in docs]), np.array([d[2] for d in docs])
         data = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
-        first, last = suffixes.Columns(np.array([d[0] for d in docs]), left, right, data, np.cumsum(right - left) - (right - left)).repeats(length)
+        built = suffixes.Columns(np.array([d[0] for d in docs]), left, right, data, np.cumsum(right - left) - (right - left), keep=True)
+        ((first, last),) = built.repeats((length,))
+        # The transform alone gives the documents back: what a document's symbols are, column by column.
+        back = [bytearray(len(d[3])) for d in docs]
+        for column, (order, symbols) in built.transform.items():
+            suffix = [(docs[i][0], docs[i][3][column + 1 - docs[i][1] :]) for i in order.tolist()]
+            assert suffix == sorted(suffix)
+            for i, x in zip(order.tolist(), symbols.tolist(), strict=True):
+                back[i][column - docs[i][1]] = x
+        assert [bytes(b) for b in back] == [d[3] for d in docs]
         at = lambda d, c: d[3][c - d[1] : c - d[1] + length]
         for i, d in enumerate(docs):
             hits = [c for c in range(d[1], d[2] - length + 1) if any(j != i and e[0] == d[0] and e[1] <= c and c + length <= e[2] and at(e, c) == at(d, c) for j, e in enumerate(docs))]
