@@ -1,22 +1,26 @@
-"""Exact top-k search by MaxScore over sharded signed postings.
-
-Each dimension has two posting lists: rows where its component is above zero,
-and rows where it is below. A query's term matches the list of its own sign; the
-other list can only lower a score. A term's score bound in a shard is the
-query's weight times the list's largest impact. Terms are taken by falling
-bound. With the current k-th score as threshold, the last terms whose bounds
-together stay below it are non-essential: a row in no essential list can't get
-in. Rows of the essential lists get partial scores, term block by term block,
-and the rest of the terms is probed only for rows that can still reach the
-threshold. Shards and blocks of queries meet pairwise; their lists of k are
-merged by a window that keeps k rows a query on the map side.
+"""Exact top-k search by MaxScore over sharded, impact-ordered postings.
+
+Each dimension has a posting list of a shard's rows by falling component, read
+from its front by terms above zero and from its end by those below, as far as it
+adds to a score; further on it can only lower one. A term's bound is what the
+next posting of its list can add. With the current k-th score as threshold, the
+terms of the least bounds that together stay below it are non-essential: a row
+that no essential list has brought up yet can't get in through them. So only
+essential lists are traversed, a stretch of the one of the highest bound at a
+time; rows that come up first there are scored, term block by term block, and
+the other terms are probed only while a row can still reach the threshold. After
+every stretch the threshold rises and the bound of that list falls, and more
+terms become non-essential; at last all are, and the shard is done. Shards and
+blocks of queries meet pairwise; their lists of k are merged by a window that
+keeps k rows a query on the map side.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take
 no part, as query or as row; shorter vectors count as zero beyond their end;
 ties go to the smaller id; a row of a query's own id is never its result, so
-repeated ids are results of other queries only, each row for itself; null ids
-take no part; scores have to fit a long; only the named columns are read; an
-empty table gives an empty result.
+repeated ids are results of other queries only, each row for itself; of a
+query's id, each distinct vector is one query; null ids take no part; scores
+have to fit a long; only the named columns are read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +35,18 @@ from scriptorium.llm.common import binary_of, cut, pack, table, unpack
 #: Rows of a shard and queries of a block; they bound what one comparison holds.
 SHARD, BLOCK = 4096, 1024
 #: Terms that are added before rows are dropped again.
-STEP = 8
+STEP = 16
+#: Postings of a list's first stretch, and of its longest; each is twice the one before.
+STRETCH, LONGEST = 64, 1024
 
 
 def _packed(key: tuple, rows: pa.Table) -> pa.Table:
-    """A shard or block as one value: ids, and components row by row, by id."""
+    """A shard or block as one value: ids, and components row by row, by id; a row of n copies stands n times."""
     ids = rows.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
+    order = np.repeat(np.argsort(ids, kind="stable"), rows.column("n").to_numpy()[np.argsort(ids, kind="stable")])
     vectors = rows.column("vector").to_pylist()
     width = max(map(len, vectors), default=0)
-    matrix = np.zeros((len(ids), width), np.int64)
+    matrix = np.zeros((len(order), width), np.int64)
     for i, j in enumerate(order.tolist()):
         matrix[i, : len(vectors[j])] = vectors[j]
     if matrix.size and abs(matrix).max() < 1 << 15:
@@ -54,67 +60,78 @@ def _matrix(blob) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """Signed postings of a shard's rows, with their bounds."""
+    """Impact-ordered postings of a shard's rows. ``read`` and ``products`` count postings read and products made."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.rows = ids, matrix
-        self.terms = np.ascontiguousarray(matrix.T)
-        self.most = np.maximum(matrix.max(0, initial=0), 0)
-        self.least = np.maximum(-matrix.min(0, initial=0), 0)
-
-    def search(self, own: int, query: np.ndarray, k: int, seeds: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        self.ids, self.read, self.products = ids, 0, 0
+        self.largest = int(abs(matrix).max(initial=0))
+        self.rows = matrix
+        self.exact = matrix.astype(np.float64)  # sums of products below 2**53 are whole there
+        self.lists = np.argsort(-matrix, axis=0, kind="stable").T.astype(np.int32)
+        self.impacts = np.take_along_axis(matrix.T, self.lists, 1)
+
+    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but those of the query's own id."""
-        width = min(len(query), len(self.terms))
+        n, width = len(self.ids), min(len(query), self.rows.shape[1])
         query = query[:width]
-        if not width:
-            at = np.flatnonzero(self.ids != own)[:k]
-            return self.ids[at], np.zeros(len(at), np.int64)
-        bounds = np.where(query > 0, query * self.most[:width], -query * self.least[:width])
-        order = np.argsort(-bounds, kind="stable")
-        rest = np.append(np.cumsum(bounds[order][::-1])[::-1], 0)
-        # A first threshold from the rows of largest impact in the leading list.
-        lead = self.terms[order[0]] * query[order[0]]
-        some = np.argpartition(-lead, min(seeds, len(lead) - 1))[: seeds + k] if len(lead) else np.empty(0, int)
-        some = some[self.ids[some] != own]
-        scores = self.rows[some][:, :width] @ query
-        threshold = np.partition(scores, -k)[-k] if len(scores) >= k else None
-        if threshold is None:
-            at = np.flatnonzero(self.ids != own)
-            partial = self.rows[at][:, :width] @ query
-        else:
-            essential = max(1, int(np.searchsorted(-rest[:-1], -threshold, "right")))
-            matched = np.zeros(len(self.ids), bool)
-            for d in order[:essential]:
-                matched |= (self.terms[d] > 0) if query[d] > 0 else (self.terms[d] < 0)
-                if matched.all():
-                    break
-            if threshold <= 0:
-                matched[:] = True
-            at = np.flatnonzero(matched & (self.ids != own))
-            partial, done = np.zeros(len(at), np.int64), 0
-            while done < width:
-                for d in order[done : done + STEP]:
-                    partial += self.terms[d][at] * query[d]
+        small = width * self.largest * int(abs(query).max(initial=0)) < 1 << 53
+        rows, weights = (self.exact, query.astype(np.float64)) if small else (self.rows, query)
+        fresh = self.ids != own
+        best, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not n:
+            return best, scores
+        up = query > 0
+        most = np.maximum(np.where(up, self.impacts[:width, 0] * query, self.impacts[:width, -1] * query), 0)
+        by_most = np.argsort(-most, kind="stable")
+        rest = np.append(np.cumsum(most[by_most][::-1])[::-1], 0)
+        bounds, place, stretch = most.copy(), np.zeros(width, np.int64), STRETCH
+        threshold = None
+        while True:
+            if threshold is not None and bounds.sum() < threshold:
+                break  # all terms are non-essential
+            d = int(bounds.argmax()) if width else 0
+            if width and bounds[d] > 0:
+                i, j = place[d], min(place[d] + stretch, n)
+                some = self.lists[d, i:j] if up[d] else self.lists[d, n - j : n - i]
+                place[d], stretch = j, min(2 * stretch, LONGEST)
+                bounds[d] = max(0, int((self.impacts[d, j] if up[d] else self.impacts[d, n - 1 - j]) * query[d])) if j < n else 0
+                self.read += j - i
+                some = some[fresh[some]]
+            else:  # no list adds anything to what is left
+                some = np.flatnonzero(fresh)
+            fresh[some] = False
+            partial, done = np.zeros(len(some), rows.dtype), 0
+            while done < width and len(some):
+                terms = by_most[done : done + STEP]
+                partial = partial + rows[np.ix_(some, terms)] @ weights[terms]
+                self.products += len(some) * len(terms)
                 done = min(done + STEP, width)
-                alive = partial + rest[done] >= threshold
-                if not alive.all():
-                    at, partial = at[alive], partial[alive]
-        best = np.lexsort((self.ids[at], -partial))[:k]
-        return self.ids[at][best], partial[best]
+                if threshold is not None:
+                    alive = partial + rest[done] >= threshold
+                    some, partial = some[alive], partial[alive]
+            if len(some):
+                best, scores = np.concatenate((best, some)), np.concatenate((scores, partial.astype(np.int64)))
+                top = np.lexsort((self.ids[best], -scores))[:k]
+                best, scores = best[top], scores[top]
+                threshold = int(scores[-1]) if len(best) == k else None
+            if not fresh.any() or not bounds.any() and not width:
+                break
+        return self.ids[best], scores
 
 
 def _search(k: int):
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             last, shard = None, None
-            for rows, block in zip(batch.column(0), batch.column(1), strict=True):
+            for rows, block, of in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if last is None or not rows.equals(last):
                     last, shard = rows, Shard(*_matrix(rows.as_buffer()))
-                for own, query in zip(*_matrix(block.as_buffer()), strict=True):
+                for n, (own, query) in enumerate(zip(*_matrix(block.as_buffer()), strict=True), of << 32):
                     ids, scores = shard.search(int(own), query, k)
-                    out[0].append(np.full(len(ids), own)), out[1].append(ids), out[2].append(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["query_id", "id", "score"])
+                    for values, x in zip(out, (np.full(len(ids), own), np.full(len(ids), n), ids, scores), strict=True):
+                        values.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["query_id", "place", "id", "score"])
 
     return run
 
@@ -124,18 +141,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
 
     Both tables hold integer arrays; rows of a query's own id are left out.
     """
-    named = [t.select(t[id_col].cast("long").alias("id"), t[vector_col].cast("array<bigint>").alias("vector")).filter("id is not null and vector is not null and size(vector) > 0") for t in (vectors, queries)]
     packed = []
-    for rows, size in zip(named, (SHARD, BLOCK), strict=True):
+    for t, size, copies in ((vectors, SHARD, k), (queries, BLOCK, 1)):
+        rows = t.select(t[id_col].cast("long").alias("id"), t[vector_col].cast("array<bigint>").alias("vector")).filter("id is not null and vector is not null and size(vector) > 0")
+        # Equal rows are counted first: more than k of them can't all be results, and equal queries are one.
+        rows = cut(rows.groupBy("id", "vector").agg(F.least(F.count("*"), F.lit(copies)).alias("n")))
         n = max(1, -(-rows.count() // size))
         spread = rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int"))
         packed.append((cut(spread.groupBy("block").applyInArrow(_packed, "block int, body binary")), n))
     (shards, n_shards), (blocks, _) = packed
     # Every block of queries goes to every shard: the stated query set against all rows.
-    sent = blocks.select(F.col("body").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("block"))
-    pairs = shards.withColumnRenamed("body", "rows").join(sent, "block").select("rows", "queries")
-    found = pairs.mapInArrow(_search(k), "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    sent = blocks.select(F.col("block").alias("of"), F.col("body").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("block"))
+    pairs = shards.withColumnRenamed("body", "rows").join(sent, "block").select("rows", "queries", "of")
+    found = pairs.mapInArrow(_search(k), "query_id long, place long, id long, score long")
+    best = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

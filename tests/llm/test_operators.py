@@ -38,6 +38,35 @@ def test_maxscore(spark):
     assert {q: sorted(v) for q, v in got.items()} == want
 
 
+def test_maxscore_hard_cases(spark, monkeypatch):
+    """Columns named like the operator's own, null ids, repeated rows beyond k, ids of several vectors, over several shards and blocks."""
+    monkeypatch.setattr(maxscore, "SHARD", 3)
+    monkeypatch.setattr(maxscore, "BLOCK", 1)
+    data = [(1, [3, 1]), (1, [3, 1]), (1, [-2, 5]), *[(2, [3, 1])] * 9, (3, [0, 0]), (4, [-3, -1]), (None, [9, 9]), (None, None), (5, None), (6, [1])]
+    df = spark.createDataFrame([(*r, *["x"] * 8) for r in data], "id long, vector array<long>, n string, block string, body string, rows string, score string, rank string, place string, query_id string")
+    got = {}
+    for r in maxscore.top_k(df, df.filter("id < 3"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    kept = [(d, v) for d, v in data if d is not None and v]
+    want = {}
+    for q, vector in sorted({(d, tuple(v)) for d, v in kept if d < 3}):
+        every = sorted((-sum(a * b for a, b in zip(vector, v)), d) for d, v in kept if d != q)
+        want.setdefault(q, []).extend((n + 1, d, -x) for n, (x, d) in enumerate(every[:5]))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+
+
+def test_maxscore_leaves_postings_unread():
+    """On skewed impacts most postings are never read; the results are those of a full scan."""
+    r = np.random.default_rng(1)
+    rows = np.where(r.random((2000, 32)) < 0.1, (r.pareto(1.5, (2000, 32)) * 50).astype(np.int64), 0)
+    shard = maxscore.Shard(np.arange(2000), rows)
+    for i in range(0, 2000, 50):
+        ids, scores = shard.search(i, rows[i], 5)
+        every = sorted((-int(x), j) for j, x in enumerate(rows @ rows[i]) if j != i)[:5]
+        assert list(zip((-scores).tolist(), ids.tolist())) == every
+    assert shard.read < 0.05 * 40 * rows.size and shard.products < 0.3 * 40 * rows.size
+
+
 def test_maxscore_few_rows(spark):
     df = spark.createDataFrame([(50, [1, 2]), (51, [3])], "id long, vector array<long>")
     assert [tuple(r) for r in maxscore.top_k(df, df.filter("id = 50"), 5).collect()] == [(50, 1, 51, 3)]
@@ -217,6 +246,41 @@ def test_pieces(docs, rows):
     assert got == {d: (sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for d, t in rows}
 
 
+def test_tokens_contract(spark, docs, rows, tmp_path):
+    """Every column of op5 and op8 from the library and the lengths alone."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {d: sp.encode(t or "") for d, t in rows}
+    for r in pieces.op5_sentencepiece(spark, str(tmp_path)).collect():
+        x = ids[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(x), brute.sha(",".join(map(str, x)).encode()), brute.sha(sp.decode(x).encode() if x else b""))
+    sizes = [len(x) for x in ids.values()]
+    got = lengths.op8_token_counts(spark, str(tmp_path)).collect()
+    assert sorted(r.context_limit for r in got) == sorted(set(sizes))
+    for r in got:
+        assert r.quantile == pytest.approx(sum(n <= r.context_limit for n in sizes) / len(sizes), abs=1e-9)
+
+
+def test_repeats_contract(spark, docs, rows, tmp_path):
+    """Every column of op2, op6 and op9 through their queries."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op6_suffix_array(spark, sf).collect()} == brute.remove_bytes(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op9_substring_dedup(spark, sf).collect()} == brute.remove_words(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.op2_minhash(spark, sf).collect()} == {d: (n, c, c == d) for d, (n, c) in brute.near_duplicates(rows).items()}
+
+
+def test_language_contract(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in langid.op10_language_id(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(d for d, _ in rows)
+    for d, t in rows:
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= got[d].score <= 1
+        assert (got[d].lang_pred == "und") == (not any(c.isalpha() for c in t or ""))
+
+
 def test_piece_table_on_odd_texts():
     r = random.Random(1)
     table_ = pieces.ChunkTable(public_tokenizers.path(pieces.MODEL), size=500)
@@ -370,8 +434,10 @@ def test_against_sql(spark, sf, name):
 
 
 def test_lengths(spark, docs, rows):
-    coder = pieces.ChunkTable(public_tokenizers.path(pieces.MODEL))
-    want = sorted(len(x) for x in coder.encode([t or "" for _, t in rows]))
+    import sentencepiece
+
+    coder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    want = sorted(len(x) for x in coder.encode([t or "" for _, t in rows]))  # by the library alone
     at = lengths.limits(lengths.histogram(lengths.encoded_lengths(docs)))
     for r in at.collect():
         c = r.context_limit
