@@ -1,8 +1,10 @@
 """Ordered folds: groupings whose state starts anew at places that the data decide.
 
-A window sum can't express them, for the carry falls to zero at each cut. The
-folds run as array aggregates inside the JVM, over the sizes of one key's units;
-``ordered_fold`` takes any other rule as a function over a key's rows.
+A window sum can't express them, for the carry falls to zero at each cut. A
+key's units come to one partition in order, and one pass over it keeps the state
+of the current key only: the work is linear, a key of any number of units takes
+no more memory than a batch, and the sort spills. Only keys, order and sizes
+travel. ``ordered_fold`` takes any other rule as a function over a key's rows.
 """
 
 from __future__ import annotations
@@ -10,55 +12,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STATE = "struct<batch:int,size:bigint,items:int,out:array<int>>"
 
+def running(units: DataFrame, keys: list[str], order: list[str], size: Column, step: Callable, name: str, kind: str = "int") -> DataFrame:
+    """The key and order columns, ``size`` and what ``step(state, size)`` gives for every unit: (new state, value); a key's first state is None."""
+    rows = units.select(*keys, *order, size.cast("long").alias("size")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    value_type = {"int": pa.int32(), "boolean": pa.bool_()}[kind]
+    n_keys = len(keys)
 
-def _numbered(units: DataFrame, keys: list[str], order: list[str], step: Callable[[Column, Column], Column], **columns: Column) -> DataFrame:
-    """The key columns, order columns and ``batch`` (from 0) of every unit."""
-    names = list(columns)
-    packed = units.select(*keys, F.struct(*order, *[c.alias(n) for n, c in columns.items()]).alias("u"))
-    lists = packed.groupBy(*keys).agg(F.sort_array(F.collect_list("u")).alias("us"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("items"), F.array().cast("array<int>").alias("out")).cast(_STATE)
-    lists = lists.withColumn("batches", F.aggregate("us", start, lambda s, u: step(s, u).cast(_STATE), lambda s: s["out"]))
-    each = lists.select(*keys, F.explode(F.arrays_zip("us", "batches")).alias("x"))
-    return each.select(*keys, *[F.col(f"x.us.{o}").alias(o) for o in order], *[F.col(f"x.us.{n}").alias(n) for n in names], F.col("x.batches").alias("batch"))
+    def run(batches):
+        last, state = object(), None
+        for batch in batches:
+            out = []
+            for key, n in zip(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, None
+                state, value = step(state, n)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, value_type)], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in types.items()) + f", `{name}` {kind}")
 
 
 def soft_batches(units: DataFrame, keys: list[str], order: list[str], size: Column, max_size: int, max_items: int) -> DataFrame:
     """A batch closes once it is over its size or number of items; the unit that brings it there stays in it."""
 
-    def step(s: Column, u: Column) -> Column:
-        total, items = s["size"] + u["size"], s["items"] + 1
-        full = (total > max_size) | (items > max_items)
-        out = F.concat(s["out"], F.array(s["batch"]))
-        return F.struct(F.when(full, s["batch"] + 1).otherwise(s["batch"]).alias("batch"), F.when(full, 0).otherwise(total).alias("size"), F.when(full, 0).otherwise(items).alias("items"), out.alias("out"))
+    def step(state, n):
+        batch, total, items = state or (0, 0, 0)
+        total, items = total + n, items + 1
+        return ((batch + 1, 0, 0) if total > max_size or items > max_items else (batch, total, items)), batch
 
-    return _numbered(units, keys, order, step, size=size.cast("long"))
+    return running(units, keys, order, size, step, "batch")
 
 
 def hard_batches(units: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
     """A batch closes before a unit that would bring it over the budget; a larger unit stands alone."""
 
-    def step(s: Column, u: Column) -> Column:
-        cut = (s["items"] > 0) & (s["size"] + u["size"] > budget)
-        batch = F.when(cut, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(cut, u["size"]).otherwise(s["size"] + u["size"]).alias("size"), F.lit(1).alias("items"), F.concat(s["out"], F.array(batch)).alias("out"))
+    def step(state, n):
+        if state is None:
+            return (0, n), 0
+        batch, total = state
+        return ((batch + 1, n), batch + 1) if total + n > budget else ((batch, total + n), batch)
 
-    return _numbered(units, keys, order, step, size=size.cast("long"))
+    return running(units, keys, order, size, step, "batch")
 
 
 def coalesced_sections(sections: DataFrame, keys: list[str], order: list[str], pages: Column, least: int, most: int) -> DataFrame:
     """Sections merge while the current one is short of ``least`` pages and both together have ``most`` at most."""
 
-    def step(s: Column, u: Column) -> Column:
-        merge = (s["items"] > 0) & (s["size"] < least) & (s["size"] + u["size"] <= most)
-        batch = F.when((s["items"] > 0) & ~merge, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(merge, s["size"] + u["size"]).otherwise(u["size"]).alias("size"), F.lit(1).alias("items"), F.concat(s["out"], F.array(batch)).alias("out"))
+    def step(state, n):
+        if state is None:
+            return (0, n), 0
+        batch, total = state
+        return ((batch, total + n), batch) if total < least and total + n <= most else ((batch + 1, n), batch + 1)
 
-    return _numbered(sections, keys, order, step, size=pages.cast("long"))
+    return running(sections, keys, order, pages, step, "batch")
 
 
 def anchored_duplicates(rows: DataFrame, keys: list[str], order: list[str], seconds: Column, window: int) -> DataFrame:
@@ -67,11 +79,11 @@ def anchored_duplicates(rows: DataFrame, keys: list[str], order: list[str], seco
     ``seconds`` is a whole number of seconds or finer units alike for window.
     """
 
-    def step(s: Column, u: Column) -> Column:
-        take = (s["items"] == 0) | (u["size"] - s["size"] > window)
-        return F.struct(s["batch"].alias("batch"), F.when(take, u["size"]).otherwise(s["size"]).alias("size"), F.lit(1).alias("items"), F.concat(s["out"], F.array(take.cast("int"))).alias("out"))
+    def step(anchor, t):
+        take = anchor is None or t - anchor > window
+        return (t if take else anchor), take
 
-    return _numbered(rows, keys, order, step, size=seconds.cast("long")).withColumn("accepted", F.col("batch") == 1).drop("batch", "size")
+    return running(rows, keys, order, seconds, step, "accepted", "boolean").drop("size")
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

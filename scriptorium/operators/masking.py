@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.runtime import cut
+
 #: Kinds of personal data and their patterns, in order; of matches that start together the earlier pattern wins.
 PATTERNS = (
     ("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
@@ -48,8 +50,9 @@ def masked(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
     Matches that overlap an earlier one are passed over. Inside a chunk numbers
     run from the last match to the first; over a key's chunks the counter goes
-    on, in order. It is made of counts per chunk, so the text isn't brought
-    together: each chunk is masked where it lies.
+    on, in order. It is made of counts per chunk: only the key, order and count
+    of chunks that have matches come together, and what was found goes back to
+    the texts by key and order, which tell chunks apart. Patterns run once.
     """
     found_type = "start int, end int, original string, kind string"
 
@@ -69,11 +72,11 @@ def masked(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, found array<struct<{found_type.replace(' ', ':').replace(',:', ',')}>>"
-    from pyspark.sql import Window
-
-    found = chunks.select(key, order, text).mapInPandas(find, schema)
+    found = cut(chunks.select(key, order, text).mapInPandas(find, schema))
+    spans = found.filter(F.size("found") > 0).select(key, order, F.size("found").alias("_n"))
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("before", F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)))
+    placed = spans.withColumn("before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col(key).alias("_key"), F.col(order).alias("_order"), "before")
+    found = found.join(placed, found[key].eqNullSafe(placed["_key"]) & found[order].eqNullSafe(placed["_order"]), "left").drop("_key", "_order")
     n = F.size("found")
     token = lambda i: F.concat(F.lit("__DLP_TOKEN_"), F.lpad((F.col("before") + n - i).cast("string"), 4, "0"), F.lit("__"))
     rows = F.transform("found", lambda f, i: F.struct(token(i).alias("token"), f["original"].alias("original"), f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))

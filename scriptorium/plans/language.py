@@ -41,6 +41,13 @@ def within_budget(units: DataFrame, keys: list[str], order: list[str], size: Col
     return units.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < budget).drop("_before")
 
 
+def within_page_budget(units: DataFrame, keys: list[str], page: str, size: Column, budget: int) -> DataFrame:
+    """The units of the pages before whose start less than ``budget`` has been taken; only page totals are ordered."""
+    totals = units.groupBy(*keys, page).agg(F.sum(size).alias("_size"))
+    pages = within_budget(totals, keys, [page], F.col("_size"), budget).drop("_size")
+    return units.join(pages, [*keys, page], "left_semi")
+
+
 def gate(hist: DataFrame, key: str, declared: str) -> DataFrame:
     """Verdict of each key: enough characters in supported languages, and the declared language dominant above the noise floor.
 
@@ -101,9 +108,17 @@ def detectable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = table(spark, sf_dir, "documents").filter(is_detectable(F.col("text")))
-    kept = within_budget(units, ["source"], ["doc_id"], F.length("text"), 20_000)
-    return kept.groupBy("source", "lang").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("n_docs"))
+    """Languages of each source's first units; sizes alone are ordered, not texts."""
+    units = table(spark, sf_dir, "documents").filter(is_detectable(F.col("text"))).select("source", "lang", "doc_id", F.length("text").alias("chars"))
+    kept = within_budget(units, ["source"], ["doc_id"], F.col("chars"), 20_000)
+    return kept.groupBy("source", "lang").agg(F.sum("chars").cast("long").alias("chars"), F.count("*").alias("n_docs"))
+
+
+def language_page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with pages of ten units: a page that was begun within the budget counts whole."""
+    units = table(spark, sf_dir, "documents").filter(is_detectable(F.col("text"))).select("source", "lang", F.expr("doc_id div 10").alias("page"), F.length("text").alias("chars"))
+    kept = within_page_budget(units, ["source"], "page", F.col("chars"), 20_000)
+    return kept.groupBy("source", "lang").agg(F.sum("chars").cast("long").alias("chars"), F.count("*").alias("n_docs"))
 
 
 def top_languages_other(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +152,7 @@ ROUTES = [
 _ROUTES_SQL = ", ".join(f"({p}, '{a}', '{b}', '{d}', '{m}', {'NULL' if r is None else r})" for p, a, b, d, m, r in ROUTES)
 _DETECTABLE = r"length(text) >= 20 AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 5"
 
-QUERIES = {f.__name__: f for f in (language_distribution, language_gate, language_mode, detectable_text, language_budget, top_languages_other, intent_routing)}
+QUERIES = {f.__name__: f for f in (language_distribution, language_gate, language_mode, detectable_text, language_budget, language_page_budget, top_languages_other, intent_routing)}
 ORACLE_SQL = {
     "language_distribution": f"""
         WITH c AS (SELECT lang, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE {_DETECTABLE} GROUP BY lang)
@@ -162,6 +177,10 @@ ORACLE_SQL = {
         WITH u AS (SELECT source, lang, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
                    FROM documents WHERE {_DETECTABLE})
         SELECT source, lang, CAST(sum(n) AS BIGINT) AS chars, count(*) AS n_docs FROM u WHERE before < 20000 GROUP BY ALL""",
+    "language_page_budget": f"""
+        WITH u AS (SELECT source, lang, doc_id // 10 AS page, length(text) AS n FROM documents WHERE {_DETECTABLE}), t AS (SELECT source, page, sum(n) AS n FROM u GROUP BY ALL),
+        b AS (SELECT source, page, coalesce(sum(n) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+        SELECT source, lang, CAST(sum(n) AS BIGINT) AS chars, count(*) AS n_docs FROM u JOIN b USING (source, page) WHERE before < 20000 GROUP BY ALL""",
     "top_languages_other": """
         WITH c AS (SELECT source AS lang, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (ORDER BY chars DESC, lang) AS n FROM c)

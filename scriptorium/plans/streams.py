@@ -19,8 +19,13 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         out = f"{shared_folder(spark)}/{name}-out"
         writer.format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    writer.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = f"{shared_folder(spark)}/{name}-out"
+
+    def replaced(rows: DataFrame, _batch: int) -> None:
+        rows.write.mode("overwrite").parquet(out)  # each batch of a complete stream is the whole result
+
+    writer.foreachBatch(replaced).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,20 +45,20 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drained(S.accepted_submissions(_events(spark, sf_dir), 3600))
+    rows = drained(S.accepted_submissions(_events(spark, sf_dir), 3600, ttl=None))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("accepted").cast("long")).alias("accepted"))
 
 
 def stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type"))
-    rows = drained(S.status_changes(_events(spark, sf_dir).withColumn("status", status)))
+    rows = drained(S.status_changes(_events(spark, sf_dir).withColumn("status", status), ttl=None))
     return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def stream_task_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     rows = e.withColumn("status", F.when(F.col("event_id") % 11 == 0, "completed").otherwise("processing")).withColumn("owner", F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")))
-    return drained(S.task_decisions(rows, 86_400)).groupBy("decision").agg(F.count("*").alias("n"))
+    return drained(S.task_decisions(rows, 86_400, ttl=None)).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 def stream_enqueued_once(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scriptorium.plans.jobs import TERMINAL
 
+#: Fixed value: seconds that cached state is kept without use.
+STATE_TTL = 7 * 86_400
 #: Relative weights of the stages of a job's progress.
 STAGE_WEIGHTS = {"translate": 46.96, "terms": 30.0, "parse": 14.12, "layout": 14.03, "save": 6.34, "paragraphs": 6.26, "typeset": 4.71}
 
@@ -45,19 +47,29 @@ def enqueued_once(tasks: DataFrame, late: str = "1 day") -> DataFrame:
     return tasks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _fold(events: DataFrame, keys: list[str], step, state_schema: str, out_schema: str) -> DataFrame:
-    """step(state tuple or None, sorted rows) -> (rows out, state), over each key's rows of a batch in time order."""
+def _fold(events: DataFrame, keys: list[str], step, state_schema: str, out_schema: str, ttl: int | None) -> DataFrame:
+    """step(state tuple or None, sorted rows) -> (rows out, state), over each key's rows of a batch in time order.
+
+    The state of a key without rows for ``ttl`` seconds is dropped; without
+    ``ttl`` it stays, as a run to the end of its input needs, for such state
+    keeps a stream waking up.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         out, now = step(key, state.get if state.exists else None, rows)
         state.update(now)
+        if ttl:
+            state.setTimeoutDuration(ttl * 1000)
         yield out
 
-    return events.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
 
 
-def accepted_submissions(events: DataFrame, seconds: int) -> DataFrame:
+def accepted_submissions(events: DataFrame, seconds: int, ttl: int | None = STATE_TTL) -> DataFrame:
     """Submissions, accepted unless one of their user and type was accepted within ``seconds`` before."""
 
     def step(key, anchor, rows):
@@ -68,10 +80,10 @@ def accepted_submissions(events: DataFrame, seconds: int) -> DataFrame:
             flags.append(ok)
         return pd.DataFrame({"user_id": key[0], "event_type": key[1], "event_id": rows["event_id"], "accepted": flags}), (int(last),)
 
-    return _fold(events, ["user_id", "event_type"], step, "anchor long", "user_id long, event_type string, event_id long, accepted boolean")
+    return _fold(events, ["user_id", "event_type"], step, "anchor long", "user_id long, event_type string, event_id long, accepted boolean", ttl)
 
 
-def status_changes(events: DataFrame) -> DataFrame:
+def status_changes(events: DataFrame, ttl: int | None = STATE_TTL) -> DataFrame:
     """Rows whose status differs from the user's one before, until a terminal one."""
 
     def step(key, state, rows):
@@ -84,10 +96,10 @@ def status_changes(events: DataFrame) -> DataFrame:
             last, ended = s, s in TERMINAL
         return pd.DataFrame(out, columns=["user_id", "event_id", "status"]), (last, ended)
 
-    return _fold(events, ["user_id"], step, "last string, ended boolean", "user_id long, event_id long, status string")
+    return _fold(events, ["user_id"], step, "last string, ended boolean", "user_id long, event_id long, status string", ttl)
 
 
-def task_decisions(events: DataFrame, lease: int = 300) -> DataFrame:
+def task_decisions(events: DataFrame, lease: int = 300, ttl: int | None = STATE_TTL) -> DataFrame:
     """What an at-least-once delivery leads to: run, retry after a crash, defer under another owner's lease, or nothing when done.
 
     ``status`` is what the delivery reports, ``owner`` who got it; a lease holds
@@ -110,7 +122,7 @@ def task_decisions(events: DataFrame, lease: int = 300) -> DataFrame:
             out.append((key[0], int(e), decision))
         return pd.DataFrame(out, columns=["user_id", "event_id", "decision"]), (status, owner, int(until))
 
-    return _fold(events, ["user_id"], step, "status string, owner string, until long", "user_id long, event_id long, decision string")
+    return _fold(events, ["user_id"], step, "status string, owner string, until long", "user_id long, event_id long, decision string", ttl)
 
 
 def progress(events: DataFrame) -> DataFrame:
