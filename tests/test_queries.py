@@ -37,8 +37,3 @@ def test_matches_sql(spark, sf, duck, name):
     want = sorted((tuple(plain(r[i]) for i in order) for r in result.fetchall()), key=repr)
     got = sorted((tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in sorted(names)]).collect()), key=repr)
     assert got == want
-
-
-@pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys()))
-def test_runs(spark, sf, name):
-    assert registry.queries()[name](spark, sf).count() >= 0
