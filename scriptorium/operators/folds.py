@@ -17,25 +17,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def running(units: DataFrame, keys: list[str], order: list[str], size: Column, step: Callable, name: str, kind: str = "int") -> DataFrame:
-    """The key and order columns, ``size`` and what ``step(state, size)`` gives for every unit: (new state, value); a key's first state is None."""
-    rows = units.select(*keys, *order, size.cast("long").alias("size")).repartition(*keys).sortWithinPartitions(*keys, *order)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    value_type = {"int": pa.int32(), "boolean": pa.bool_()}[kind]
-    n_keys = len(keys)
+def running_rows(rows: DataFrame, keys: list[str], order: list[str], values: list[str], step: Callable, out: str) -> DataFrame:
+    """The key, order and value columns, and the columns ``out`` of what ``step(state, *values)`` gives for every row: (new state, tuple); a key's first state is None.
+
+    ``out`` is a schema of plain types, as "n int, ok boolean".
+    """
+    rows = rows.select(*keys, *order, *values).repartition(*keys).sortWithinPartitions(*keys, *order)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+    names, types = zip(*(c.split() for c in out.split(",")), strict=True)
+    n_keys, first = len(keys), len(keys) + len(order)
 
     def run(batches):
         last, state = object(), None
         for batch in batches:
-            out = []
-            for key, n in zip(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if key != last:
-                    last, state = key, None
-                state, value = step(state, n)
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, value_type)], [*batch.schema.names, name])
-
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in types.items()) + f", `{name}` {kind}")
+            found = []
+            columns = [batch.column(i).to_pylist() for i in (*range(n_keys), *range(first, batch.num_columns))]
+            for row in zip(*columns, strict=True):
+                if row[:n_keys] != last:
+                    last, state = row[:n_keys], None
+                state, value = step(state, *row[n_keys:])
+                found.append(value)
+            made = [pa.array(x, kinds[t]) for x, t in zip(zip(*found, strict=True) if found else [()] * len(names), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, {out}")
+
+
+def running(units: DataFrame, keys: list[str], order: list[str], size: Column, step: Callable, name: str, kind: str = "int") -> DataFrame:
+    """The key and order columns, ``size`` and what ``step(state, size)`` gives for every unit: (new state, value); a key's first state is None."""
+
+    def one(state, n):
+        state, value = step(state, n)
+        return state, (value,)
+
+    return running_rows(units.select(*keys, *order, size.cast("long").alias("size")), keys, order, ["size"], one, f"{name} {kind}")
 
 
 def soft_batches(units: DataFrame, keys: list[str], order: list[str], size: Column, max_size: int, max_items: int) -> DataFrame:
