@@ -8,7 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,7 +69,9 @@ def csv_glossary(spark: SparkSession, path: str, language: str | None = None) ->
 
     Case and ``-`` or ``_`` don't tell languages apart; rows without source or target go.
     """
-    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    encoding = blobs(spark, path).select(encoding_of(F.col("content")).alias("e")).agg(F.max("e")).first()[0] or "UTF-8"  # one for all files of a glossary
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", encoding).csv(path)
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     if not {"source", "target"} <= set(rows.columns):
         raise ValueError("a glossary needs the columns source and target")
     rows = rows.withColumn("tgt_lng", rows["tgt_lng"] if "tgt_lng" in rows.columns else F.lit(None).cast("string"))
@@ -125,7 +127,10 @@ def json_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_units(files: DataFrame) -> DataFrame:
-    """(path, unit_id, label, text) of DOCX files in reading order: headers, body, footers, footnotes, endnotes; blank paragraphs go."""
+    """(path, unit_id, label, text) of DOCX files in reading order: headers, body, footers, footnotes, endnotes; blank paragraphs go.
+
+    A file that is no such archive gives one row, with the label ``error`` and the fault as text.
+    """
     parts = (("header", r"word/header\d*\.xml"), ("body", r"word/document\.xml"), ("footer", r"word/footer\d*\.xml"), ("footnote", r"word/footnotes\.xml"), ("endnote", r"word/endnotes\.xml"))
 
     def units(content: bytes) -> Iterator[tuple[str, str]]:
@@ -145,17 +150,42 @@ def docx_units(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for rows in batches:
-            out = [(path, i, label, text) for path, content in zip(rows["path"], rows["content"], strict=True) for i, (label, text) in enumerate(units(content))]
+            out = []
+            for path, content in zip(rows["path"], rows["content"], strict=True):
+                try:
+                    out += [(path, i, label, text) for i, (label, text) in enumerate(list(units(content)))]
+                except (zipfile.BadZipFile, SyntaxError, KeyError) as fault:
+                    out.append((path, 0, "error", f"{type(fault).__name__}: {fault}"))
             yield pd.DataFrame(out, columns=["path", "unit_id", "label", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, unit_id int, label string, text string")
 
 
+def page_texts(spark: SparkSession, path: str, pages: Callable[[bytes], Iterable[str]] | None = None) -> DataFrame:
+    """(path, page, text) of documents in any store that Spark opens; ``pages`` parses one document's bytes, by default form-fed text.
+
+    A document that can't be parsed gives one row, with page -1 and the fault as text.
+    """
+    parse = pages or (lambda content: content.decode("utf-8", "replace").split("\f"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for name, content in zip(rows["path"], rows["content"], strict=True):
+                try:
+                    out += [(name, i, text) for i, text in enumerate(parse(content))]
+                except Exception as fault:  # any parser's fault is the document's, not the job's
+                    out.append((name, -1, f"{type(fault).__name__}: {fault}"))
+            yield pd.DataFrame(out, columns=["path", "page", "text"])
+
+    return blobs(spark, path).select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
 class PageTextSource(DataSource):
     """``spark.read.format("page_text")``: pages of form-fed text files, one partition a file.
 
-    A stand-in for document parsers: the option ``paths`` lists files, comma-joined,
-    that the workers can open; another parser takes the place of ``pages``.
+    The option ``paths`` lists files, comma-joined, on a disk that all workers
+    share; for other stores, and other parsers, there is ``page_texts``.
     """
 
     @classmethod
@@ -182,7 +212,83 @@ class _PageTextReader(DataSourceReader):
                 yield partition.value, page, text
 
 
-def append(rows: DataFrame, path: str, stamp: str | None = None) -> None:
-    """Rows appended to a parquet log; nothing is written for none. Readers take the latest of each key."""
+def append(rows: DataFrame, path: str, stamp: str | None = None, defaults: dict[str, object] | None = None, required: tuple[str, ...] = ()) -> None:
+    """Rows appended to a parquet log; nothing is written for none. Readers take the latest of each key.
+
+    Nulls take the column's default, and the present time in ``stamp``. Rows
+    that then lack a required value fail the call, with how many there are, and
+    nothing is written.
+    """
+    for column, value in (defaults or {}).items():
+        rows = rows.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in rows.columns else F.lit(value))
+    if stamp:
+        rows = rows.withColumn(stamp, F.coalesce(F.col(stamp), F.current_timestamp()) if stamp in rows.columns else F.current_timestamp())
+    lacking = {c: n for c, n in zip(required, rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)) for c in required]).first(), strict=True) if n} if required else {}
+    if lacking:
+        raise ValueError(f"rows without a value: {lacking}")
     if rows.limit(1).count():
-        (rows.withColumn(stamp, F.coalesce(F.col(stamp), F.current_timestamp())) if stamp else rows).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark itself opens it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def blob_exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file(spark, path)
+    return system.exists(at)
+
+
+def write_blob(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small object; an earlier one of that name is replaced."""
+    system, at = _file(spark, path)
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_blob(spark: SparkSession, path: str) -> bytes | None:
+    """One object's content, None if there's none."""
+    if not blob_exists(spark, path):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
+def delete_blobs(spark: SparkSession, path: str) -> bool:
+    """An object, or all below a folder; whether there was one."""
+    system, at = _file(spark, path)
+    return system.delete(at, True)
+
+
+def job_path(root: str, job_id: str, kind: str, name: str = "", attempt: int | None = None) -> str:
+    """Where a job's objects lie: root/kind/job[/attempt-n][/name], kind one of input, output, glossary and artifacts."""
+    if kind not in ("input", "output", "glossary", "artifacts"):
+        raise ValueError(f"no such kind of object: {kind}")
+    for part in (job_id, name):
+        if part in (".", "..") or re.search(r"[/\\\x00-\x1f]", part):
+            raise ValueError(f"not a plain name: {part!r}")
+    if not job_id:
+        raise ValueError("a job has an id")
+    return "/".join([root.rstrip("/"), kind, job_id, *([f"attempt-{attempt}"] if attempt is not None else []), *([name] if name else [])])
+
+
+def job_blobs(spark: SparkSession, root: str, job_id: str, kind: str) -> DataFrame:
+    """Names, sizes and content hashes of a job's objects of a kind."""
+    return blob_stat(spark, job_path(root, job_id, kind))
+
+
+def encoding_of(content: Column) -> Column:
+    """The encoding of a text file by its first bytes, else UTF-8 if it is valid, else ISO-8859-1."""
+    head = F.hex(F.substring(content, 1, 4))
+    return F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE").when(F.is_valid_utf8(content), "UTF-8").otherwise("ISO-8859-1")
+
+
+def has_text_layer(content: Column) -> Column:
+    """A document has text of its own: a text file with a letter or digit, or a PDF with an operator that shows text in an uncompressed stream; null for others."""
+    plain = F.decode(content, "ISO-8859-1")
+    kind = container(content)
+    return F.when(kind == "txt", F.decode(content, "UTF-8").rlike(r"[\p{L}\p{N}]")).when(kind == "pdf", plain.rlike(r"(?s)\bBT\b.*?\((?:[^)\\]|\\.)+\)\s*T[jJ]|\bBT\b.*?\[.*?\]\s*TJ"))

@@ -70,3 +70,55 @@ def test_page_source_and_append(spark, tmp_path):
     files.append(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "log"))
     files.append(spark.createDataFrame([], "a int"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_blobs_of_a_job(spark, tmp_path):
+    path = files.job_path(str(tmp_path), "job1", "output", "a.txt", attempt=2)
+    assert path == f"{tmp_path}/output/job1/attempt-2/a.txt" and not files.blob_exists(spark, path)
+    files.write_blob(spark, path, b"one")
+    files.write_blob(spark, path, b"\x00\xfftwo")
+    assert files.blob_exists(spark, path) and files.read_blob(spark, path) == b"\x00\xfftwo"
+    assert [r.length for r in files.job_blobs(spark, str(tmp_path), "job1", "output").collect()] == [5]
+    assert files.delete_blobs(spark, path) and files.read_blob(spark, path) is None
+    for bad in (("..", "input", ""), ("", "input", ""), ("a", "other", ""), ("a", "input", "b/c")):
+        with pytest.raises(ValueError):
+            files.job_path("root", *bad)
+
+
+def test_append_with_defaults(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", None), ("b", 2.0)], "k string, cost double")
+    files.append(rows, path, "at", {"cost": 0.0, "unit": "x"}, ("k", "cost"))
+    got = sorted((r.k, r.cost, r.unit, r["at"] is not None) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 0.0, "x", True), ("b", 2.0, "x", True)]
+    with pytest.raises(ValueError, match="cost"):
+        files.append(rows, path, required=("cost",))
+    files.append(rows.limit(0), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "iso-8859-1"])
+def test_glossary_encodings(spark, tmp_path, encoding):
+    (tmp_path / "g.csv").write_bytes("source,target,tgt_lng\nschön,beau,fr\n".encode(encoding))
+    assert [tuple(r) for r in files.csv_glossary(spark, str(tmp_path / "g.csv")).collect()] == [("schön", "beau", "fr")]
+
+
+def test_page_texts_and_faults(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\ftwo")
+    (tmp_path / "b.txt").write_bytes(b"bad")
+
+    def pages(content):
+        if content == b"bad":
+            raise ValueError("no document")
+        return content.decode().split("\f")
+
+    got = sorted((r.path[-5:], r.page, r.text) for r in files.page_texts(spark, str(tmp_path), pages).collect())
+    assert got == [("a.txt", 0, "one"), ("a.txt", 1, "two"), ("b.txt", -1, "ValueError: no document")]
+    broken = spark.createDataFrame([("x.docx", bytearray(b"PK no archive"))], "path string, content binary")
+    assert [(r.label, r.unit_id) for r in files.docx_units(broken).collect()] == [("error", 0)]
+
+
+def test_text_layers(spark):
+    rows = [(b"some text",), (b"  \n ",), (b"%PDF-1.4 stream BT /F1 12 Tf (Hello) Tj ET",), (b"%PDF-1.4 stream q 10 0 0 10 0 0 cm /Im1 Do Q",), (b"\xff\x00",)]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, (c,) in enumerate(rows)], "i int, c binary")
+    assert [r.t for r in df.select("i", files.has_text_layer(F.col("c")).alias("t")).orderBy("i").collect()] == [True, False, True, False, None]
