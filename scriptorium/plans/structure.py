@@ -26,10 +26,11 @@ def domain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curve_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The formula of each small box: one that holds it exactly, else the nearest within the slack; each box once."""
-    formulas = layouts(spark, sf_dir).filter("class = 'formula'")
-    grown = formulas.select("page", "layout_id", F.col("b").alias("own"), S.box(F.col("b")["x"] - SLACK, F.col("b")["y"] - SLACK, F.col("b")["x2"] + SLACK, F.col("b")["y2"] + SLACK).alias("b"))
-    pairs = S.overlap_join(chars(spark, sf_dir), grown, ["page"], 50.0)
+    """The formula of each small box, of the same object unless one has none: one that holds it exactly, else the nearest within the slack; each box once."""
+    formulas = layouts(spark, sf_dir).filter("class = 'formula'").withColumn("own_object", F.when(F.col("layout_id") % 4 != 0, F.col("layout_id") % 2))
+    boxes = chars(spark, sf_dir).withColumn("object", F.when(F.col("char_id") % 3 != 0, F.col("char_id") % 2))
+    grown = formulas.select("page", "layout_id", "own_object", F.col("b").alias("own"), S.box(F.col("b")["x"] - SLACK, F.col("b")["y"] - SLACK, F.col("b")["x2"] + SLACK, F.col("b")["y2"] + SLACK).alias("b"))
+    pairs = S.overlap_join(boxes, grown, ["page"], 50.0).filter("object is null or own_object is null or object = own_object")
     exact = S.covered(F.col("a"), F.col("own")) >= EXACT
     middle = lambda b: ((b["x"] + b["x2"]) / 2, (b["y"] + b["y2"]) / 2)
     (ax, ay), (bx, by) = middle(F.col("a")), middle(F.col("own"))
@@ -295,7 +296,7 @@ ORACLE_SQL = {
     "domain_verdicts": """WITH d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'legal' ELSE 'hr' END AS a, CASE WHEN doc_id % 3 = 0 THEN 'legal' ELSE 'hr' END AS b, (doc_id % 10) / 10 AS c FROM documents)
         SELECT CASE WHEN a = b THEN 'ok' WHEN c < 0.7 THEN 'unsure' ELSE 'mismatch' END AS verdict, count(*) AS n FROM d GROUP BY 1""",
     "curve_assignment": f"""WITH {_C}, {_L}, p AS (SELECT a.char_id, b.layout_id, {_OV} / {_AR} >= 0.95 AS exact, sqrt(pow((a.x + a.x2) / 2 - (b.x + b.x2) / 2, 2) + pow((a.y + a.y2) / 2 - (b.y + b.y2) / 2, 2)) AS d
-            FROM c a JOIN l b ON a.page = b.page AND b.class = 'formula' AND ({_OV} / {_AR} >= 0.95 OR (b.x <= a.x + 2 AND b.y <= a.y + 2 AND b.x2 >= a.x2 - 2 AND b.y2 >= a.y2 - 2))),
+            FROM c a JOIN l b ON a.page = b.page AND b.class = 'formula' AND (a.char_id % 3 = 0 OR b.layout_id % 4 = 0 OR a.char_id % 2 = b.layout_id % 2) AND ({_OV} / {_AR} >= 0.95 OR (b.x <= a.x + 2 AND b.y <= a.y + 2 AND b.x2 >= a.x2 - 2 AND b.y2 >= a.y2 - 2))),
         s AS (SELECT *, CASE WHEN exact THEN 1.0::DOUBLE ELSE 0.5 + 0.4 * greatest(0, 1 - d / 100) END AS score FROM p)
         SELECT char_id, layout_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY char_id ORDER BY exact DESC, score DESC, layout_id) AS n FROM s) WHERE n = 1""",
     "figure_curves": f"WITH {_C}, {_L} SELECT DISTINCT a.char_id FROM c a JOIN l b ON a.page = b.page AND b.class = 'figure' AND {_OV} / {_AR} > 0.3",

@@ -125,6 +125,41 @@ def histogram_gaps(boxes: DataFrame, keys: list[str], lo: Column, hi: Column, st
     return S.coverage_gaps(rows, keys, first, end).select(*keys, F.col("lo").alias("first"), (F.col("hi") - 1).alias("last"))
 
 
+def neighbours(lines: DataFrame, keys: list[str], ratio: float, cell: float = 50.0) -> DataFrame:
+    """(keys, i, j) of each line (id, b) and the others close to it: within ``ratio`` of its height above or below, as high up to that, and with left edge, right edge or middle that far apart at most."""
+    b, own = F.col("b"), F.col("own")
+    d = (own["y2"] - own["y"]) * ratio
+    me = lines.select(*keys, F.col("id").alias("i"), b.alias("own"))
+    grown = me.withColumn("a", S.box(own["x"], own["y"] - d, own["x2"], own["y2"] + d))
+    pairs = S.overlap_join(grown, lines.select(*keys, F.col("id").alias("j"), "b"), keys, cell).filter("i <> j")
+    close = lambda x, y: F.abs(x - y) <= d
+    aligned = close(own["x"], b["x"]) | close(own["x2"], b["x2"]) | close((own["x"] + own["x2"]) / 2, (b["x"] + b["x2"]) / 2)
+    return pairs.filter(aligned & close(own["y2"] - own["y"], b["y2"] - b["y"])).select(*keys, "i", "j")
+
+
+def shared_style(rows: DataFrame, key: str, order: str, slack: float = 0.02) -> DataFrame:
+    """font and size that all of a key's characters agree on, sizes up to ``slack``; where they don't, the most frequent one, the first seen of equals.
+
+    The agreement is taken in order: once sizes disagree, it starts anew with
+    the next character.
+    """
+
+    def step(state, font, size):
+        if state is None or state[1] is None:
+            state = (font, size)
+        elif size is not None:
+            state = (state[0] if state[0] == font else None, state[1] if abs(state[1] - size) < slack else None)
+        return state, state
+
+    last = running_rows(rows, [key], [order], ["font", "size"], step, "own_font string, own_size double").groupBy(key).agg(F.max_by(F.struct("own_font", "own_size"), order).alias("s"))
+    out = last.select(key, F.col("s.own_font").alias("font"), F.col("s.own_size").alias("size"))
+    for c in ("font", "size"):
+        used = rows.filter(F.col(c).isNotNull()).groupBy(key, c).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+        mode = used.groupBy(key).agg(F.max_by(c, F.struct("n", -F.col("first"))).alias("_mode"))
+        out = out.join(mode, key, "left").withColumn(c, F.coalesce(c, "_mode")).drop("_mode")
+    return out
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters with flags, and the layout with the least id that holds most of them."""
     c = F.col("char_id")
@@ -188,7 +223,20 @@ def nearest_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.join(pairs.filter(below).groupBy("i").agg(F.max(b["y2"]).alias("floor")), "i", "left").select("i", "floor")
 
 
-QUERIES = {f.__name__: f for f in (char_paragraphs, char_formulas, formula_offsets, formula_visual, paragraph_curves, line_histogram, nearest_floor)}
+def line_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layouts(spark, sf_dir).select("page", F.col("layout_id").alias("id"), "b")
+    return neighbours(lines, ["page"], 0.5).groupBy("i").agg(F.count("*").alias("n"), F.min("j").alias("first"))
+
+
+def paragraph_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of a page's rows of ten, by size and font."""
+    c = F.col("char_id")
+    rows = chars(spark, sf_dir).select(F.expr("char_id div 10").alias("row"), "char_id", F.when(c % 40 < 20, "a").when(c % 7 == 0, "b").otherwise("c").alias("font"), (F.lit(10.0) + (F.col("p_size") % 4) * F.when(c % 30 < 15, 0.005).otherwise(0.5)).alias("size"))
+    found = shared_style(rows, "row", "char_id")
+    return found.select("row", "font", F.round("size", 6).alias("size"))
+
+
+QUERIES = {f.__name__: f for f in (char_paragraphs, char_formulas, formula_offsets, formula_visual, paragraph_curves, line_histogram, nearest_floor, line_alignments, paragraph_styles)}
 _YS = "greatest(least(f.y2, a.y2) - greatest(f.y, a.y), 0) / least(f.y2 - f.y, a.y2 - a.y)"
 ORACLE_SQL = {
     "char_paragraphs": f"""WITH RECURSIVE {_C}, {_L}, i AS (SELECT a.char_id, min((b.layout_id, b.class)) AS m FROM c a JOIN l b ON a.page = b.page AND {_OV} / {_AR} > 0.5 GROUP BY a.char_id),
@@ -221,4 +269,16 @@ ORACLE_SQL = {
     "line_histogram": f"""WITH {_C}, t AS (SELECT page, max(y2) AS top FROM c GROUP BY page), e AS (SELECT page, unnest(range(CAST(floor((top - y2) / 0.25) AS BIGINT), CAST(floor((top - y) / 0.25) AS BIGINT) + 1)) AS i FROM c JOIN t USING (page)),
         d AS (SELECT DISTINCT page, i FROM e), g AS (SELECT page, i, lead(i) OVER (PARTITION BY page ORDER BY i) AS j FROM d) SELECT page, i + 1 AS first, j - 1 AS last FROM g WHERE j > i + 1""",
     "nearest_floor": f"""WITH {_L} SELECT a.layout_id AS i, max(b.y2) AS floor FROM l a LEFT JOIN l b ON a.page = b.page AND least(a.x2, b.x2) > greatest(a.x, b.x) AND b.y2 < a.y GROUP BY a.layout_id""",
+    "line_alignments": f"""WITH {_L}, p AS (SELECT a.layout_id AS i, b.layout_id AS j FROM (SELECT *, (y2 - y) * 0.5::DOUBLE AS d FROM l) a JOIN l b ON a.page = b.page AND a.layout_id <> b.layout_id
+            AND least(a.x2, b.x2) > greatest(a.x, b.x) AND least(a.y2 + d, b.y2) > greatest(a.y - d, b.y) AND abs(a.y2 - a.y - (b.y2 - b.y)) <= d
+            AND (abs(a.x - b.x) <= d OR abs(a.x2 - b.x2) <= d OR abs((a.x + a.x2) / 2 - (b.x + b.x2) / 2) <= d))
+        SELECT i, count(*) AS n, min(j) AS first FROM p GROUP BY i""",
+    "paragraph_styles": f"""WITH RECURSIVE {_C}, r AS MATERIALIZED (SELECT char_id // 10 AS row, char_id, CASE WHEN char_id % 40 < 20 THEN 'a' WHEN char_id % 7 = 0 THEN 'b' ELSE 'c' END AS font,
+            10 + (p_size % 4) * (CASE WHEN char_id % 30 < 15 THEN 0.005::DOUBLE ELSE 0.5 END) AS size, row_number() OVER (PARTITION BY char_id // 10 ORDER BY char_id) AS n FROM c),
+        f AS (SELECT row, n, font, size FROM r WHERE n = 1
+              UNION ALL SELECT r.row, r.n, CASE WHEN f.size IS NULL OR f.font = r.font THEN r.font END, CASE WHEN f.size IS NULL THEN r.size WHEN abs(f.size - r.size) < 0.02::DOUBLE THEN f.size END FROM f JOIN r ON r.row = f.row AND r.n = f.n + 1),
+        e AS (SELECT row, arg_max(struct_pack(font := font, size := size), n) AS s FROM f GROUP BY row),
+        mf AS (SELECT row, arg_max(font, (n, -first)) AS m FROM (SELECT row, font, count(*) AS n, min(char_id) AS first FROM r GROUP BY ALL) GROUP BY row),
+        ms AS (SELECT row, arg_max(size, (n, -first)) AS m FROM (SELECT row, size, count(*) AS n, min(char_id) AS first FROM r GROUP BY ALL) GROUP BY row)
+        SELECT row, coalesce(s.font, mf.m) AS font, round(coalesce(s.size, ms.m), 6) AS size FROM e JOIN mf USING (row) JOIN ms USING (row)""",
 }
