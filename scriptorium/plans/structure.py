@@ -161,23 +161,42 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("model", version.alias("version"), F.initcap(F.regexp_replace(version, "^([^-]*)-", "$1 ")).alias("display"))
 
 
+def without_invented(given: Column, out: Column, pattern: str) -> tuple[Column, Column]:
+    """The marks of an output that its input doesn't have, and the output without them, each mark taken as plain text."""
+    bad = F.array_except(F.regexp_extract_all(out, F.lit(pattern), F.lit(0)), F.regexp_extract_all(given, F.lit(pattern), F.lit(0)))
+    return bad, F.aggregate(bad, out, lambda t, b: F.replace(t, b, F.lit("")))
+
+
 def placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders of an output, and those that its input doesn't have taken out."""
+    """Placeholders of an output, some of them broken, and those that its input doesn't have taken out."""
     turns = table(spark, sf_dir, "conversations")
-    given = F.concat(F.lit("<b1> "), F.col("role"))
-    out = F.concat(F.lit("<b1> x <b"), (F.col("turn") % 3 + 1).cast("string"), F.lit("> "), F.col("role"))
-    pattern = F.lit(r"<b\d+>")
-    bad = F.array_except(F.regexp_extract_all(out, pattern, F.lit(0)), F.regexp_extract_all(given, pattern, F.lit(0)))
-    return turns.select("conv_id", "turn", F.regexp_count(out, pattern).cast("long").alias("n"), F.size(bad).cast("long").alias("invented"), F.aggregate(bad, out, lambda t, b: F.replace(t, b, F.lit(""))).alias("clean"))
+    mark = lambda n: F.concat(F.lit("<b"), n.cast("string"), F.lit(">"))
+    given = F.concat(F.lit("<b1> "), F.col("text"), mark(F.col("turn")))
+    words = F.split("text", " ")
+    out = F.array_join(F.transform(words, lambda w, i: F.when(i % 3 == 0, F.concat(w, mark(i % 5 + F.col("turn") % 2))).when(i % 7 == 1, F.concat(w, F.lit("<b>< b1>"))).otherwise(w)), " ")
+    bad, clean = without_invented(given, out, r"<b\d+>")
+    return turns.select("conv_id", "turn", F.regexp_count(out, F.lit(r"<b\d+>")).cast("long").alias("n"), F.size(bad).cast("long").alias("invented"), F.sha2(clean, 256).alias("clean_sha256"))
 
 
-def formula_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas cut at commas outside brackets, and whether they are numbers only."""
-    p = table(spark, sf_dir, "part")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("f("), F.col("p_size").cast("string"), F.lit(",2), g[1,(3,4)], "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(", 1.5")))
+def top_level_pieces(text: Column) -> Column:
+    """Pieces of a formula that commas outside all brackets cut."""
     start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
     step = lambda s, c: F.struct((s["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)).alias("depth"), (s["n"] + F.when((c == ",") & (s["depth"] == 0), 1).otherwise(0)).alias("n"))
-    return p.select("p_partkey", F.aggregate(F.split(text, ""), start, step, lambda s: s["n"]).alias("pieces"), text.rlike("^[0-9, .]+$").alias("numeric"))
+    return F.aggregate(F.split(text, ""), start, step, lambda s: s["n"])
+
+
+def formula_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas, nested and of names with commas, cut at commas outside brackets, and whether they are numbers only."""
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey") % 4, (F.col("p_size") % 5).cast("int")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("f("), size, F.lit(",2), g[1,(3,4)], "), key))
+        .when(k == 1, F.concat(size, F.lit(", 1.5")))
+        .when(k == 2, F.concat(F.lit("{a,[b,(c,d)],e},"), F.repeat(F.lit("("), n), F.lit("x,y"), F.repeat(F.lit(")"), n), F.repeat(F.lit(",z"), n)))
+        .otherwise(F.concat(F.lit(","), F.replace(F.col("p_name"), F.lit(" "), F.lit(",")), F.lit("[,]")))
+    )
+    return p.select("p_partkey", top_level_pieces(text).alias("pieces"), text.rlike("^[0-9, .]+$").alias("numeric"))
 
 
 def layout_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,9 +339,15 @@ ORACLE_SQL = {
         SELECT page, string_agg(CASE WHEN gap > 1.5::DOUBLE * mean THEN c || ' ' ELSE c END, '' ORDER BY x, char_id) AS line FROM g GROUP BY page""",
     "model_names": """WITH m AS (SELECT DISTINCT 'vendor/' || lower(p_brand) || '-' || p_size || '-x' AS model FROM part), v AS (SELECT model, regexp_replace(model, '^[^/]*/', '') AS version FROM m)
         SELECT model, version, array_to_string(list_transform(string_split(regexp_replace(version, '^([^-]*)-', '\\1 '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS display FROM v""",
-    "placeholder_scan": """SELECT conv_id, turn, CAST(2 AS BIGINT) AS n, CAST(CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS invented,
-        CASE WHEN turn % 3 = 0 THEN '<b1> x <b1> ' || role ELSE '<b1> x  ' || role END AS clean FROM conversations""",
-    "formula_split": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS pieces, p_partkey % 3 <> 0 AS numeric FROM part",
+    "placeholder_scan": r"""WITH t AS (SELECT conv_id, turn, '<b1> ' || text || '<b' || turn || '>' AS given, string_split(text, ' ') AS ws FROM conversations),
+        o AS (SELECT conv_id, turn, given, array_to_string(list_transform(ws, lambda w, i: CASE WHEN (i - 1) % 3 = 0 THEN w || '<b' || ((i - 1) % 5 + turn % 2) || '>' WHEN (i - 1) % 7 = 1 THEN w || '<b>< b1>' ELSE w END), ' ') AS out FROM t),
+        b AS (SELECT *, regexp_extract_all(out, '<b\d+>') AS ms, list_distinct(list_filter(regexp_extract_all(out, '<b\d+>'), lambda m: NOT list_contains(regexp_extract_all(given, '<b\d+>'), m))) AS bad FROM o)
+        SELECT conv_id, turn, CAST(len(ms) AS BIGINT) AS n, CAST(len(bad) AS BIGINT) AS invented, sha256(list_reduce(list_prepend(out, bad), lambda x, y: replace(x, y, ''))) AS clean_sha256 FROM b""",
+    "formula_split": """WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'f(' || p_size || ',2), g[1,(3,4)], ' || p_partkey WHEN 1 THEN p_size || ', 1.5'
+            WHEN 2 THEN '{a,[b,(c,d)],e},' || repeat('(', p_size % 5) || 'x,y' || repeat(')', p_size % 5) || repeat(',z', p_size % 5) ELSE ',' || replace(p_name, ' ', ',') || '[,]' END AS text FROM part),
+        c AS (SELECT p_partkey, text, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM t),
+        d AS (SELECT *, sum(CASE WHEN ch IN ('(', '[', '{') THEN 1 WHEN ch IN (')', ']', '}') THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS depth FROM c)
+        SELECT p_partkey, CAST(1 + count(*) FILTER (ch = ',' AND depth = 0) AS INTEGER) AS pieces, regexp_full_match(any_value(text), '[0-9, .]+') AS numeric FROM d GROUP BY p_partkey""",
     "layout_union": f"""WITH {_C}, {_L} SELECT b.layout_id, least(min(a.x), min(b.x)) AS x, least(min(a.y), min(b.y)) AS y, greatest(max(a.x2), max(b.x2)) AS x2, greatest(max(a.y2), max(b.y2)) AS y2
         FROM c a JOIN l b ON a.page = b.page AND {_OV} / {_AR} > 0.5 GROUP BY b.layout_id""",
     "font_lookup": f"SELECT p_partkey, coalesce(CASE WHEN page % 3 = 0 THEN max(p_size) OVER (PARTITION BY page, p_brand) END, CASE WHEN page % 4 <> 0 THEN min(p_size) OVER (PARTITION BY page) END, -1) AS font FROM (SELECT *, p_partkey // {PAGE} AS page FROM part)",

@@ -80,7 +80,10 @@ def pii_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_token_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("t", F.concat("text", F.lit(" __DLP_TOKEN_"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit("__ end")))
+    """Tokens left in texts taken out; those of too few digits or open ends are none."""
+    token = lambda n, width: F.concat(F.lit("__DLP_TOKEN_"), F.lpad(n.cast("string"), width, "0"), F.lit("__"))
+    put = F.transform(F.split("text", " "), lambda w, i: F.when(i % 4 == 1, F.concat(w, token(i, 4))).when(i % 4 == 2, F.concat(token(i, 3), w)).when(i % 9 == 0, F.concat(w, F.lit("__DLP_TOKEN_"), token(i, 6))).otherwise(w))
+    turns = table(spark, sf_dir, "conversations").withColumn("t", F.array_join(put, " "))
     return turns.select("conv_id", "turn", F.regexp_count("t", F.lit(T.MASK_TOKEN)).cast("long").alias("leaked"), F.sha2(F.regexp_replace("t", T.MASK_TOKEN, ""), 256).alias("clean_sha256"))
 
 
@@ -176,7 +179,9 @@ ORACLE_SQL = {
     ) + " FROM x",
     "pii_counts": "SELECT " + ", ".join(f"CAST(sum({' + '.join(v)}) AS BIGINT) AS {k}" for k, v in _COUNTS.items()) + " FROM documents",
     "pii_round_trip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
-    "mask_token_strip": "SELECT conv_id, turn, CAST(1 AS BIGINT) AS leaked, sha256(text || '  end') AS clean_sha256 FROM conversations",
+    "mask_token_strip": r"""WITH t AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1) % 4 = 1 THEN w || '__DLP_TOKEN_' || lpad(CAST(i - 1 AS VARCHAR), 4, '0') || '__'
+            WHEN (i - 1) % 4 = 2 THEN '__DLP_TOKEN_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') || '__' || w WHEN (i - 1) % 9 = 0 THEN w || '__DLP_TOKEN___DLP_TOKEN_' || lpad(CAST(i - 1 AS VARCHAR), 6, '0') || '__' ELSE w END), ' ') AS t FROM conversations)
+        SELECT conv_id, turn, CAST(len(regexp_extract_all(t, '__DLP_TOKEN_\d{4,}__')) AS BIGINT) AS leaked, sha256(regexp_replace(t, '__DLP_TOKEN_\d{4,}__', '', 'g')) AS clean_sha256 FROM t""",
     "output_validation": "WITH " + _PAIRS_SQL + r""", t AS (SELECT *, regexp_replace(source, '[. 。…，]{20,}', '.', 'g') AS trimmed FROM p),
         k AS (SELECT *, greatest(1, length(trimmed) // 4) AS a, greatest(1, length(target) // 4) AS b FROM t)
         SELECT conv_id, turn, CASE WHEN coalesce(trim(target), '') = '' THEN 'empty'
