@@ -15,7 +15,8 @@ power ``ALPHA``. A value can't give more than all its tokens: a target beyond
 that at the budget is lowered to it, and the others share the rest in proportion.
 
 Only the cell table is iterated over; it has as many rows as there are
-combinations, is kept as a DataFrame and cut. Topics come from a column, or
+combinations. Up to ``FEW_CELLS`` come to the driver; beyond, they stay a
+DataFrame, cut in every sweep. Topics come from a column, or
 else from marks in the text, a rule that tells forms of text apart and no model.
 
 Defined results: null source, language or topic is a value of its own; null and
@@ -28,6 +29,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ BUDGET = 0.5
 #: Share of the budget by which a marginal may miss its target, and sweeps after which raking stops anyhow.
 TOLERANCE, MOST_SWEEPS = 1e-6, 60
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells that may be broadcast to the documents; beyond, the join shuffles by cell.
+#: Cells that are raked on the driver and broadcast to the documents; beyond, the same steps are taken over a table, and joins shuffle.
 FEW_CELLS = 200_000
 #: Topics by their marks, the first that fits: (name, pattern over the text).
 TOPICS = (("license", r"(?i:licensed? under|all rights reserved)"), ("table", r"\|"), ("contact", r"@|\d{3}[- ]\d{4}"))
@@ -109,25 +111,67 @@ def reachable(cells: DataFrame, target: DataFrame, dimension: str, budget: float
     return _fitted(rows, ["one"], "all_goal", (dimension,)).select(dimension, F.least("tokens", "weight").alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, tolerance: float = TOLERANCE, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
+def _fitted_array(weight: np.ndarray, cap: np.ndarray, goal: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``_fitted`` over arrays; goals by number of group."""
+    at = cap / weight
+    order = np.lexsort((at, group))
+    g, w, c, a = group[order], weight[order], cap[order], at[order]
+    bounds = np.searchsorted(g, np.arange(len(goal) + 1))
+    total = np.empty(len(g))
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        behind = np.append(np.cumsum(w[i:j][::-1])[::-1][1:], 0.0)
+        total[i:j] = np.cumsum(c[i:j]) + a[i:j] * behind
+    capped = total <= goal[g]
+    held, open_ = np.bincount(g, c * capped, len(goal)), np.bincount(g, w * ~capped, len(goal))
+    largest = np.zeros(len(goal))
+    np.maximum.at(largest, g, a)
+    return weight * np.where(open_ > 0, (goal - held) / np.where(open_ > 0, open_, 1.0), largest)[group]
+
+
+def _raked_here(rows: DataFrame, dimensions: list[str], tolerance: float, most_sweeps: int) -> DataFrame:
+    """``p`` of few cells, raked on the driver."""
+    found = rows.collect()
+    cap, weight = (np.array([r[c] for r in found]) for c in ("tokens", "weight"))
+    groups, goals = {}, {}
+    for d in dimensions:
+        names, groups[d] = np.unique(np.array([r[d] for r in found], object), return_inverse=True)
+        goals[d] = np.zeros(len(names))
+        goals[d][groups[d]] = [r[f"goal_{d}"] for r in found]
+    for _ in range(most_sweeps):
+        for d in dimensions:
+            weight = _fitted_array(weight, cap, goals[d], groups[d])
+        taken = np.minimum(cap, weight)
+        if max(abs(np.bincount(groups[d], taken, len(goals[d])) - goals[d]).max() for d in dimensions) <= tolerance:
+            break
+    p = np.minimum(cap, weight) / cap
+    return rows.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), float(x)) for r, x in zip(found, p, strict=True)], "source string, lang string, topic string, p double")
+
+
+def _raked_there(rows: DataFrame, dimensions: list[str], tolerance: float, most_sweeps: int) -> DataFrame:
+    """``p`` of cells of any number, raked as a table."""
+    taken = F.least("tokens", "weight")
+    for _ in range(most_sweeps):
+        for d in dimensions:
+            rows = _fitted(rows, [d], f"goal_{d}", DIMENSIONS)
+        rows = cut(rows)
+        missed = [rows.groupBy(d).agg(F.abs(F.sum(taken) - F.first(f"goal_{d}")).alias("off")) for d in dimensions]
+        if max(m.agg(F.max("off")).first()[0] for m in missed) <= tolerance:
+            break
+    return rows.select(*DIMENSIONS, (taken / F.col("tokens")).alias("p"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, tolerance: float = TOLERANCE, most_sweeps: int = MOST_SWEEPS, few_cells: int = FEW_CELLS) -> DataFrame:
     """The cells with ``p``, the probability of their documents, and ``weight``, their share of the tokens drawn."""
     everything = cells.agg(F.sum("tokens")).first()[0] or 0
     rows = cells.filter("tokens > 0").withColumn("tokens", F.col("tokens").cast("double")).withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for dimension, target in targets.items():
         rows = rows.join(reachable(cells, target, dimension, budget).withColumnRenamed("goal", f"goal_{dimension}"), dimension)
     rows = cut(rows)
-    taken = F.least("tokens", "weight")
-    for _ in range(most_sweeps if everything else 0):
-        for dimension in targets:
-            rows = _fitted(rows, [dimension], f"goal_{dimension}", DIMENSIONS)
-        rows = cut(rows)
-        missed = [rows.groupBy(d).agg(F.abs(F.sum(taken) - F.first(f"goal_{d}")).alias("off")).agg(F.max("off").alias("off")) for d in targets]
-        worst = missed[0]
-        for m in missed[1:]:
-            worst = worst.union(m)
-        if (worst.agg(F.max("off")).first()[0] or 0.0) <= tolerance * everything * budget:
-            break
-    drawn = cut(rows.select(*DIMENSIONS, (taken / F.col("tokens")).alias("p")))
+    n = rows.count()
+    if n:
+        drawn = (_raked_here if n <= few_cells else _raked_there)(rows, list(targets), tolerance * everything * budget, most_sweeps)
+    else:
+        drawn = rows.select(*DIMENSIONS, F.lit(0.0).alias("p"))
     cells = cells.join(drawn, list(DIMENSIONS), "left").withColumn("p", F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(F.lit(float(budget))))
     total = F.broadcast(cells.agg(F.sum(F.col("p") * F.col("tokens")).alias("_all")))
     return cells.crossJoin(total).withColumn("weight", F.coalesce(F.try_divide(F.col("p") * F.col("tokens"), "_all"), F.lit(0.0))).drop("_all")
