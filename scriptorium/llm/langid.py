@@ -6,7 +6,8 @@ times with d different followers, a follower seen c times costs
 -log2(c / (n + d)) bits and any other -log2(d / (n + d)) bits and its cost at
 the next shorter context, down to 1/256 for each byte. The statistics are frozen
 after fitting, so a text's code length under a language is an exact sum of
-looked-up costs; the shortest wins.
+looked-up costs; the shortest wins. Texts are learned and scored in lower case,
+so a text all in capitals is as much of its language as any other.
 
 The fit takes a bounded sample of labelled rows of every language: at most
 ``sample_rows`` documents of at most ``sample_chars`` characters, chosen by a
@@ -169,7 +170,7 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_order: int = MAX_ORDER, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ContextTrees:
     """Trees of each language from a bounded sample of labelled rows that aren't held out."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    rows = docs.select(docs[id_col].alias("id"), F.lower(docs[text_col].cast("string")).alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -215,7 +216,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(trees.parts())
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     letter = F.coalesce(docs[text_col].cast("string").rlike(r"\p{L}"), F.lit(False))
-    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)], docs[text_col].cast("string").alias("text"), letter.alias("letter"))
+    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)], F.lower(docs[text_col].cast("string")).alias("text"), letter.alias("letter"))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
 
     def run(batches):

@@ -411,6 +411,15 @@ def test_mixture_of_the_corpus(spark, size):
             assert r.drawn > r.target * 0.99 or r.drawn == pytest.approx(r.reachable, rel=1e-3)
 
 
+def test_raking_here_and_there(spark):
+    """Few cells on the driver and many as a table get the same probabilities."""
+    r = random.Random(9)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", r.randrange(1, 90) * 10 ** (i % 3), 1) for i in range(5) for j in range(3) for k in range(3) if r.random() < 0.8], "source string, lang string, topic string, tokens long, n_docs long").cache()
+    targets = {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}
+    here, there = ({tuple(r[:3]): r.p for r in mixing.rake(cells, targets, most_sweeps=3, few_cells=n).select(*mixing.DIMENSIONS, "p").collect()} for n in (1000, 0))
+    assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-9 for k in here)
+
+
 def test_mixture_of_a_topic_column(spark):
     data = [(i, "w " * 9, "en", "s", f"t{i % 4 if i % 3 else 0}") for i in range(400)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, subject string")
@@ -482,6 +491,13 @@ def test_every_language_is_learned(spark):
     assert known.languages == sorted(x for _, _, x in rows)
 
 
+def test_capitals_are_no_other_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    loud = langid.identify(docs.withColumn("text", F.upper("text")), langid.fit(docs), keep=["doc_id"]).collect()
+    assert sum(r.lang_pred == known[r.doc_id] and r.bits_per_byte < 8 for r in loud) >= 0.97 * len(loud)
+
+
 def test_languages_of_long_texts_are_learned(spark):
     kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
     rows = [(kept[0], "short words here", "a"), (kept[1], "long " * 50_000, "a"), (kept[2], "viel länger " * 20_000, "b"), (kept[3], None, "b"), (kept[4], "", "c")]
