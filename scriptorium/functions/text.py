@@ -87,16 +87,20 @@ def leaks_prompt(text: Column, markers: tuple[str, ...] = LEAK_MARKERS) -> Colum
     return out
 
 
-def output_fault(source: Column, target: Column, markers: tuple[str, ...] = LEAK_MARKERS) -> Column:
-    """Why an output is not taken, by the first rule that holds; null if it is."""
+def output_fault(source: Column, target: Column, markers: tuple[str, ...] = LEAK_MARKERS, single: tuple[int, int] | None = None) -> Column:
+    """Why an output is not taken, by the first rule that holds; null if it is.
+
+    ``single``: tokens of input or output from which on lengths are compared, for units given one by one.
+    """
     trimmed = F.regexp_replace(source, REPEATED_FILL, ".")
     tokens, given = token_estimate(trimmed), token_estimate(target)
     ratio = given / tokens
+    compared = (tokens >= single[0]) | (given >= single[1]) if single else F.lit(True)
     return (
         F.when(F.coalesce(F.trim(target), F.lit("")) == "", "empty")
         .when(leaks_prompt(target, markers), "prompt_leak")
         .when((trimmed == target) & (tokens > 10), "same_text")
-        .when(~((ratio > 0.3) & (ratio < 3)), "length_ratio")
+        .when(~((ratio > 0.3) & (ratio < 3)) & compared, "length_ratio")
         .when((tokens > 20) & F.levenshtein(source, target, 4).between(0, 4), "edit_distance")
     )
 

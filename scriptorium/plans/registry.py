@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLE_SQL (name -> SQL).
-MODULES = ("scriptorium.plans.language", "scriptorium.plans.text", "scriptorium.plans.quality", "scriptorium.plans.cost", "scriptorium.plans.jobs", "scriptorium.plans.layout", "scriptorium.plans.glossary", "scriptorium.plans.chunks", "scriptorium.plans.logs", "scriptorium.plans.streams", "scriptorium.plans.structure", "scriptorium.plans.answers", "scriptorium.plans.typeset")
+MODULES = ("scriptorium.plans.language", "scriptorium.plans.text", "scriptorium.plans.quality", "scriptorium.plans.cost", "scriptorium.plans.jobs", "scriptorium.plans.layout", "scriptorium.plans.glossary", "scriptorium.plans.chunks", "scriptorium.plans.logs", "scriptorium.plans.streams", "scriptorium.plans.structure", "scriptorium.plans.answers", "scriptorium.plans.typeset", "scriptorium.plans.units")
 
 
 def queries() -> dict:

@@ -25,7 +25,7 @@ def texts(spark, sf):
 
 
 def test_every_query_without_sql_is_tested_here_or_with_the_layouts():
-    here = {"protected_all", "pii_masked", "sentence_chunks", "stream_task_decisions", "line_clusters", "unicode_forms"}
+    here = {"protected_all", "pii_masked", "pii_job_tokens", "sentence_chunks", "stream_task_decisions", "line_clusters", "unicode_forms"}
     assert registry.queries().keys() - registry.oracle_sql().keys() == here | {"overlap_resolution"}
 
 
@@ -59,6 +59,7 @@ def test_pii_masked(spark, sf):
                 n += 1
                 want.append((job, d, f"__DLP_TOKEN_{n:04d}__", sha(value), kind))
     assert sorted(map(tuple, run(spark, sf, "pii_masked"))) == sorted(want)
+    assert [tuple(r) for r in run(spark, sf, "pii_job_tokens")] == sorted((w for w in want if w[0] == "src1"), key=lambda w: w[1:3])
 
 
 def test_sentence_chunks(spark, sf):
