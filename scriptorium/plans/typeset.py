@@ -6,11 +6,14 @@ depends on what came before runs as one pass over a key's rows in order.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import spatial as S
-from scriptorium.operators.folds import running_rows
+from scriptorium.operators.folds import ordered_fold, running_rows
 from scriptorium.plans.layout import _AR, _C, _L, _OV, chars, layouts
 
 #: Classes of layouts that hold text.
@@ -160,6 +163,56 @@ def shared_style(rows: DataFrame, key: str, order: str, slack: float = 0.02) ->
     return out
 
 
+def reading_groups(boxes: DataFrame, keys: list[str], flow: float = 0.5) -> DataFrame:
+    """``place`` of each box (id, b) of a page in reading order, from 0.
+
+    The two boxes or groups whose common box wastes the least area join first;
+    those with others between them wait until no free pair is left. Then each
+    group's members stand by a key that weighs columns (flow -1) against lines
+    (flow 1), and their own members inside it. A page's boxes have to fit one
+    task; ties go to what was there first.
+    """
+
+    def order(page: pd.DataFrame) -> pd.DataFrame:
+        boxes = [tuple(r) for r in page[["x", "y", "x2", "y2"]].itertuples(index=False)]
+        inner: dict[int, tuple[int, int]] = {}
+        live = dict.fromkeys(range(len(boxes)))
+        joint = lambda i, j: (min(boxes[i][0], boxes[j][0]), min(boxes[i][1], boxes[j][1]), max(boxes[i][2], boxes[j][2]), max(boxes[i][3], boxes[j][3]))
+        area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        waste = lambda i, j: area(joint(i, j)) - area(boxes[i]) - area(boxes[j])
+        waiting = [(False, waste(i, j), i, j) for i in live for j in range(i)]
+        heapify(waiting)
+        while waiting:
+            late, lost, i, j = heappop(waiting)
+            if i not in live or j not in live:
+                continue
+            both = joint(i, j)
+            if not late and any(k not in (i, j) and boxes[k][0] < both[2] and both[0] < boxes[k][2] and boxes[k][1] < both[3] and both[1] < boxes[k][3] for k in live):
+                heappush(waiting, (True, lost, i, j))
+                continue
+            del live[i], live[j]
+            n = len(boxes)
+            boxes.append(both)
+            inner[n] = (i, j)
+            for k in live:
+                heappush(waiting, (False, waste(n, k), n, k))
+            live[n] = None
+        rank = lambda i: ((1 - flow) * boxes[i][0] - (1 + flow) * (boxes[i][1] + boxes[i][3]), i)
+        out, stack = [], sorted(live, key=rank, reverse=True)
+        while stack:
+            i = stack.pop()
+            if i in inner:
+                stack += sorted(inner[i], key=rank, reverse=True)
+            else:
+                out.append(i)
+        place = {i: n for n, i in enumerate(out)}
+        return page[[*keys, "id"]].assign(place=[place[i] for i in range(len(page))])
+
+    rows = boxes.select(*keys, "id", *[F.col("b")[c].alias(c) for c in ("x", "y", "x2", "y2")])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in (*keys, "id"))
+    return ordered_fold(rows, keys, ["id"], order, f"{kinds}, place int")
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters with flags, and the layout with the least id that holds most of them."""
     c = F.col("char_id")
@@ -236,7 +289,11 @@ def paragraph_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row", "font", F.round("size", 6).alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (char_paragraphs, char_formulas, formula_offsets, formula_visual, paragraph_curves, line_histogram, nearest_floor, line_alignments, paragraph_styles)}
+def reading_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_groups(layouts(spark, sf_dir).select("page", F.col("layout_id").alias("id"), "b"), ["page"])
+
+
+QUERIES = {f.__name__: f for f in (char_paragraphs, char_formulas, formula_offsets, formula_visual, paragraph_curves, line_histogram, nearest_floor, line_alignments, paragraph_styles, reading_places)}
 _YS = "greatest(least(f.y2, a.y2) - greatest(f.y, a.y), 0) / least(f.y2 - f.y, a.y2 - a.y)"
 ORACLE_SQL = {
     "char_paragraphs": f"""WITH RECURSIVE {_C}, {_L}, i AS (SELECT a.char_id, min((b.layout_id, b.class)) AS m FROM c a JOIN l b ON a.page = b.page AND {_OV} / {_AR} > 0.5 GROUP BY a.char_id),

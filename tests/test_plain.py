@@ -25,7 +25,7 @@ def texts(spark, sf):
 
 
 def test_every_query_without_sql_is_tested_here_or_with_the_layouts():
-    here = {"protected_all", "pii_masked", "pii_job_tokens", "sentence_chunks", "stream_task_decisions", "line_clusters", "unicode_forms"}
+    here = {"protected_all", "pii_masked", "pii_job_tokens", "sentence_chunks", "stream_task_decisions", "line_clusters", "reading_places", "unicode_forms"}
     assert registry.queries().keys() - registry.oracle_sql().keys() == here | {"overlap_resolution"}
 
 
@@ -140,3 +140,57 @@ def test_line_clusters(spark, sf):
     for r in run(spark, sf, "line_clusters"):
         got.setdefault((r.page, r.line), []).append(r.char_id)
     assert {(p, frozenset(v)) for (p, _), v in got.items()} == want
+
+
+def test_reading_places(spark, sf):
+    """Against a table of all pairs, searched anew for each step."""
+    import numpy as np
+
+    from scriptorium.plans import layout
+
+    pages = {}
+    for r in layout.layouts(spark, sf).collect():
+        pages.setdefault(r.page, []).append((r.layout_id, (r.b.x, r.b.y, r.b.x2, r.b.y2)))
+    want = {}
+    for page in pages.values():
+        ids, first = zip(*sorted(page))
+        n = len(ids)
+        box = np.zeros((2 * n, 4))
+        box[:n] = first
+        size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+        cost, late, alive, made = np.full((2 * n, 2 * n), np.inf), np.zeros((2 * n, 2 * n), bool), np.zeros(2 * n, bool), {}
+        common = lambda i, j: np.concatenate((np.minimum(box[i, :2], box[j, :2]), np.maximum(box[i, 2:], box[j, 2:])))
+
+        def enter(i):
+            for j in np.flatnonzero(alive):
+                cost[i, j] = size(common(i, j)) - size(box[i]) - size(box[j])
+            alive[i] = True
+
+        for i in range(n):
+            enter(i)
+        count = n
+        while alive.sum() > 1:
+            free = np.where(late, np.inf, cost)
+            table = free if np.isfinite(free).any() else cost
+            i, j = np.unravel_index(table.argmin(), table.shape)
+            c = common(i, j)
+            others = alive.copy()
+            others[[i, j]] = False
+            between = (box[others, 0] < c[2]) & (c[0] < box[others, 2]) & (box[others, 1] < c[3]) & (c[1] < box[others, 3])
+            if not late[i, j] and between.any():
+                late[i, j] = True
+                continue
+            alive[[i, j]] = False
+            cost[[i, j]] = np.inf
+            cost[:, [i, j]] = np.inf
+            box[count], made[count] = c, (i, j)
+            enter(count)
+            count += 1
+
+        def walk(i):
+            if i < n:
+                return [i]
+            return [x for k in sorted(made[i], key=lambda k: (0.5 * box[k, 0] - 1.5 * (box[k, 1] + box[k, 3]), k)) for x in walk(k)]
+
+        want |= {ids[i]: p for p, i in enumerate(walk(int(np.flatnonzero(alive)[0])))}
+    assert {r.id: r.place for r in run(spark, sf, "reading_places")} == want
