@@ -31,6 +31,10 @@ ANCHOR, TINY, NEAREST, FARTHEST = 0.6, 0.1, -5.0, 10.0
 IN_FORMULA, OVER_PARAGRAPH, VISUAL = 0.4, 0.2, 0.2
 #: Fixed value: height of a step of the histogram of lines.
 STEP = 0.25
+#: Fixed values of lines: share of a character's height that a band has to cover, reach in mean widths, heights from which a line is split, and its reach in heights.
+BAND, REACH, TALL, SPLIT = 0.5, 3.5, 1.5, 0.5
+#: Fixed values of merges: share of a line inside another, common share of both heights of neighbours, and the gap between them in mean widths.
+INSIDE, LEVEL, BESIDE = 0.6, 0.7, 1.5
 
 
 def is_text_layout(layout: Column) -> Column:
@@ -213,6 +217,92 @@ def reading_groups(boxes: DataFrame, keys: list[str], flow: float = 0.5) -> Data
     return ordered_fold(rows, keys, ["id"], order, f"{kinds}, place int")
 
 
+def _near(points: list[tuple[float, ...]], reach: float) -> list[list[int]]:
+    """Groups of points that steps of ``reach`` at most, summed over the axes, lead through."""
+    left, out = set(range(len(points))), []
+    while left:
+        group = [left.pop()]
+        for i in group:
+            close = [j for j in left if sum(abs(a - b) for a, b in zip(points[i], points[j], strict=True)) <= reach]
+            left.difference_update(close)
+            group += close
+        out.append(sorted(group))
+    return out
+
+
+def lines_of(boxes: list[tuple[float, float, float, float]]) -> list[list[int]]:
+    """The lines of a page's boxes, as lists of their numbers by left edge, from the least top on.
+
+    Bands grow by the boxes that they cover by more than ``BAND`` of their
+    height; inside a band, boxes within reach of each other are a line; a line
+    much higher than its boxes is split by height; lines that lie in one another
+    or level side by side are joined, until none is left to join.
+    """
+    if not boxes:
+        return []
+    bands: list[list] = []
+    for i in sorted(range(len(boxes)), key=lambda i: (boxes[i][1], i)):
+        _, top, _, bottom = boxes[i]
+        covers = [(min(bottom, b[1]) - max(top, b[0])) / (bottom - top) if bottom > top else 0.0 for b in bands]
+        best = max(range(len(bands)), key=lambda k: (covers[k], k), default=None)
+        if best is None or covers[best] <= BAND:
+            bands.append([top, bottom, [i]])
+            continue
+        band = bands.pop(best)  # the band used last comes last, and first among equals
+        bands.append([min(band[0], top), max(band[1], bottom), [*band[2], i]])
+    middle = lambda i: ((boxes[i][0] + boxes[i][2]) / 2, (boxes[i][1] + boxes[i][3]) / 2)
+    width, height = (lambda i: boxes[i][2] - boxes[i][0]), (lambda i: boxes[i][3] - boxes[i][1])
+    lines: list[list[int]] = []
+    for _, _, members in bands:
+        widths = [width(i) for i in members if width(i) > 0]
+        for group in _near([middle(i) for i in members], REACH * (sum(widths) / len(widths) if widths else 10.0)):
+            line = [members[k] for k in group]
+            most = max(map(height, line))
+            if len(line) > 1 and max(boxes[i][3] for i in line) - min(boxes[i][1] for i in line) > TALL * most > 0:
+                lines += [[line[k] for k in part] for part in _near([(middle(i)[1],) for i in line], SPLIT * most)]
+            else:
+                lines.append(line)
+
+    def outline(line: list[int]) -> tuple[float, ...]:
+        return min(boxes[i][0] for i in line), min(boxes[i][1] for i in line), max(boxes[i][2] for i in line), max(boxes[i][3] for i in line)
+
+    def joins(a: list[int], b: list[int]) -> bool:
+        (x, y, x2, y2), (u, v, u2, v2) = outline(a), outline(b)
+        across, down = min(x2, u2) - max(x, u), min(y2, v2) - max(y, v)
+        if down <= 0:
+            return False
+        if across > 0:
+            return across * down > INSIDE * min((x2 - x) * (y2 - y), (u2 - u) * (v2 - v))
+        both = [width(i) for i in a + b]
+        return down > LEVEL * max(y2 - y, v2 - v) and -across <= BESIDE * sum(both) / len(both)
+
+    merged = True
+    while merged:
+        merged = False
+        for i, a in enumerate(lines):
+            for j in range(i + 1, len(lines)):
+                if joins(a, lines[j]):
+                    a += lines.pop(j)
+                    merged = True
+                    break
+            if merged:
+                break
+    lines = [sorted(line, key=lambda i: (boxes[i][0], i)) for line in lines]
+    return sorted(lines, key=lambda line: (min(boxes[i][1] for i in line), boxes[line[0]][0], line[0]))
+
+
+def text_lines(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """``line`` and ``place`` in it of each box (id, b) of a page, from 0; a page's boxes have to fit one task."""
+
+    def number(page: pd.DataFrame) -> pd.DataFrame:
+        at = {i: (n, k) for n, line in enumerate(lines_of([tuple(r) for r in page[["x", "y", "x2", "y2"]].itertuples(index=False)])) for k, i in enumerate(line)}
+        return page[[*keys, "id"]].assign(line=[at[i][0] for i in range(len(page))], place=[at[i][1] for i in range(len(page))])
+
+    rows = boxes.select(*keys, "id", *[F.col("b")[c].alias(c) for c in ("x", "y", "x2", "y2")])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in (*keys, "id"))
+    return ordered_fold(rows, keys, ["id"], number, f"{kinds}, line int, place int")
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters with flags, and the layout with the least id that holds most of them."""
     c = F.col("char_id")
@@ -293,7 +383,11 @@ def reading_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_groups(layouts(spark, sf_dir).select("page", F.col("layout_id").alias("id"), "b"), ["page"])
 
 
-QUERIES = {f.__name__: f for f in (char_paragraphs, char_formulas, formula_offsets, formula_visual, paragraph_curves, line_histogram, nearest_floor, line_alignments, paragraph_styles, reading_places)}
+def char_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_lines(chars(spark, sf_dir).select("page", F.col("char_id").alias("id"), F.col("a").alias("b")), ["page"])
+
+
+QUERIES = {f.__name__: f for f in (char_paragraphs, char_formulas, formula_offsets, formula_visual, paragraph_curves, line_histogram, nearest_floor, line_alignments, paragraph_styles, reading_places, char_lines)}
 _YS = "greatest(least(f.y2, a.y2) - greatest(f.y, a.y), 0) / least(f.y2 - f.y, a.y2 - a.y)"
 ORACLE_SQL = {
     "char_paragraphs": f"""WITH RECURSIVE {_C}, {_L}, i AS (SELECT a.char_id, min((b.layout_id, b.class)) AS m FROM c a JOIN l b ON a.page = b.page AND {_OV} / {_AR} > 0.5 GROUP BY a.char_id),

@@ -25,7 +25,7 @@ def texts(spark, sf):
 
 
 def test_every_query_without_sql_is_tested_here_or_with_the_layouts():
-    here = {"protected_all", "pii_masked", "pii_job_tokens", "sentence_chunks", "stream_task_decisions", "line_clusters", "reading_places", "unicode_forms"}
+    here = {"protected_all", "pii_masked", "pii_job_tokens", "sentence_chunks", "stream_task_decisions", "line_clusters", "reading_places", "char_lines", "unicode_forms"}
     assert registry.queries().keys() - registry.oracle_sql().keys() == here | {"overlap_resolution"}
 
 
@@ -194,3 +194,41 @@ def test_reading_places(spark, sf):
 
         want |= {ids[i]: p for p, i in enumerate(walk(int(np.flatnonzero(alive)[0])))}
     assert {r.id: r.place for r in run(spark, sf, "reading_places")} == want
+
+
+def test_lines_by_example():
+    from scriptorium.plans.typeset import lines_of
+
+    row = lambda y, xs, w=5, h=10: [(x, y, x + w, y + h) for x in xs]
+    assert lines_of([]) == []
+    assert lines_of(row(0, [0, 6, 12])) == [[0, 1, 2]]
+    assert lines_of([*row(0, [6, 0]), *row(30, [0])]) == [[1, 0], [2]]  # by left edge, from the top
+    assert lines_of(row(0, [0, 6, 60])) == [[0, 1], [2]]  # out of reach
+    assert lines_of([*row(0, [0]), (6, 3, 9, 7)]) == [[0, 1]]  # a small box inside the band
+    assert lines_of([*row(0, [0]), *row(4, [6]), *row(8, [12]), *row(12, [18])]) == [[0, 1, 2, 3]]  # the band grows with each
+    assert lines_of([*row(0, [0]), *row(6, [6]), *row(12, [12])]) == [[0], [1], [2]]
+    assert lines_of([(0, 0, 100, 20), (40, 14, 44, 19)]) == [[0, 1]]  # one inside the other
+
+
+def test_char_lines(spark, sf):
+    """Every box has one place; lines are runs from 0, and no two of a page could still be joined or lie apart inside."""
+    from scriptorium.plans import layout
+
+    boxes = {(r.page, r.char_id): (r.a.x, r.a.y, r.a.x2, r.a.y2) for r in layout.chars(spark, sf).collect()}
+    got = run(spark, sf, "char_lines")
+    assert {(r.page, r.id) for r in got} == boxes.keys() and len(got) == len(boxes)
+    lines = {}
+    for r in sorted(got, key=lambda r: (r.page, r.line, r.place)):
+        assert r.place == len(lines.setdefault((r.page, r.line), []))
+        lines[r.page, r.line].append(boxes[r.page, r.id])
+    for page in {p for p, _ in lines}:
+        assert sorted(n for p, n in lines if p == page) == list(range(sum(p == page for p, _ in lines)))
+    outline = lambda line: (min(b[0] for b in line), min(b[1] for b in line), max(b[2] for b in line), max(b[3] for b in line))
+    for (p, n), line in lines.items():
+        assert [b[0] for b in line] == sorted(b[0] for b in line)
+        for (q, m), other in lines.items():
+            if p == q and n < m:
+                a, b = outline(line), outline(other)
+                across, down = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+                least = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+                assert not (across > 0 and down > 0 and across * down > 0.6 * least)
