@@ -3,14 +3,16 @@
 A document's set holds its distinct shingles of ``WORDS`` words. Documents of
 equal sets form one class, pre-aggregated before anything else is shuffled; the
 class's least id stands for it. Bands of minima bring similar classes into
-buckets; band keys travel packed, and only keys that two classes share come out
-as rows. In each bucket every class is first compared with the bucket's
-centre only. What these links leave in different components inside one bucket is
-then compared in tiles, pairs of one component excepted, behind a filter on finer
-signatures of these documents: 2048 minima of 2 bits, whose agreement at the
-threshold is taken six standard deviations low. Every link is
-confirmed on the full sets. No bucket is capped. With 71 bands of 6 minima a
-pair at the threshold shares a bucket with probability 1 - 1e-6.
+buckets. Band keys travel packed, one that several classes of a batch share once
+for the batch, and only keys that two classes share come out as rows. In each
+bucket every class is first compared with the bucket's centre only. What these
+links leave in different components inside one bucket is then compared in tiles,
+pairs of one component excepted, behind a filter on finer signatures of these
+documents: 2048 minima of 2 bits, whose agreement at the threshold is taken six
+standard deviations low. Every link is confirmed on the full sets. No bucket is
+capped; centres and classes of very many rows are joined by broadcast, so that
+their rows stay dealt out. With 71 bands of 6 minima a pair at the threshold
+shares a bucket with probability 1 - 1e-6.
 
 Defined results: no text or words: an empty set, linked with nothing; a null id
 takes no part in linking, has no component and is kept; rows that repeat an id

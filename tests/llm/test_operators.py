@@ -104,11 +104,27 @@ def test_minhash_chains(spark, monkeypatch, tile):
     check_minhash(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, monkeypatch, how):
+    from scriptorium.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    data = [(i, "hot" if i % 2 else ("none" if i % 10 == 0 else f"k{i % 30}")) for i in range(300)] + [(-1, None)]
+    rows = spark.createDataFrame(data, "i int, k string")
+    keyed = spark.createDataFrame([("hot", 1, 150), *((f"k{i}", i, 10) for i in range(30)), ("other", 9, 0)], "k string, v int, n long")
+    want = sorted(map(tuple, rows.join(keyed.drop("n"), "k", how).select("i", "v").collect()), key=repr)
+    assert sorted(map(tuple, common.spread_join(rows, keyed, "k", how).select("i", "v").collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components(spark, monkeypatch, few):
+    from scriptorium.llm import common, components
     from scriptorium.llm.components import connected_components
 
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
     r = random.Random(3)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1030)] + [(2000, 2000 + i) for i in range(50)] + [(5, 5)]
     root = {x: x for e in edges for x in e}
 
     def find(x):
