@@ -70,7 +70,7 @@ def outline(entries: DataFrame, pages: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).filter("pages >= 10").select("doc_id", "pages", F.posexplode(F.expr("transform(sequence(1, least(pages div 4, 60)), i -> (i * (doc_id % 5 + 2)) % pages)")).alias("pos", "page"))
+    rows = _pages(spark, sf_dir).filter("pages >= 10").select("doc_id", "pages", F.posexplode(F.expr("transform(sequence(1, cast(pages div 4 as int)), i -> (i * (doc_id % 5 + 2)) % pages)")).alias("pos", "page"))
     return rows.withColumn("level", F.when(F.col("doc_id") % 3 == 0, F.col("pos") % 2 + 2).otherwise(F.col("pos") % 2 + 1)).withColumn("title", F.concat(F.lit("s"), F.col("pos").cast("string")))
 
 
@@ -121,7 +121,7 @@ def page_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (page_chunks, overlap_drop, page_filter, outline_sections, section_coalesce, spread_excerpt, boundary_continuity, split_rejoin, page_tier)}
 _P = "p AS (SELECT doc_id, CAST(greatest(ceil(n_chars / 100), 1) AS INTEGER) AS pages FROM documents)"
 _E = """e AS (SELECT doc_id, pages, i - 1 AS pos, (i * (doc_id % 5 + 2)) % pages AS page, CASE WHEN doc_id % 3 = 0 THEN (i - 1) % 2 + 2 ELSE (i - 1) % 2 + 1 END AS level, 's' || (i - 1) AS title
-        FROM p, unnest(range(1, least(pages // 4, 60) + 1)) AS u(i) WHERE pages >= 10),
+        FROM p, unnest(range(1, pages // 4 + 1)) AS u(i) WHERE pages >= 10),
         t AS (SELECT *, min(level) FILTER (level <= 2) OVER (PARTITION BY doc_id) AS top FROM e),
         b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS n FROM t WHERE level = top),
         s0 AS (SELECT doc_id, page, title, pages FROM b WHERE n = 1 UNION ALL SELECT doc_id, 0, '', any_value(pages) FROM b WHERE n = 1 GROUP BY doc_id HAVING min(page) > 0),
