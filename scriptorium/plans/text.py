@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import masking
-from scriptorium.runtime import table
+from scriptorium.runtime import spread, table
 
 
 #: Patterns that engines without lookaround, or with boundaries of ASCII letters only, read alike.
@@ -61,18 +61,18 @@ def protected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = masking.counts(F.col("text"), SIMPLE)
-    return table(spark, sf_dir, "documents").agg(*[F.sum(c).cast("long").alias(k.lower()) for k, c in each.items()])
+    return spread(table(spark, sf_dir, "documents").select("text")).agg(*[F.sum(c).cast("long").alias(k.lower()) for k, c in each.items()])
 
 
 def pii_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), "text"))
     done = masking.masked(docs, "job_id", "chunk_index", "text")
     return done.select("job_id", "chunk_index", F.explode("rows").alias("r")).select("job_id", "chunk_index", "r.token", F.sha2("r.original", 256).alias("original_sha256"), "r.kind")
 
 
 def pii_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked and unmasked again, every text is the same."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), "text"))
     done = masking.masked(docs, "job_id", "chunk_index", "text")
     rows = done.select("job_id", "chunk_index", F.posexplode("rows").alias("pos", "r")).select("job_id", "chunk_index", "pos", "r.token", "r.original")
     back = masking.unmasked(done.select("job_id", "chunk_index", F.col("masked").alias("text")), rows, ["job_id", "chunk_index"], "text", "pos")
@@ -137,7 +137,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = [cut(t or "", 120) for t in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "n_chunks": [len(f) for f in found], "longest": [max(map(len, f)) for f in found]})
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n_chunks long, longest long")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInPandas(run, "doc_id long, n_chunks long, longest long")
 
 
 def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores before work that takes long on each row; one of as many partitions as there are cores stays as it is.
+
+    A file of one row group is else one task's, however many cores there are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def local_session(cores: str = "8", partitions: str = "8", memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark."""
     return (
