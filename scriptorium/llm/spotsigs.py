@@ -37,6 +37,8 @@ ANTECEDENTS = (
 CHAIN, REACH = 2, 8
 #: Documents of a range in order of id; a window holds one range. Beyond so many ranges, these grow.
 RANGE, RANGES = 2000, 65_536
+#: Documents that a range of a small table has at least, and text bytes of a task while there are ranges enough.
+LEAST_RANGE, TASK_BYTES = 100, 32 << 20
 #: Rows that are drawn to find a border between ranges; borders decide who works, never the result.
 DRAWN = 8
 _SIGN = -(1 << 63)
@@ -104,8 +106,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keys = ["none", "key", "mark"]
     docs = docs.withColumn("none", F.col("id").isNull()).withColumn("key", F.coalesce("id", F.lit(0))).withColumn("mark", F.xxhash64("text"))
     place = F.concat(F.col("none").cast("int").cast("string"), _sortable(F.col("key"), F.col("mark"), F.monotonically_increasing_id()))
-    n = docs.count()
-    ranges = max(1, min(RANGES, n // RANGE))
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, min(RANGES, max(n // RANGE, min(4 * cores, n // LEAST_RANGE))))
+    # So many tasks, as a count of bytes after the shuffle says nothing of the work on them.
+    tasks = min(ranges, max(cores, (size or 0) // TASK_BYTES))
     borders: list[str] = []
     if ranges > 1:
         drawn = sorted(r.place for r in docs.select(place.alias("place")).sample(min(1.0, DRAWN * ranges / n), 7).collect())
@@ -117,7 +122,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edges = firsts.crossJoin(F.broadcast(top)).withColumn("to", F.coalesce(F.lag("range").over(Window.orderBy("range")), "top")).drop("top")
     border = docs.join(F.broadcast(edges), ["range", *keys]).dropDuplicates(["to"]).select(F.col("to").alias("range"), F.lit(1).alias("edge"), "place", "id", "text")
     rows = docs.select("range", F.lit(0).alias("edge"), "place", "id", "text").union(border)
-    rows = rows.repartition("range").withColumn("sigs", signatures(F.col("text")))
+    rows = rows.repartition(tasks, "range").withColumn("sigs", signatures(F.col("text")))
     behind = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("range").orderBy("edge", "place"))
     return rows.withColumn("next", behind).filter("edge = 0").select("id", "text", "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
 
