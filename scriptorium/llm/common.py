@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.runtime import cut, table
+from scriptorium.runtime import cut, spread, table
 
-__all__ = ["binary_of", "blocks", "cut", "pack", "raw", "spread_join", "table", "unpack"]
+__all__ = ["binary_of", "blocks", "cut", "pack", "raw", "spread", "spread_join", "table", "unpack"]
 
 #: Keys with more than this share of all rows are hot; so there are at most so many of them.
 HOT_SHARE, LEAST_HOT = 1 / 1000, 500

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import blocks, raw, table
+from scriptorium.llm.common import blocks, raw, spread, table
 
 MAX_ORDER = 3
 SAMPLE_ROWS = 150
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text", keep:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = identify(docs, fit(docs), keep=["doc_id"])
+    scored = identify(spread(docs.select("doc_id", "text")), fit(docs), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 

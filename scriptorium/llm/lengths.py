@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, table
+from scriptorium.llm.common import cut, spread, table
 from scriptorium.llm.pieces import MODEL, ChunkTable, _groups
 
 #: Lengths of a range; a range's window holds so many rows at most.
@@ -88,7 +88,7 @@ def truncated_total(at: DataFrame, limit: int) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limits(histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    return limits(histogram(encoded_lengths(spread(table(spark, sf_dir, "documents").select("text")))))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import binary_of, blocks, cut, pack, raw, spread_join, table, unpack
+from scriptorium.llm.common import binary_of, blocks, cut, pack, raw, spread, spread_join, table, unpack
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.exchange import changes, gather, split
 from scriptorium.llm.words import LOWER, mixed, word_hashes
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"op2_minhash": op2_minhash}

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, table
+from scriptorium.llm.common import cut, spread, table
 
 ALPHA = 0.7
 #: Share of all tokens to draw.
@@ -221,7 +221,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_c
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chances(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    found = chances(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")))
     return found.select("doc_id", *DIMENSIONS, F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), (F.col("u") < F.col("p")).alias("drawn"))
 
 

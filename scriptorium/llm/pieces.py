@@ -25,7 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm.common import table
+from scriptorium.llm.common import spread, table
 
 MODEL = "piece_bpe_32k.model"
 #: Chunks kept by a task before the table starts anew; bounds its memory.
@@ -139,7 +139,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), digests=True)
+    return encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), digests=True)
 
 
 QUERIES = {"op5_sentencepiece": op5_sentencepiece}

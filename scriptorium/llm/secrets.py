@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, spread_join, table
+from scriptorium.llm.common import cut, spread, spread_join, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so asking for their length at once finds what dropping short runs leaves.
@@ -142,7 +142,7 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda *ranks: F.size(F.filter("spans", lambda s: s["rank"].isin(*ranks))).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    return scan(table(spark, sf_dir, "documents")).select(
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import binary_of, blocks, cut, pack, raw, table, unpack
+from scriptorium.llm.common import binary_of, blocks, cut, pack, raw, spread, table, unpack
 from scriptorium.llm.exchange import ROWS, changes, gather, keyed, narrow, split
 from scriptorium.llm.words import SEEDS, window_hashes, word_hashes
 
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), digests=True).withColumnRenamed("kept", "kept_sha256")
 
 
 QUERIES = {"op9_substring_dedup": op9_substring_dedup}

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import binary_of, blocks, cut, raw, table, unpack
+from scriptorium.llm.common import binary_of, blocks, cut, raw, spread, table, unpack
 from scriptorium.llm.exchange import ROWS, changes, gather, keyed, split
 from scriptorium.llm.words import SEEDS, mixed, window_hashes
 
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+    done = remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), digests=True)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256"), "n_repeated")
 
 
