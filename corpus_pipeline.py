@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, minhash, mixing, pieces, secrets
-from scriptorium.runtime import cut, table
+from scriptorium.runtime import cut, spread, table
 
 #: Ids or spans that may be broadcast to the documents; beyond, the same join shuffles.
 FEW = 1_000_000
@@ -94,7 +94,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another; what one keeps is written for the next, so no stage runs again for a later one."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
