@@ -129,7 +129,8 @@ def stripped_fences(text: Column) -> Column:
 
 def salvaged_items(text: Column) -> Column:
     """Complete {"id": n, "output": "..."} objects of a truncated array, as array<struct<id, output>>."""
-    pattern = r'\{\s*"id"\s*:\s*(\d+)\s*,\s*"output"\s*:\s*"((?:[^"\\]|\\.)*)"\s*\}'
+    # Possessive runs: an alternation inside a star takes a frame of the stack for each character.
+    pattern = r'\{\s*"id"\s*:\s*(\d+)\s*,\s*"output"\s*:\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"\s*\}'
     ids = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     outs = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     plain = F.transform(outs, lambda o: F.coalesce(F.get_json_object(F.concat(F.lit('{"o":"'), o, F.lit('"}')), "$.o"), o))

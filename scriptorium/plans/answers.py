@@ -154,7 +154,7 @@ def answers_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns matched with the items of one answer a conversation, which lacks some, has some blank and some of unknown turns, and is cut short now and then."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     given = F.when(F.col("turn") % 7 == 2, F.lit(" ")).when(F.col("turn") % 3 == 1, F.concat(F.lit('say "'), "text", F.lit('"\n'))).otherwise(F.col("text"))
-    shown = F.when(F.col("turn") % 6 == 5, F.col("turn") + 1000).otherwise(F.col("turn"))
+    shown = F.when(F.col("turn") % 6 == 5, F.col("turn") + 10**15).otherwise(F.col("turn"))  # no conversation has that many turns
     items = turns.filter("turn % 5 <> 3").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(shown.cast("long").alias("id"), given.alias("output")))).alias("items"))
     whole = F.to_json("items")
     raw = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('```json{"items": '), whole, F.lit("}```"))).when(F.col("conv_id") % 3 == 1, whole).otherwise(F.concat(F.substr(whole, F.lit(1), F.length(whole) - 1), F.lit(', {"id": 0, "outp')))

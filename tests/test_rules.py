@@ -1,5 +1,6 @@
 """Rules by example, and ordered folds against plain versions of them."""
 
+import json
 import random
 import re
 
@@ -54,6 +55,13 @@ def test_output_faults(spark):
     assert got == ["empty", "prompt_leak", "same_text", "length_ratio", "edit_distance", None]
 
 
+@pytest.mark.parametrize("piece", ["plain text ", 'a \\"b\\" \\n', "é漢\\\\"])
+def test_salvage_of_long_outputs(spark, piece):
+    whole = piece * 30_000
+    cut = f'[{{"id": 1, "output": "{whole}"}}, {{"id": 2, "output": "c"}}, {{"id": 3, "output": "{whole}'
+    assert [tuple(x) for x in one(spark, cut, "string", T.salvaged_items)] == [(1, json.loads(f'"{whole}"')), (2, "c")]
+
+
 def test_salvage_and_shapes(spark):
     cut = '[{"id": 1, "output": "a\\"b"}, {"id": 2, "output": "c"}, {"id": 3, "outp'
     assert [tuple(x) for x in one(spark, cut, "string", T.salvaged_items)] == [(1, 'a"b'), (2, "c")]

@@ -45,3 +45,14 @@ def test_layouts_resolved(spark):
         placed[r.page].append((r.b.x, r.b.x2, min(free), min(free) + height))
         want[r.layout_id] = min(free) - r.b.y
     assert {r.layout_id: r["shift"] for r in structure.overlap_resolution(spark, LARGER).collect()} == want
+
+
+def test_answers_of_long_conversations(spark, tmp_path):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    (tmp_path / "conversations.parquet").unlink()
+    turns = [(conv, turn, "user", f"turn {turn} of {conv}: " + 'said \\ "so"\n' * (turn % 40)) for conv in range(3) for turn in range(1, 2_500)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    (made,) = (tmp_path / "made").glob("*.parquet")
+    made.rename(tmp_path / "conversations.parquet")
+    check(spark, str(tmp_path), "answers_back")
