@@ -52,6 +52,12 @@ def price(tier: Column, tokens_in: Column, tokens_out: Column, cache_hit: Column
     return paid / 1000 * tier["input"] + tokens_out / 1000 * tier["output"] + cache_hit / 1000 * tier["cache_hit"]
 
 
+def exact_price(tier: Column, paid: Column, tokens_out: Column, cache_hit: Column) -> Column:
+    """The price as a decimal, of rates of up to nine places; a sum of these is the same in any order, and ties stay ties when rounded."""
+    part = lambda tokens, rate: tokens.cast("decimal(18,0)") * (tier[rate] / 1000).cast("decimal(16,12)")
+    return part(paid, "input") + part(tokens_out, "output") + part(cache_hit, "cache_hit")
+
+
 def allocated(parts: DataFrame, key: str, order: str, weight: str, total: Column) -> DataFrame:
     """Parts with their share of an integer total: rounded half to even, the last part taking what is left."""
     of = Window.partitionBy(key)
@@ -81,8 +87,10 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls, tokens and cost by model and the entry that priced them."""
     usage = resolve_entry(_usage(spark, sf_dir), catalog(spark)).withColumn("tier", tier_of(F.col("tiers"), F.col("tokens_in")))
-    cost = price(F.col("tier"), F.col("tokens_in"), F.col("tokens_out"), F.col("cache_hit"))
-    return usage.groupBy("model", "region", F.col("pos").alias("entry"), F.col("tier.input").alias("rate")).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.sum(cost), 4).alias("cost"))
+    paid = F.greatest(F.col("tokens_in") - F.col("cache_hit"), F.lit(0))
+    by_tier = usage.groupBy("model", "region", "pos", "tier").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum(paid).alias("paid"), F.sum("tokens_out").alias("tokens_out"), F.sum("cache_hit").alias("cache_hit"))
+    cost = exact_price(F.col("tier"), F.col("paid"), F.col("tokens_out"), F.col("cache_hit"))
+    return by_tier.groupBy("model", "region", F.col("pos").alias("entry"), F.col("tier.input").alias("rate")).agg(F.sum("n").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.sum(cost), 4).cast("double").alias("cost"))
 
 
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
