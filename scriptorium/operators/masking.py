@@ -78,7 +78,8 @@ def masked(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
     placed = spans.withColumn("before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col(key).alias("_key"), F.col(order).alias("_order"), "before")
     found = found.join(placed, found[key].eqNullSafe(placed["_key"]) & found[order].eqNullSafe(placed["_order"]), "left").drop("_key", "_order")
     n = F.size("found")
-    token = lambda i: F.concat(F.lit("__DLP_TOKEN_"), F.lpad((F.col("before") + n - i).cast("string"), 4, "0"), F.lit("__"))
+    number = lambda i: (F.col("before") + n - i).cast("string")
+    token = lambda i: F.concat(F.lit("__DLP_TOKEN_"), F.lpad(number(i), F.greatest(F.lit(4), F.length(number(i))), F.lit("0")), F.lit("__"))
     rows = F.transform("found", lambda f, i: F.struct(token(i).alias("token"), f["original"].alias("original"), f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     found = found.withColumn("rows", rows)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -91,6 +92,7 @@ def unmasked(chunks: DataFrame, rows: DataFrame, keys: list[str], text: str, ord
     """Every token replaced by its original; of repeated tokens the later row counts."""
     last = rows.groupBy(*keys, "token").agg(F.max_by("original", order).alias("original"))
     maps = last.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("token", "original"))).alias("tokens"))
-    joined = chunks.join(maps, keys, "left")
+    maps = maps.withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = chunks.join(maps, [chunks[k].eqNullSafe(maps[f"_{k}"]) for k in keys], "left")
     tokens = F.coalesce("tokens", F.array().cast("array<struct<token:string,original:string>>"))
-    return joined.withColumn(text, F.aggregate(tokens, F.col(text), lambda t, r: F.replace(t, r["token"], r["original"]))).drop("tokens")
+    return joined.withColumn(text, F.aggregate(tokens, F.col(text), lambda t, r: F.replace(t, r["token"], r["original"]))).drop("tokens", *maps.columns)

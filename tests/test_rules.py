@@ -166,6 +166,15 @@ def test_masking_numbers_and_round_trip(spark):
     assert (done[1].masked, done[3].masked) == (None, "nothing")
 
 
+def test_masking_numbers_of_five_digits_round_trip(spark):
+    data = [(job, i, " ".join(f"u{i}x{k}@b.org" for k in range(200))) for job in ("j", None) for i in range(52)]
+    done = masking.masked(rows(spark, data, "j string, i int, t string"), "j", "i", "t").persist()
+    found = done.select("j", "i", F.posexplode("rows").alias("pos", "r")).select("j", "i", "pos", "r.token", "r.original").persist()
+    assert {x.token for x in found.filter("j = 'j'").collect()} == {f"__DLP_TOKEN_{n:04d}__" for n in range(1, 10_401)}
+    back = masking.unmasked(done.select("j", "i", F.col("masked").alias("t")), found, ["j", "i"], "t", "pos")
+    assert sorted(map(tuple, back.select("j", "i", "t").collect()), key=repr) == sorted(data, key=repr)
+
+
 def test_masking_overlap_is_first_come(spark):
     text = "id 123-45-6789 or 212-555-1212 GB12ABCD3456"
     found = masking.masked(rows(spark, [("j", 0, text)], "j string, i int, t string"), "j", "i", "t").first()
