@@ -13,15 +13,14 @@ gives an empty histogram.
 
 from __future__ import annotations
 
-import gc
-
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import cut, spread, table
-from scriptorium.llm.pieces import MODEL, ChunkTable, _groups
+from scriptorium.llm.pieces import MODEL, ChunkTable, _groups, without_gc
 
 #: Lengths of a range; a range's window holds so many rows at most.
 RANGE = 256
@@ -32,14 +31,18 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", model_file: str | N
     path = model_file or public_tokenizers.path(MODEL)
     kinds = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["length long"])
 
-    def run(batches):
+    def counted(batches):
         coder = ChunkTable(path)
-        gc.disable()
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            sizes = [n for i, j in _groups(texts) for n in coder.lengths(texts[i:j])]
+            texts = batch.column(len(keep))
+            groups = _groups(pc.fill_null(pc.utf8_length(texts), 0).to_pylist())
+            sizes = [n for i, j in groups for n in coder.lengths([t or "" for t in texts.slice(i, j - i).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], [*(f"k{i}" for i in range(len(keep))), "length"])
 
+    def run(batches):
+        with without_gc():
+            yield from counted(batches)
+
     inner = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text_col].cast("string").alias("text"))
     return inner.mapInArrow(run, kinds).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "length")
 

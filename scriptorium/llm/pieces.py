@@ -19,10 +19,12 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.common import spread, table
@@ -98,15 +100,34 @@ class ChunkTable:
         return ",".join(map(self.names.__getitem__, ids)).encode()
 
 
-def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+@contextmanager
+def without_gc():
+    """No collection of garbage while a table of many small objects without cycles grows.
+
+    Spark gives a worker's process to other tasks later, of this query and others;
+    what theirs leave in cycles has to be collected again.
+    """
+    before = gc.isenabled()
+    gc.collect()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def _groups(sizes: list[int], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     i = size = 0
-    for j, t in enumerate(texts):
-        size += len(t)
+    for j, n in enumerate(sizes):
+        size += n
         if size > chars:
             yield i, j + 1
             i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+    if i < len(sizes):
+        yield i, len(sizes)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, digests: bool = False) -> DataFrame:
@@ -118,13 +139,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = model_file or public_tokenizers.path(MODEL)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def encoded(batches):
         coder = ChunkTable(path)
-        gc.disable()  # the table is many small objects without cycles
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in _groups(texts):
-                ids = coder.encode(texts[i:j])
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for i, j in _groups(sizes):
+                ids = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 back = [coder.model.decode(x) if x else "" for x in ids]
                 keys = batch.column(0).slice(i, j - i)
                 if digests:
@@ -134,6 +154,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 else:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(back)], ["id", "ids", "decoded"])
 
+    def run(batches):
+        with without_gc():
+            yield from encoded(batches)
+
     schema = f"id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

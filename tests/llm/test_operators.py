@@ -262,6 +262,23 @@ def test_pieces(docs, rows):
     assert got == {d: (sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for d, t in rows}
 
 
+def test_workers_collect_garbage_again(spark):
+    """A worker's process goes on to other tasks; left without collection, it keeps what theirs leave in cycles."""
+
+    def enabled(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([gc.isenabled()])], names=["on"])
+
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(8)], "doc_id long, text string").repartition(4)
+    for made in (pieces.encode_decode(docs), lengths.encoded_lengths(docs)):
+        made.collect()
+        assert all(r.on for r in docs.mapInArrow(enabled, "on boolean").collect())
+
+
 def test_tokens_contract(spark, docs, rows, tmp_path):
     """Every column of op5 and op8 from the library and the lengths alone."""
     import sentencepiece
