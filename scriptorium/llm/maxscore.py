@@ -10,9 +10,12 @@ essential lists are traversed, a stretch of the one of the highest bound at a
 time; rows that come up first there are scored, term block by term block, and
 the other terms are probed only while a row can still reach the threshold. After
 every stretch the threshold rises and the bound of that list falls, and more
-terms become non-essential; at last all are, and the shard is done. Shards and
-blocks of queries meet pairwise; their lists of k are merged by a window that
-keeps k rows a query on the map side.
+terms become non-essential; at last all are, and the shard is done. Shards are
+dealt to tasks, each with all blocks of queries (or a group of them, if there are
+many). A task goes through its shards one after another, and the threshold that a
+query has reached holds in the next one. The tasks' lists of k are merged by a
+window that keeps k rows a query on the map side. Nothing is broadcast: blocks go
+to tasks, never to single shards, by one shuffle.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take
 no part, as query or as row; shorter vectors count as zero beyond their end;
@@ -34,10 +37,12 @@ from scriptorium.llm.common import binary_of, cut, pack, table, unpack
 
 #: Rows of a shard and queries of a block; they bound what one comparison holds.
 SHARD, BLOCK = 4096, 1024
+#: Blocks of queries that a task holds at most.
+HELD = 256
 #: Terms that are added before rows are dropped again.
 STEP = 16
-#: Postings of a list's first stretch, and of its longest; each is twice the one before.
-STRETCH, LONGEST = 64, 1024
+#: Postings of a list's first stretch, and of its longest; each is twice the one before. With a threshold from other shards, all are of the longest.
+STRETCH, LONGEST = 64, 4096
 
 
 def _packed(key: tuple, rows: pa.Table) -> pa.Table:
@@ -56,7 +61,7 @@ def _packed(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _matrix(blob) -> tuple[np.ndarray, np.ndarray]:
     ids, width, flat = unpack(blob)
-    return ids, flat.reshape(len(ids), int(width[0])).astype(np.int64)
+    return ids, flat.reshape(len(ids), int(width[0]))
 
 
 class Shard:
@@ -64,28 +69,35 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.read, self.products = ids, 0, 0
+        self.rows = matrix = matrix.astype(np.int64)
         self.largest = int(abs(matrix).max(initial=0))
-        self.rows = matrix
-        self.exact = matrix.astype(np.float64)  # sums of products below 2**53 are whole there
+        self.exact: dict[type, np.ndarray] = {}
         self.lists = np.argsort(-matrix, axis=0, kind="stable").T.astype(np.int32)
         self.impacts = np.take_along_axis(matrix.T, self.lists, 1)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but those of the query's own id."""
+    def _as(self, kind: type) -> np.ndarray:
+        if kind not in self.exact:
+            self.exact[kind] = self.rows.astype(kind)
+        return self.exact[kind]
+
+    def search(self, own: int, query: np.ndarray, k: int, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but those of the query's own id, among these and the ``found`` ones of other shards."""
         n, width = len(self.ids), min(len(query), self.rows.shape[1])
         query = query[:width]
-        small = width * self.largest * int(abs(query).max(initial=0)) < 1 << 53
-        rows, weights = (self.exact, query.astype(np.float64)) if small else (self.rows, query)
+        most_sum = width * self.largest * int(abs(query).max(initial=0))
+        # Sums of products below 2**24 and 2**53 are whole in floats of 32 and 64 bits.
+        kind = np.float32 if most_sum < 1 << 24 else np.float64 if most_sum < 1 << 53 else np.int64
+        rows, weights = self._as(kind), query.astype(kind)
         fresh = self.ids != own
-        best, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        best, scores = found or (np.empty(0, np.int64), np.empty(0, np.int64))
         if not n:
             return best, scores
         up = query > 0
         most = np.maximum(np.where(up, self.impacts[:width, 0] * query, self.impacts[:width, -1] * query), 0)
         by_most = np.argsort(-most, kind="stable")
         rest = np.append(np.cumsum(most[by_most][::-1])[::-1], 0)
-        bounds, place, stretch = most.copy(), np.zeros(width, np.int64), STRETCH
-        threshold = None
+        threshold = int(scores[-1]) if len(best) == k else None
+        bounds, place, stretch = most.copy(), np.zeros(width, np.int64), STRETCH if threshold is None else LONGEST
         while True:
             if threshold is not None and bounds.sum() < threshold:
                 break  # all terms are non-essential
@@ -110,28 +122,44 @@ class Shard:
                     alive = partial + rest[done] >= threshold
                     some, partial = some[alive], partial[alive]
             if len(some):
-                best, scores = np.concatenate((best, some)), np.concatenate((scores, partial.astype(np.int64)))
-                top = np.lexsort((self.ids[best], -scores))[:k]
+                best, scores = np.concatenate((best, self.ids[some])), np.concatenate((scores, partial.astype(np.int64)))
+                top = np.lexsort((best, -scores))[:k]
                 best, scores = best[top], scores[top]
                 threshold = int(scores[-1]) if len(best) == k else None
             if not fresh.any() or not bounds.any() and not width:
                 break
-        return self.ids[best], scores
+        return best, scores
 
 
 def _search(k: int):
+    """Of rows (deal, kind, of, body), by deal and kind: the k best of a deal's shards (kind 1) for each of its queries (kind 0)."""
+
+    def result(blocks, best):
+        of = [(q << 32) + np.arange(len(ids)) for q, ids, _ in blocks]
+        sizes = [len(x) for found in best for x, _ in found]
+        columns = (
+            np.repeat(np.concatenate([ids for _, ids, _ in blocks] or [[]]).astype(np.int64), sizes),
+            np.repeat(np.concatenate(of or [[]]).astype(np.int64), sizes),
+            *(np.concatenate([x[i] for found in best for x in found] or [[]]).astype(np.int64) for i in (0, 1)),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "place", "id", "score"])
+
     def run(batches):
+        at, blocks, best = None, [], []
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            last, shard = None, None
-            for rows, block, of in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if last is None or not rows.equals(last):
-                    last, shard = rows, Shard(*_matrix(rows.as_buffer()))
-                for n, (own, query) in enumerate(zip(*_matrix(block.as_buffer()), strict=True), of << 32):
-                    ids, scores = shard.search(int(own), query, k)
-                    for values, x in zip(out, (np.full(len(ids), own), np.full(len(ids), n), ids, scores), strict=True):
-                        values.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["query_id", "place", "id", "score"])
+            for deal, kind, of, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if deal != at:
+                    yield result(blocks, best)
+                    at, blocks, best = deal, [], []
+                ids, matrix = _matrix(body.as_buffer())
+                if kind == 0:
+                    blocks.append((of, ids, matrix))
+                    best.append([(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids))
+                    continue
+                shard = Shard(ids, matrix)
+                for (_, own, queries), found in zip(blocks, best, strict=True):
+                    found[:] = [shard.search(int(o), q.astype(np.int64), k, x) for o, q, x in zip(own, queries, found, strict=True)]
+        yield result(blocks, best)
 
     return run
 
@@ -149,11 +177,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
         n = max(1, -(-rows.count() // size))
         spread = rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int"))
         packed.append((cut(spread.groupBy("block").applyInArrow(_packed, "block int, body binary")), n))
-    (shards, n_shards), (blocks, _) = packed
-    # Every block of queries goes to every shard: the stated query set against all rows.
-    sent = blocks.select(F.col("block").alias("of"), F.col("body").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("block"))
-    pairs = shards.withColumnRenamed("body", "rows").join(sent, "block").select("rows", "queries", "of")
-    found = pairs.mapInArrow(_search(k), "query_id long, place long, id long, score long")
+    (shards, n_shards), (blocks, n_blocks) = packed
+    # Every block of queries meets every shard: the stated query set against all rows. Blocks are sent
+    # once a deal, so the number of deals is held where their bytes come to a few times those of the shards.
+    groups = -(-n_blocks // HELD)
+    deals = min(n_shards, max(2 * vectors.sparkSession.sparkContext.defaultParallelism, 8 * n_shards // n_blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = blocks.select("block", "body", each(deals).alias("to")).select((F.col("to") * groups + F.col("block") % groups).alias("deal"), F.lit(0).alias("kind"), F.col("block").cast("long").alias("of"), "body")
+    dealt = shards.select("block", "body", each(groups).alias("to")).select((F.col("block") % deals * groups + F.col("to")).alias("deal"), F.lit(1).alias("kind"), F.col("block").cast("long").alias("of"), "body")
+    tasks = sent.unionByName(dealt).repartitionById(deals * groups, F.col("deal")).sortWithinPartitions("deal", "kind")
+    found = tasks.mapInArrow(_search(k), "query_id long, place long, id long, score long")
     best = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -55,6 +55,26 @@ def test_maxscore_hard_cases(spark, monkeypatch):
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
 
 
+def test_maxscore_sends_queries_to_tasks(spark, monkeypatch):
+    """Queries are neither broadcast nor sent to every shard, whatever the groups and deals."""
+    monkeypatch.setattr(maxscore, "SHARD", 20)
+    monkeypatch.setattr(maxscore, "BLOCK", 8)
+    monkeypatch.setattr(maxscore, "HELD", 2, raising=False)
+    r = np.random.default_rng(3)
+    data = [(i, [int(x) for x in r.integers(-4, 5, 6)]) for i in range(1200)]  # many ties
+    df = spark.createDataFrame(data, "id long, vector array<long>")
+    found = maxscore.top_k(df, df.filter("id % 25 = 0"), 5)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.id, x.score))
+    whole = np.array([v for _, v in data])
+    for q in range(0, 1200, 25):
+        every = sorted((-int(x), j) for j, x in enumerate(whole @ whole[q]) if j != q)[:5]
+        assert sorted(got.pop(q)) == [(n + 1, j, -x) for n, (x, j) in enumerate(every)]
+    assert not got
+
+
 def test_maxscore_leaves_postings_unread():
     """On skewed impacts most postings are never read; the results are those of a full scan."""
     r = np.random.default_rng(1)
